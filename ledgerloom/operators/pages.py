@@ -51,10 +51,15 @@ def _signals(kind: str):
     return [(i, *s) for i, s in enumerate(R.STATEMENT_SIGNALS) if s[1] == kind]
 
 
-def statement_hits(text, window: int | None = HEADING_WINDOW) -> Column:
+def _heading_window(pages: DataFrame, window: int | None) -> DataFrame:
+    """Adds _head, the normalised text headings are looked for in; a column of its own so that it is computed once."""
+    text = F.col("text") if window is None else F.left("text", F.lit(window))
+    return pages.withColumn("_head", X.normalize_heading(text))
+
+
+def statement_hits(head: str = "_head") -> Column:
     """First matching signal of each statement type, in signal order; [other] when nothing matches."""
-    text = F.col(text) if isinstance(text, str) else text
-    w = X.normalize_heading(text if window is None else F.left(text, F.lit(window)))
+    w = F.col(head)
 
     def first(kind: str) -> Column:
         return X._chain([(w.rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("statement_type"),
@@ -69,26 +74,29 @@ def statement_hits(text, window: int | None = HEADING_WINDOW) -> Column:
     return F.when(F.size(hits) > 0, hits).otherwise(other)
 
 
-def heading_types(text) -> Column:
+def heading_types(head: str = "_head") -> Column:
     """Statement types with a heading anywhere in the text."""
-    w = X.normalize_heading(F.col(text) if isinstance(text, str) else text)
+    w = F.col(head)
     flags = [F.when(X.any_of([w.rlike(p) for _, p, *_ in _signals(k)]), F.lit(k)) for k in R.STATEMENT_TYPES]
     return F.when(w.rlike(_GATE), F.array_compact(F.array(*flags))).otherwise(F.array().cast("array<string>"))
 
 
 def detect_statements(pages: DataFrame, window: int | None = HEADING_WINDOW) -> DataFrame:
     """One row per page and detected statement type."""
-    return pages.select("document_id", "page_number", F.posexplode(statement_hits("text", window)).alias("rank", "hit")).select(
+    p = _heading_window(pages, window)
+    return p.select("document_id", "page_number", F.posexplode(statement_hits()).alias("rank", "hit")).select(
         "document_id", "page_number", (F.col("rank") + 1).alias("rank"), "hit.statement_type", "hit.confidence", "hit.matched_text")
 
 
 def assign_sections(classified: DataFrame, window: int | None = HEADING_WINDOW) -> DataFrame:
     """First and second detected type of each page; scanned pages stay open."""
-    hits = F.when(F.col("classification") != "scanned", statement_hits("text", window))
-    return (classified.withColumn("_hits", hits)
-            .withColumns({"section_type": F.try_element_at("_hits", F.lit(1))["statement_type"],
-                          "secondary_section_type": F.try_element_at("_hits", F.lit(2))["statement_type"],
-                          "heading_verbatim": F.try_element_at("_hits", F.lit(1))["matched_text"]}).drop("_hits"))
+    keep = classified.columns
+    p = _heading_window(classified, window).withColumn("_hits", F.when(F.col("classification") != "scanned", statement_hits()))
+    first, second = F.try_element_at("_hits", F.lit(1)), F.try_element_at("_hits", F.lit(2))
+    sections = F.struct(first["statement_type"].alias("section_type"), second["statement_type"].alias("secondary_section_type"),
+                        first["matched_text"].alias("heading_verbatim"))
+    # Through a generator, so that later filters on the section do not repeat the matching.
+    return p.select(*keep, F.inline(F.array(sections)))
 
 
 def reroute_hybrid(classified: DataFrame, min_drawings: int = 100, words_per_drawing: float = 0.5) -> DataFrame:
@@ -122,9 +130,9 @@ def expand_continuation(sectioned: DataFrame, window: int = CONTINUATION_WINDOW,
     work per page is bounded whatever the length of the document.
     """
     detected = group_sections(sectioned).filter(F.col("section") != "notes")
-    heads = heading_types("text") if foreign_heading else F.array().cast("array<string>")
+    heads = heading_types() if foreign_heading else F.array().cast("array<string>")
     stop = (F.col("classification") == "scanned") | F.coalesce(~F.col("section_type").isin("other", "notes"), F.lit(False))
-    ahead = sectioned.select("document_id", "page_number", stop.alias("_stop"), heads.alias("_heads"))
+    ahead = _heading_window(sectioned, None).select("document_id", "page_number", stop.alias("_stop"), heads.alias("_heads"))
     probes = (detected.withColumnRenamed("page_number", "start")
               .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(window))))
               .withColumn("page_number", F.col("start") + F.col("step")))
@@ -242,11 +250,11 @@ def score_templates(pages: DataFrame, min_score: float = 0.6) -> DataFrame:
     Score = weight of the matched signals that hint at the template over the weight of all matched signals
     with hints; ties go to the lower template name.
     """
-    w = X.normalize_heading("text")
+    w = F.col("_head")
     hinted = [(p, weight, hints) for p, _, weight, hints in R.STATEMENT_SIGNALS if hints]
     hit = F.array_compact(F.array(*[F.when(w.rlike(p), F.struct(F.lit(weight).alias("weight"), F.array(*map(F.lit, hints)).alias("hints")))
                                     for p, weight, hints in hinted]))
-    hits = pages.filter(F.col("text").rlike(_GATE)).select("document_id", F.inline(hit))
+    hits = _heading_window(pages.filter(F.col("text").rlike(_GATE)), None).select("document_id", F.inline(hit))
     total = hits.groupBy("document_id").agg(F.sum("weight").alias("total_weight"))
     per = hits.select("document_id", "weight", F.explode("hints").alias("template")).groupBy("document_id", "template").agg(
         F.sum("weight").alias("weight"))

@@ -27,13 +27,20 @@ def tables(spark: SparkSession, sf_dir: str) -> "Tables":
 
 
 class Tables:
-    """Lazy input tables. `rows` and `row_values` are written once as a stage boundary; the rest are plans."""
+    """Lazy input tables. Line items, their values and the classified pages are written once as stage boundaries; the rest are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
         self.tag = re.sub(r"\W+", "_", self.dir)
 
+    def stage(self, name: str, build) -> DataFrame:
+        """A stage boundary: built and written at first use, read back from then on."""
+        if name not in self._stages:
+            self._stages[name] = materialise(build(), f"{name}-{self.tag}")
+        return self._stages[name]
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -91,21 +98,21 @@ class Tables:
         return leaf.select("document_id", "statement_type", "section_no", "raw_label", F.lit(False).alias("is_subtotal"),
                            F.lit(1).alias("indentation_level"), "year", F.col("amt").cast("double").alias("value")).unionByName(total)
 
-    @cached_property
+    @property
     def _long_written(self) -> DataFrame:
-        return materialise(self._long, f"values-{self.tag}")
+        return self.stage("values", lambda: self._long)
 
-    @cached_property
+    @property
     def rows(self) -> DataFrame:
-        head = self._long_written.select(*ROW_COLS).distinct()
-        numbered = number_rows(head, ["document_id"], ["statement_type", "section_no"], ["is_subtotal", "raw_label"],
-                               "extraction_id")
-        return materialise(numbered, f"rows-{self.tag}")
+        def build():
+            head = self._long_written.select(*ROW_COLS).distinct()
+            return number_rows(head, ["document_id"], ["statement_type", "section_no"], ["is_subtotal", "raw_label"], "extraction_id")
 
-    @cached_property
+        return self.stage("rows", build)
+
+    @property
     def row_values(self) -> DataFrame:
-        v = self._long_written.join(self.rows, ROW_COLS)
-        return materialise(v, f"row_values-{self.tag}")
+        return self.stage("row_values", lambda: self._long_written.join(self.rows, ROW_COLS))
 
     # -- pages --------------------------------------------------------------------------------------
     @cached_property

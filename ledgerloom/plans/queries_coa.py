@@ -1,0 +1,332 @@
+"""Registered chart-of-accounts queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import refdata as R
+from ..functions import exprs as X
+from ..operators import coa as A
+from ..operators import learning as L
+from ..operators import reconcile as Q
+from .catalog import query
+
+ROUTED = """SELECT r.*, CASE WHEN r.statement_type = 'equity_statement' THEN 'not_spread' WHEN r.statement_type = 'cash_flow' THEN 'skipped'
+  WHEN a.confidence >= 0.55 THEN 'mapped' ELSE 'unmapped' END AS status,
+  CASE WHEN a.confidence >= 0.55 THEN a.coa_id END AS coa_id, CASE WHEN a.confidence >= 0.55 THEN a.confidence END AS confidence
+FROM fx_rows r LEFT JOIN fx_answers a USING (document_id, extraction_id)"""
+SIGNED = """SELECT v.document_id, v.extraction_id, m.coa_id, v.year, v.value AS raw_value,
+  CASE WHEN c.sign_convention IN ('contra', 'negative') THEN -abs(v.value) ELSE v.value END AS value
+FROM fx_row_values v JOIN routed m ON m.document_id = v.document_id AND m.extraction_id = v.extraction_id AND m.status = 'mapped'
+LEFT JOIN fx_coa c ON c.coa_id = m.coa_id"""
+AGG = """SELECT document_id, coa_id, year, sum(value) AS value, count(*) AS n_values, bool_or(value <> raw_value) AS sign_applied FROM signed GROUP BY document_id, coa_id, year"""
+BALANCE = """SELECT *, CASE WHEN total_assets <> 0 THEN abs(difference) / abs(total_assets) < 0.001 ELSE abs(difference) < 1e-9 END AS is_balanced,
+  year = max(year) OVER (PARTITION BY document_id) AS headline FROM (
+  SELECT document_id, year, total_assets, total_liabilities, total_equity, round(total_assets - (total_liabilities + total_equity), 2) AS difference FROM (
+    SELECT s.document_id, s.year, coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category IN ('Current Assets', 'Non-Current Assets')), 0) AS total_assets,
+      coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category IN ('Current Liabilities', 'Non-Current Liabilities')), 0) AS total_liabilities,
+      coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category = 'Equity'), 0) AS total_equity
+    FROM signed s JOIN fx_coa c ON c.coa_id = s.coa_id AND c.statement = 'Balance Sheet' GROUP BY s.document_id, s.year) a) b"""
+COA, RT = ("fx_rows", "fx_row_values", "fx_coa", "fx_answers"), {"routed": ROUTED}
+SG = {**RT, "signed": SIGNED}
+AG = {**SG, "agg": AGG}
+BAL = {**AG, "bal": BALANCE}
+
+
+def routed(t):
+    """The written stage: every row with its outcome."""
+    return t.stage("routed", lambda: A.route(t.rows, t.answers))
+
+
+def signed(t):
+    """The written stage: signed values of the mapped rows."""
+    return t.stage("signed", lambda: A.signed_values(routed(t), t.row_values, t.coa))
+
+
+def aggregated(t):
+    return A.aggregate_mappings(signed(t))
+
+
+def balance(t):
+    return A.balance_identity(signed(t), t.coa)
+
+
+@query("e01_gate_rows", """SELECT document_id, extraction_id, CASE statement_type WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'income_statement' THEN 'P&L' END AS coa_statement,
+  CASE WHEN statement_type IN ('balance_sheet', 'income_statement') THEN 'map' WHEN statement_type = 'equity_statement' THEN 'not_spread' ELSE 'skipped' END AS gate FROM fx_rows""",
+       ("fx_rows",))
+def e01(t):
+    return A.gate_rows(t.rows).select("document_id", "extraction_id", "coa_statement", "gate")
+
+
+KEYED = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("e02_label_key", f"SELECT row_id, raw_label, {KEYED.format('raw_label')} AS label_key FROM fx_labels", ("fx_labels",))
+def e02(t):
+    return t.labels.select("row_id", "raw_label", X.label_key("raw_label").alias("label_key"))
+
+
+# Half of the labels lose their first word, so that only a containing pattern can match them.
+LROWS = f"""SELECT document_id, extraction_id, statement_type, template_type, {KEYED.format('raw_label')} AS label_key FROM (
+SELECT r.document_id, r.extraction_id, r.statement_type, d.template_type,
+  CASE WHEN extraction_id % 2 = 0 THEN substring(raw_label, strpos(raw_label, ' ') + 1) ELSE raw_label END AS raw_label
+FROM fx_rows r JOIN fx_documents d USING (document_id)) t"""
+LHITS = """SELECT * FROM (SELECT r.*, l.learned_id, l.coa_id, l.learned_confidence AS confidence, l.times_applied, l.times_overridden, tier,
+  row_number() OVER (PARTITION BY r.document_id, r.extraction_id ORDER BY tier, l.created_seq DESC, l.learned_id DESC) AS rn
+FROM lrows r JOIN tiers l ON l.k = r.label_key AND l.st = r.statement_type AND l.tt = r.template_type) t WHERE rn = 1"""
+TIERS = """SELECT w.label_key AS k, w.statement_type AS st, w.template_type AS tt, l.*,
+  CASE WHEN l.label_key = w.label_key AND l.template_type = w.template_type THEN 1 WHEN l.label_key = w.label_key AND l.template_type = '*' THEN 2 ELSE 3 END AS tier
+FROM (SELECT DISTINCT label_key, statement_type, template_type FROM lrows WHERE label_key <> '') w JOIN fx_learned l
+  ON l.statement_type = w.statement_type AND l.times_overridden < 2 AND contains(l.label_key, w.label_key)"""
+LE = ("fx_rows", "fx_documents", "fx_learned")
+LH = {"lrows": LROWS, "tiers": TIERS, "lhits": LHITS}
+
+
+def learned_rows(t):
+    lab = F.when(F.col("extraction_id") % 2 == 0, F.expr("substring(raw_label, locate(' ', raw_label) + 1)")).otherwise(F.col("raw_label"))
+    return t.rows.join(t.documents.select("document_id", "template_type"), "document_id").withColumn("raw_label", lab)
+
+
+def learned_hits(t):
+    return t.stage("learned_hits", lambda: L.learned_lookup(learned_rows(t), t.learned))
+
+
+@query("e03_learned_lookup", "SELECT document_id, extraction_id, CAST(tier AS INT) AS tier, learned_id, coa_id FROM lhits", LE, LH)
+def e03(t):
+    return L.learned_lookup(learned_rows(t), t.learned).select("document_id", "extraction_id", "tier", "learned_id", "coa_id")
+
+
+@query("e04_feedback_rows", """SELECT document_id, extraction_id, learned_id, CAST(times_applied + k - 1 AS BIGINT) AS times_seen,
+  CAST(CASE WHEN k > 1 AND times_applied + k - 1 >= 5 AND times_overridden = 0 THEN 0.99 ELSE confidence END AS DOUBLE) AS confidence_seen
+FROM (SELECT *, row_number() OVER (PARTITION BY document_id, learned_id ORDER BY extraction_id) AS k FROM lhits) t""", LE, LH)
+def e04(t):
+    return L.apply_learning_feedback(learned_hits(t), t.learned)[0].select("document_id", "extraction_id", "learned_id", "times_seen", "confidence_seen")
+
+
+@query("e04_feedback_learned", """SELECT learned_id, CAST(times_applied + coalesce(u, 0) AS BIGINT) AS times_applied,
+  CAST(CASE WHEN u IS NOT NULL AND times_applied + u >= 5 AND times_overridden = 0 THEN 0.99 ELSE learned_confidence END AS DOUBLE) AS learned_confidence
+FROM fx_learned LEFT JOIN (SELECT learned_id, count(*) AS u FROM lhits GROUP BY 1) h USING (learned_id)""", LE, LH)
+def e04b(t):
+    return L.apply_learning_feedback(learned_hits(t), t.learned)[1].select("learned_id", "times_applied", "learned_confidence")
+
+
+@query("e05_attribution", """SELECT learned_id, concat('Mapped using analyst learning from ', source_document, ' (applied 2024-01-31). Original rationale: ', rationale,
+  ' Confidence inherited: 0.95. Applied ', times_applied, ' time(s) previously.') AS message FROM fx_learned""", ("fx_learned",))
+def e05(t):
+    return t.learned.withColumn("applied_on", F.lit("2024-01-31")).select("learned_id", L.attribution().alias("message"))
+
+
+@query("e06_candidates", f"""SELECT r.document_id, r.extraction_id, CAST(b.rn AS INT) AS cand_rank, b.coa_id, b.score FROM (
+  SELECT *, CASE statement_type WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'income_statement' THEN 'P&L' END AS cs, {KEYED.format('raw_label')} AS k FROM fx_rows) r
+JOIN (SELECT *, row_number() OVER (PARTITION BY cs, k ORDER BY score DESC, coa_id) AS rn FROM (
+  SELECT w.cs, w.k, c.coa_id, round(0.7 * len(list_intersect(w.toks, c.toks)) / len(list_distinct(list_concat(w.toks, c.toks)))
+      + 0.3 * (1 - levenshtein(w.k, c.n) / CAST(greatest(length(w.k), length(c.n)) AS DOUBLE)), 6) AS score
+  FROM (SELECT DISTINCT CASE statement_type WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'income_statement' THEN 'P&L' END AS cs, {KEYED.format('raw_label')} AS k,
+          list_distinct(string_split({KEYED.format('raw_label')}, ' ')) AS toks FROM fx_rows) w
+  JOIN (SELECT coa_id, statement, line_item_name AS n, list_distinct(string_split(line_item_name, ' ')) AS toks FROM fx_coa) c ON c.statement = w.cs
+  WHERE len(list_intersect(w.toks, c.toks)) > 0) s) b ON b.cs = r.cs AND b.k = r.k AND b.rn <= 3""", ("fx_rows", "fx_coa"))
+def e06(t):
+    return A.candidates(t.rows, t.coa).select("document_id", "extraction_id", "cand_rank", "coa_id", "score")
+
+
+def raw_answers(t):
+    """Batch answers with refusals, foreign and unknown ids, confidences out of range and gaps; single answers for all."""
+    e = F.col("extraction_id")
+    batch = t.answers.filter(e % 8 != 7).withColumns({
+        "coa_id": F.when(e % 8 == 0, "UNMAPPED").when(e % 8 == 1, "XX-999").when(e % 8 == 2, "").otherwise(F.col("coa_id")),
+        "confidence": F.when(e % 8 == 3, F.col("confidence") + 1.5).otherwise(F.col("confidence"))})
+    single = t.answers.filter(e % 16 != 15).withColumn("coa_id", F.when(e % 16 == 7, "ZZ-1").otherwise(F.col("coa_id")))
+    return batch, single
+
+
+VALID = """SELECT document_id, extraction_id, coa_id, CAST(CASE WHEN coa_id IS NULL THEN 0.0 ELSE confidence END AS DOUBLE) AS confidence,
+  CASE WHEN e16 = 15 OR (e8 = 3 AND e16 = 15) THEN 'mapping_failed' WHEN e16 = 7 AND fv IS NULL THEN 'mapping_failed' ELSE 'ok' END AS answer_status
+FROM (SELECT document_id, extraction_id, confidence, e8, e16, fv, CASE WHEN e8 IN (0, 2) THEN NULL WHEN e16 = 15 THEN NULL WHEN e8 = 1 OR e16 = 7 THEN fv ELSE coa_id END AS coa_id
+  FROM (SELECT a.*, extraction_id % 8 AS e8, extraction_id % 16 AS e16,
+    (SELECT arg_min(s.coa_id, s.cand_rank) FROM fx_suggestions s WHERE s.document_id = a.document_id AND s.extraction_id = a.extraction_id AND s.score > 0.3) AS fv FROM fx_answers a) x) y"""
+
+
+@query("e07_validate_suggestions", VALID, ("fx_answers", "fx_suggestions"))
+def e07(t):
+    batch, single = raw_answers(t)
+    out = A.validate_suggestions(t.rows, batch, t.suggestions.filter("score > 0.3"), t.coa, single)
+    return out.select("document_id", "extraction_id", "coa_id", "confidence", "answer_status")
+
+
+@query("e08_route", "SELECT document_id, extraction_id, status, coa_id, confidence FROM routed", COA, RT)
+def e08(t):
+    return A.route(t.rows, t.answers).select("document_id", "extraction_id", "status", "coa_id", "confidence")
+
+
+@query("e09_apply_sign", "SELECT document_id, extraction_id, coa_id, year, value, value <> raw_value AS changed FROM signed", COA, SG)
+def e09(t):
+    return A.signed_values(routed(t), t.row_values, t.coa).select("document_id", "extraction_id", "coa_id", "year", "value", "changed")
+
+
+@query("e10_aggregate_mappings", "SELECT document_id, coa_id, year, round(value, 2) AS value, n_values, sign_applied FROM agg", COA, AG)
+def e10(t):
+    return aggregated(t).withColumn("value", F.round("value", 2))
+
+
+@query("e10_mapping_heads", """SELECT document_id, coa_id, count(*) AS aggregated_from, min(extraction_id) AS first_row, arg_min(raw_label, extraction_id) AS raw_label,
+  arg_min(confidence, extraction_id) AS confidence, CASE WHEN count(*) > 1 THEN concat('[Aggregated from ', count(*), ' source rows.]') ELSE '' END AS rationale_note
+FROM routed WHERE status = 'mapped' GROUP BY document_id, coa_id""", COA, RT)
+def e10b(t):
+    return A.mapping_heads(routed(t)).select("document_id", "coa_id", "aggregated_from", "first_row", "raw_label", "confidence", "rationale_note")
+
+
+@query("e10_mapping_sources", """SELECT document_id, coa_id, CAST((extraction_id - 1) // 10000 AS INT) AS part_no, string_agg(raw_label, ' + ' ORDER BY extraction_id) AS labels,
+  string_agg(CAST(extraction_id AS VARCHAR), ',' ORDER BY extraction_id) AS ids FROM routed WHERE status = 'mapped' GROUP BY ALL""", COA, RT)
+def e10c(t):
+    return A.mapping_sources(routed(t)).select("document_id", "coa_id", "part_no", "labels", F.array_join("source_extraction_ids", ",").alias("ids"))
+
+
+OUTCOMES = """SELECT document_id, lower(trim(raw_label)) AS label, statement_type, arg_max(CASE WHEN status = 'mapped' THEN 'mapped' ELSE 'unmapped' END, extraction_id) AS status,
+  max(extraction_id) AS extraction_id FROM routed WHERE status <> 'skipped' GROUP BY ALL"""
+
+
+@query("e11_outcomes", "SELECT * FROM outc", COA, {**RT, "outc": OUTCOMES})
+def e11(t):
+    return A.outcomes(routed(t)).select("document_id", "label", "statement_type", "status", "extraction_id")
+
+
+@query("e12_row_outcomes", """SELECT document_id, extraction_id, raw_label, CASE WHEN status = 'skipped' THEN 'not_spread' ELSE status END AS mapping_status, coa_id, confidence FROM routed""", COA, RT)
+def e12(t):
+    return A.row_outcomes(t.rows, routed(t)).select("document_id", "extraction_id", "raw_label", "mapping_status", "coa_id", "confidence")
+
+
+@query("e13_spread_summary", """SELECT document_id, CAST(0 AS BIGINT) AS learned, count(*) FILTER (status = 'mapped') AS model, count(*) FILTER (status = 'unmapped') AS unmapped,
+  count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'not_spread') AS equity,
+  CASE WHEN count(*) FILTER (status = 'unmapped') > 0 THEN 'has_unmapped' ELSE 'spread_complete' END AS spread_status FROM routed GROUP BY document_id""", COA, RT)
+def e13(t):
+    return A.spread_summary(routed(t))
+
+
+@query("e14_balance_identity", """SELECT document_id, year, round(total_assets, 2) AS total_assets, round(total_liabilities, 2) AS total_liabilities, round(total_equity, 2) AS total_equity,
+  difference, is_balanced, headline FROM bal""", COA, BAL)
+def e14(t):
+    return balance(t).withColumns({c: F.round(c, 2) for c in ("total_assets", "total_liabilities", "total_equity")})
+
+
+@query("e15_imbalance_contributors", """SELECT document_id, year, coa_id, line_item_name, round(value, 2) AS value, CAST(rn AS INT) AS rank_no FROM (
+  SELECT a.document_id, a.year, a.coa_id, c.line_item_name, a.value, row_number() OVER (PARTITION BY a.document_id ORDER BY round(abs(a.value), 2) DESC, a.coa_id) AS rn
+  FROM agg a JOIN bal b ON b.document_id = a.document_id AND b.year = a.year AND b.headline AND NOT b.is_balanced
+  JOIN fx_coa c ON c.coa_id = a.coa_id AND c.statement = 'Balance Sheet' AND NOT c.is_subtotal) t WHERE rn <= 5""", COA, BAL)
+def e15(t):
+    agg = aggregated(t).withColumn("value", F.round("value", 2))
+    return A.imbalance_contributors(agg, t.coa, balance(t)).select("document_id", "year", "coa_id", "line_item_name", "value", "rank_no")
+
+
+LEAVES = """SELECT s.*, c.statement, c.broad_category FROM signed s JOIN (SELECT document_id, max(year) AS year FROM signed GROUP BY 1) y USING (document_id, year)
+JOIN fx_coa c ON c.coa_id = s.coa_id AND NOT c.is_subtotal"""
+
+
+@query("e16_category_subtotals", "SELECT document_id, statement, broad_category, year, round(sum(value), 2) AS total FROM lv GROUP BY ALL", COA, {**SG, "lv": LEAVES})
+def e16(t):
+    return A.category_subtotals(signed(t), t.coa).withColumn("total", F.round("total", 2))
+
+
+@query("e16_category_rollup", "SELECT statement, broad_category, round(sum(value), 0) AS total, count(*) AS n_values FROM lv GROUP BY ROLLUP (statement, broad_category)", COA, {**SG, "lv": LEAVES})
+def e16b(t):
+    return A.category_subtotals(signed(t), t.coa, rollup=True).withColumn("total", F.round("total", 0))
+
+
+def recon_rows(t):
+    """Rows with three levels: the total of section 0 is the statement's own total."""
+    return t.rows.withColumn("indentation_level", F.when(F.col("is_subtotal"), F.when(F.col("section_no") == 4, 0).otherwise(1)).otherwise(2))
+
+
+def grouped(t):
+    comps, subs = Q.group_subtotals(recon_rows(t), t.row_values)
+    return t.stage("components", lambda: comps), t.stage("subtotals", lambda: subs)
+
+
+@query("e17_group_subtotals")
+def e17(t):
+    comps, subs = grouped(t)
+    n = comps.groupBy("document_id", "subtotal_id").agg(F.count(F.lit(1)).alias("n_components"))
+    return subs.join(n, ["document_id", "subtotal_id"], "left").select("document_id", "statement_type", "subtotal_id", "headline", "method", "n_components")
+
+
+@query("e17_leaf_components", """SELECT document_id, statement_type, subtotal_id, extraction_id AS component_id FROM (
+  SELECT *, min(CASE WHEN is_subtotal THEN extraction_id END) OVER (PARTITION BY document_id, statement_type ORDER BY extraction_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS subtotal_id
+  FROM fx_rows WHERE statement_type IN ('balance_sheet', 'income_statement')) t WHERE NOT is_subtotal AND subtotal_id IS NOT NULL""", ("fx_rows",))
+def e17b(t):
+    comps = grouped(t)[0]
+    leaves = t.rows.filter("NOT is_subtotal").select("document_id", F.col("extraction_id").alias("component_id"))
+    return comps.join(leaves, ["document_id", "component_id"], "left_semi").select("document_id", "statement_type", "subtotal_id", "component_id")
+
+
+def given_groups(t):
+    """Components given from outside: every section total adds up the leaves of its section."""
+    r = t.rows.filter("statement_type IN ('balance_sheet', 'income_statement') AND section_no < 2")
+    s = r.filter("is_subtotal").select("document_id", "statement_type", "section_no", F.col("extraction_id").alias("subtotal_id"))
+    leaf = r.filter("NOT is_subtotal").select("document_id", "statement_type", "section_no", F.col("extraction_id").alias("component_id"))
+    return s.join(leaf, ["document_id", "statement_type", "section_no"]).drop("section_no")
+
+
+def flat_grouped(t):
+    return Q.group_subtotals(t.rows.withColumn("indentation_level", F.lit(0)), t.row_values, given_groups(t))
+
+
+@query("e18_given_groups", """SELECT document_id, statement_type, subtotal_id, component_id FROM (SELECT s.document_id, s.statement_type, s.extraction_id AS subtotal_id, l.extraction_id AS component_id
+FROM fx_rows s JOIN fx_rows l ON l.document_id = s.document_id AND l.statement_type = s.statement_type AND l.section_no = s.section_no AND NOT l.is_subtotal
+WHERE s.is_subtotal AND s.section_no < 2 AND s.statement_type IN ('balance_sheet', 'income_statement')) t""", ("fx_rows",))
+def e18(t):
+    comps, subs = flat_grouped(t)
+    return comps.join(subs.filter("method = 'given'").select("document_id", "subtotal_id"), ["document_id", "subtotal_id"], "left_semi").select(
+        "document_id", "statement_type", "subtotal_id", "component_id")
+
+
+FLATSUB = """SELECT s.document_id, s.statement_type, s.extraction_id AS subtotal_id, s.section_no FROM fx_rows s
+WHERE s.is_subtotal AND s.statement_type IN ('balance_sheet', 'income_statement') AND section_no < 2"""
+FLATYEAR = """SELECT f.document_id, f.statement_type, f.subtotal_id, v.year, v.value AS extracted,
+  coalesce((SELECT sum(l.value) FROM fx_row_values l WHERE l.document_id = f.document_id AND l.statement_type = f.statement_type AND l.section_no = f.section_no AND NOT l.is_subtotal AND l.year = v.year), 0) AS computed,
+  (SELECT count(*) FROM fx_row_values l WHERE l.document_id = f.document_id AND l.statement_type = f.statement_type AND l.section_no = f.section_no AND NOT l.is_subtotal AND l.year = v.year) AS known,
+  (SELECT count(*) FROM fx_rows l WHERE l.document_id = f.document_id AND l.statement_type = f.statement_type AND l.section_no = f.section_no AND NOT l.is_subtotal) AS n
+FROM flat f JOIN fx_row_values v ON v.document_id = f.document_id AND v.extraction_id = f.subtotal_id"""
+
+
+@query("e19_crossfoot_given", """SELECT document_id, statement_type, subtotal_id, year, extracted, round(computed, 2) AS computed,
+  CASE WHEN known = n THEN round(computed - extracted, 2) END AS difference,
+  CASE WHEN known = n THEN abs(computed - extracted) <= 1.0 OR (extracted <> 0 AND abs(computed - extracted) / abs(extracted) < 0.001) END AS passed FROM flaty""",
+       ("fx_rows", "fx_row_values"), {"flat": FLATSUB, "flaty": FLATYEAR})
+def e19b(t):
+    comps, subs = flat_grouped(t)
+    per_year, _ = Q.crossfoot(comps, subs.filter("method = 'given'"), t.rows, t.row_values, A.outcomes(routed(t)))
+    return per_year.withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2)})
+
+
+def crossfooted(t):
+    comps, subs = grouped(t)
+    per_year, report = Q.crossfoot(comps, subs, t.rows, t.row_values, A.outcomes(routed(t)))
+    return t.stage("crossfoot_years", lambda: per_year), t.stage("crossfoot", lambda: report)
+
+
+@query("e19_crossfoot")
+def e19(t):
+    return crossfooted(t)[0].withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2)})
+
+
+@query("e19_crossfoot_report")
+def e19c(t):
+    return crossfooted(t)[1].withColumn("difference", F.round("difference", 2))
+
+
+@query("e20_sign_flip", "SELECT document_id, extraction_id, bool_or(raw_value <> 0 AND (raw_value < 0) <> (value < 0)) AS sign_flipped FROM signed GROUP BY ALL", COA, SG)
+def e20(t):
+    return Q.sign_flip(t.row_values, signed(t))
+
+
+@query("e21_recon_summary")
+def e21(t):
+    return Q.recon_summary(crossfooted(t)[1])
+
+
+@query("e22_format_spread", """SELECT d.document_id, CAST(row_number() OVER (PARTITION BY d.document_id, a.year_rank ORDER BY c.coa_id) AS INT) * 0 + CAST(c.no AS INT) AS line_no, c.coa_id, c.statement, v.year, round(v.value, 2) AS value
+FROM fx_documents d JOIN (SELECT *, row_number() OVER (ORDER BY split_part(coa_id, '-', 1), CAST(split_part(coa_id, '-', 2) AS INT)) AS no FROM fx_coa) c ON true
+LEFT JOIN (SELECT *, 1 AS year_rank FROM agg) v ON v.document_id = d.document_id AND v.coa_id = c.coa_id LEFT JOIN (SELECT 1 AS year_rank) a ON true""",
+       ("fx_documents", *COA), AG)
+def e22(t):
+    return A.format_spread(t.documents, aggregated(t), A.mapping_heads(routed(t)), t.coa).select(
+        "document_id", "line_no", "coa_id", "statement", "year", F.round("value", 2).alias("value"))

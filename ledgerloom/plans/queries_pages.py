@@ -76,7 +76,8 @@ def classified(t):
 
 
 def sectioned(t):
-    return P.assign_sections(classified(t))
+    """The written stage: classified pages with their sections."""
+    return t.stage("pages_sectioned", lambda: P.assign_sections(classified(t)))
 
 
 @query("a01_read_pages", """SELECT page_id AS document_id, url, length(html) AS n_chars,
@@ -130,7 +131,7 @@ def b05(t):
 
 @query("b06_assign_sections", "SELECT document_id, page_number, section_type, secondary_section_type FROM o_sec", PAGES, SEC)
 def b06(t):
-    return sectioned(t).select("document_id", "page_number", "section_type", "secondary_section_type")
+    return P.assign_sections(classified(t)).select("document_id", "page_number", "section_type", "secondary_section_type")
 
 
 @query("b07_reroute_hybrid", """SELECT document_id, page_number, cls AS nominal_class,
