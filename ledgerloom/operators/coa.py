@@ -177,9 +177,9 @@ def balance_identity(values: DataFrame, coa: DataFrame, by: list[str] | None = N
     sums. `headline` marks the latest year. Documents without balance-sheet values are absent.
     """
     by = by or ["document_id"]
-    chart = coa.filter("statement = 'Balance Sheet'").select("coa_id", "broad_category", "is_subtotal")
-    j = values.join(chart, "coa_id")
-    leaf = ~F.coalesce("is_subtotal", F.lit(False))
+    chart = coa.filter("statement = 'Balance Sheet'").select("coa_id", "broad_category", (~F.coalesce("is_subtotal", F.lit(False))).alias("_leaf"))
+    j = values.select(*by, "coa_id", "year", "value").join(chart, "coa_id")
+    leaf = F.col("_leaf")
 
     def part(name: str):
         return F.coalesce(F.sum(F.when(leaf & F.col("broad_category").isin(_category(name)), F.col("value"))), F.lit(0.0)).alias(f"total_{name}")

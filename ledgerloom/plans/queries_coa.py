@@ -140,10 +140,13 @@ def raw_answers(t):
 
 
 VALID = """SELECT document_id, extraction_id, coa_id, CAST(CASE WHEN coa_id IS NULL THEN 0.0 ELSE confidence END AS DOUBLE) AS confidence,
-  CASE WHEN e16 = 15 OR (e8 = 3 AND e16 = 15) THEN 'mapping_failed' WHEN e16 = 7 AND fv IS NULL THEN 'mapping_failed' ELSE 'ok' END AS answer_status
-FROM (SELECT document_id, extraction_id, confidence, e8, e16, fv, CASE WHEN e8 IN (0, 2) THEN NULL WHEN e16 = 15 THEN NULL WHEN e8 = 1 OR e16 = 7 THEN fv ELSE coa_id END AS coa_id
-  FROM (SELECT a.*, extraction_id % 8 AS e8, extraction_id % 16 AS e16,
-    (SELECT arg_min(s.coa_id, s.cand_rank) FROM fx_suggestions s WHERE s.document_id = a.document_id AND s.extraction_id = a.extraction_id AND s.score > 0.3) AS fv FROM fx_answers a) x) y"""
+  CASE WHEN NOT (hb OR hs) OR (NOT hb AND e16 = 7 AND fv IS NULL) THEN 'mapping_failed' ELSE 'ok' END AS answer_status
+FROM (SELECT *, CASE WHEN NOT (hb OR hs) THEN NULL WHEN hb AND e8 IN (0, 2) THEN NULL WHEN (hb AND e8 = 1) OR (NOT hb AND e16 = 7) THEN fv ELSE a_id END AS coa_id
+  FROM (SELECT r.document_id, r.extraction_id, a.confidence, a.coa_id AS a_id, r.extraction_id % 8 AS e8, r.extraction_id % 16 AS e16,
+      a.coa_id IS NOT NULL AND r.extraction_id % 8 NOT IN (3, 7) AS hb, a.coa_id IS NOT NULL AND r.extraction_id % 16 <> 15 AS hs, f.fv
+    FROM fx_rows r LEFT JOIN fx_answers a USING (document_id, extraction_id)
+    LEFT JOIN (SELECT document_id, extraction_id, arg_min(coa_id, cand_rank) AS fv FROM fx_suggestions WHERE score > 0.3 GROUP BY ALL) f USING (document_id, extraction_id)
+    WHERE r.statement_type IN ('balance_sheet', 'income_statement')) x) y"""
 
 
 @query("e07_validate_suggestions", VALID, ("fx_answers", "fx_suggestions"))
@@ -288,13 +291,13 @@ FROM flat f JOIN fx_row_values v ON v.document_id = f.document_id AND v.extracti
 
 
 @query("e19_crossfoot_given", """SELECT document_id, statement_type, subtotal_id, year, extracted, round(computed, 2) AS computed,
-  CASE WHEN known = n THEN round(computed - extracted, 2) END AS difference,
+  CASE WHEN known = n THEN round(computed - extracted, 2) + 0.0 END AS difference,
   CASE WHEN known = n THEN abs(computed - extracted) <= 1.0 OR (extracted <> 0 AND abs(computed - extracted) / abs(extracted) < 0.001) END AS passed FROM flaty""",
        ("fx_rows", "fx_row_values"), {"flat": FLATSUB, "flaty": FLATYEAR})
 def e19b(t):
     comps, subs = flat_grouped(t)
     per_year, _ = Q.crossfoot(comps, subs.filter("method = 'given'"), t.rows, t.row_values, A.outcomes(routed(t)))
-    return per_year.withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2)})
+    return per_year.withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2) + 0.0})
 
 
 def crossfooted(t):
@@ -305,12 +308,12 @@ def crossfooted(t):
 
 @query("e19_crossfoot")
 def e19(t):
-    return crossfooted(t)[0].withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2)})
+    return crossfooted(t)[0].withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2) + 0.0})
 
 
 @query("e19_crossfoot_report")
 def e19c(t):
-    return crossfooted(t)[1].withColumn("difference", F.round("difference", 2))
+    return crossfooted(t)[1].withColumn("difference", F.round("difference", 2) + 0.0)
 
 
 @query("e20_sign_flip", "SELECT document_id, extraction_id, bool_or(raw_value <> 0 AND (raw_value < 0) <> (value < 0)) AS sign_flipped FROM signed GROUP BY ALL", COA, SG)

@@ -45,12 +45,15 @@ def work_dir(spark: SparkSession) -> str | None:
     return _work[app]
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a stage boundary as Parquet and read it back, so that later stages restart from it."""
+def materialise(df: DataFrame, name: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a stage boundary as Parquet and read it back, so that later stages restart from it.
+
+    For frames that several branches of a plan use; without a name the folder is a new one.
+    """
     spark = df.sparkSession
     base = work_dir(spark)
     if base is None:
         return df
-    path = os.path.join(base, name)
+    path = os.path.join(base, name or uuid.uuid4().hex)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
