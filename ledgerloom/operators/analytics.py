@@ -94,7 +94,7 @@ def threshold_balance(signed: DataFrame, pending: DataFrame, row_values: DataFra
                              F.col(f"_l_{_name(t)}").alias("total_le")) for t in ts])
     y = v.groupBy("document_id", "year").agg(*aggs).select("document_id", "year", F.inline(per)).filter("n > 0")
     h = y.groupBy("document_id", "threshold").agg(F.max_by(F.struct("year", "total_assets", "total_le"), "year").alias("h")).select("document_id", "threshold", "h.*")
-    h = h.withColumn("difference", F.round(F.col("total_assets") - F.col("total_le"), 2))
+    h = h.withColumn("difference", F.round(F.col("total_assets") - F.col("total_le"), 2) + 0.0)
     ok = F.when(F.col("total_assets") != 0, F.abs("difference") / F.abs("total_assets") < BALANCE_TOLERANCE).otherwise(F.abs("difference") < 1e-9)
     return h.withColumn("is_balanced", ok)
 

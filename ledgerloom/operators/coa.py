@@ -187,7 +187,7 @@ def balance_identity(values: DataFrame, coa: DataFrame, by: list[str] | None = N
     t = j.groupBy(*by, "year").agg(part("assets"), part("liabilities"), part("equity"))
     le = F.col("total_liabilities") + F.col("total_equity")
     # Sums of cents: rounding to cents removes the order of addition from the comparison with zero.
-    t = t.withColumn("difference", F.round(F.col("total_assets") - le, 2))
+    t = t.withColumn("difference", F.round(F.col("total_assets") - le, 2) + 0.0)
     ok = F.when(F.col("total_assets") != 0, F.abs("difference") / F.abs("total_assets") < BALANCE_TOLERANCE).otherwise(F.abs("difference") < 1e-9)
     latest = F.max("year").over(Window.partitionBy(*by))  # a handful of years per document
     return t.withColumns({"is_balanced": ok, "headline": F.col("year") == latest})

@@ -22,7 +22,7 @@ LEFT JOIN fx_coa c ON c.coa_id = m.coa_id"""
 AGG = """SELECT document_id, coa_id, year, sum(value) AS value, count(*) AS n_values, bool_or(value <> raw_value) AS sign_applied FROM signed GROUP BY document_id, coa_id, year"""
 BALANCE = """SELECT *, CASE WHEN total_assets <> 0 THEN abs(difference) / abs(total_assets) < 0.001 ELSE abs(difference) < 1e-9 END AS is_balanced,
   year = max(year) OVER (PARTITION BY document_id) AS headline FROM (
-  SELECT document_id, year, total_assets, total_liabilities, total_equity, round(total_assets - (total_liabilities + total_equity), 2) AS difference FROM (
+  SELECT document_id, year, total_assets, total_liabilities, total_equity, round(total_assets - (total_liabilities + total_equity), 2) + 0.0 AS difference FROM (
     SELECT s.document_id, s.year, coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category IN ('Current Assets', 'Non-Current Assets')), 0) AS total_assets,
       coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category IN ('Current Liabilities', 'Non-Current Liabilities')), 0) AS total_liabilities,
       coalesce(sum(value) FILTER (NOT is_subtotal AND broad_category = 'Equity'), 0) AS total_equity

@@ -200,7 +200,7 @@ def noted_rows(t):
 
 
 NOTED = "SELECT *, CASE WHEN extraction_id % 3 = 0 THEN CAST(extraction_id % 12 + 1 AS INT) END AS note_number FROM fx_rows"
-NOTE_PAGES = """SELECT document_id, CAST(regexp_extract(text, '(?im)^note\\s+(\\d+)', 1) AS INT) AS note_number, page_number, text
+NOTE_PAGES = """SELECT document_id, TRY_CAST(regexp_extract(text, '(?im)^note\\s+(\\d+)', 1) AS INT) AS note_number, page_number, text
 FROM o_sec WHERE cls <> 'scanned' AND regexp_matches(text, '(?im)^note\\s+\\d+') AND 'notes' IN (section_type, coalesce(secondary_section_type, ''))"""
 
 

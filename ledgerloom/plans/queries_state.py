@@ -1,0 +1,259 @@
+"""Registered queries on table changes and streams."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import coa as A
+from ..operators import state as S
+from ..session import work_dir
+from ..sources import readers
+from ..streaming import streams as T
+from .catalog import query
+from .queries_canonical import CAN, SC, scored
+from .queries_coa import AG, COA, LE, LH, RT, SG, aggregated, routed
+from .queries_views import PE, SUG, pending
+from .queries_pages import PAGES, SEC, SCOPE
+
+DEC = (*COA, "fx_decisions")
+
+
+@query("a05_upsert", """SELECT coa_id, line_item_name, broad_category FROM fx_coa WHERE statement = 'P&L'
+UNION ALL SELECT coa_id, upper(line_item_name), 'New' FROM fx_coa WHERE statement <> 'P&L' UNION ALL SELECT concat('N', coa_id), line_item_name, 'Added' FROM fx_coa""", ("fx_coa",))
+def a05(t):
+    c = t.coa.select("coa_id", "line_item_name", "broad_category", "statement")
+    changed = c.filter("statement <> 'P&L'").withColumns({"line_item_name": F.upper("line_item_name"), "broad_category": F.lit("New")})
+    added = c.withColumns({"coa_id": F.concat(F.lit("N"), F.col("coa_id")), "broad_category": F.lit("Added")})
+    return S.upsert(c, changed.unionByName(added), ["coa_id"]).select("coa_id", "line_item_name", "broad_category")
+
+
+@query("a05_merge_columns", "SELECT document_id, company, CASE WHEN document_id % 2 = 0 THEN 'T9' ELSE template_type END AS template_type FROM fx_documents", ("fx_documents",))
+def a05b(t):
+    src = t.documents.select("document_id", F.when(F.col("document_id") % 2 == 0, "T9").alias("template_type"))
+    return S.merge_columns(t.documents, src, ["document_id"]).select("document_id", "company", "template_type")
+
+
+@query("a06_append", "SELECT statement_type, status AS mapping_status, count(*) AS n FROM (SELECT statement_type, CASE WHEN status = 'skipped' THEN 'not_spread' ELSE status END AS status FROM routed) r GROUP BY ALL", COA, RT)
+def a06(t):
+    """Rows with their outcomes appended to a table, statement by statement, then read."""
+    done = A.row_outcomes(t.rows, routed(t))
+    base = work_dir(t.spark)
+    if base is None:
+        return done.groupBy("statement_type", "mapping_status").agg(F.count(F.lit(1)).alias("n"))
+    path = os.path.join(base, "append-" + uuid.uuid4().hex)
+    S.append(done.filter("statement_type IN ('balance_sheet', 'income_statement')"), path, ("statement_type",))
+    S.append(done.filter("statement_type NOT IN ('balance_sheet', 'income_statement')"), path, ("statement_type",))
+    S.append(done.filter("false"), path, ("statement_type",))
+    return t.spark.read.parquet(path).groupBy("statement_type", "mapping_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a07_delete_documents", "SELECT document_id, count(*) AS n FROM fx_rows WHERE document_id NOT IN (SELECT document_id FROM fx_documents WHERE template_type = 'T2') GROUP BY 1", ("fx_rows", "fx_documents"))
+def a07(t):
+    gone = t.documents.filter("template_type = 'T2'")
+    kept, _ = S.delete_documents({"rows": t.rows}, gone, t.learned.withColumn("source_document_id", F.col("learned_id")))
+    return kept["rows"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a07_learned_kept", "SELECT learned_id, CASE WHEN learned_id NOT IN (SELECT document_id FROM fx_documents WHERE template_type = 'T2') THEN learned_id END AS source_document_id FROM fx_learned", ("fx_learned", "fx_documents"))
+def a07b(t):
+    gone = t.documents.filter("template_type = 'T2'")
+    return S.delete_documents({}, gone, t.learned.withColumn("source_document_id", F.col("learned_id")))[1].select("learned_id", "source_document_id")
+
+
+@query("a11_ingest", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def a11(t):
+    return readers.ingest(t.raw("documents"), t.raw("labels"), "doc_id").select("doc_id", "source")
+
+
+RESOLVED = """SELECT r.*, d.coa_id AS new_coa_id, d.decision_id FROM routed r JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, extraction_id
+  ORDER BY decided_at DESC, decision_id DESC) AS rn FROM fx_decisions WHERE action = 'resolve') x WHERE rn = 1) d USING (document_id, extraction_id) WHERE r.status = 'unmapped'"""
+RES = {**RT, "res": RESOLVED}
+
+
+def resolved(t):
+    return S.resolve_items(routed(t), t.row_values, t.decisions, t.documents)
+
+
+@query("e23_resolve_rows", """SELECT r.document_id, r.extraction_id, CASE WHEN n.document_id IS NULL THEN r.status ELSE 'mapped' END AS status, coalesce(n.new_coa_id, r.coa_id) AS coa_id,
+  CAST(CASE WHEN n.document_id IS NULL THEN r.confidence ELSE 0.95 END AS DOUBLE) AS confidence FROM routed r LEFT JOIN res n USING (document_id, extraction_id)""", DEC, RES)
+def e23(t):
+    return resolved(t)["rows"].select("document_id", "extraction_id", "status", "coa_id", "confidence")
+
+
+@query("e23_resolve_values", "SELECT v.document_id, v.extraction_id, n.new_coa_id AS coa_id, v.year, v.value FROM res n JOIN fx_row_values v USING (document_id, extraction_id)", DEC, RES)
+def e23b(t):
+    return resolved(t)["values"].select("document_id", "extraction_id", "coa_id", "year", "value")
+
+
+@query("e23_resolve_learned", """SELECT n.decision_id, lower(raw_label) AS label_key, statement_type, new_coa_id AS coa_id, d.template_type, d.filename AS source_document FROM res n LEFT JOIN fx_documents d USING (document_id)""",
+       (*DEC, "fx_documents"), {**RES})
+def e23c(t):
+    return resolved(t)["learned"].select("decision_id", "label_key", "statement_type", "coa_id", "template_type", "source_document")
+
+
+@query("e23_resolve_documents", """SELECT document_id, count(*) FILTER (status = 'unmapped') - count(n.decision_id) AS unmapped_count,
+  CASE WHEN count(*) FILTER (status = 'unmapped') - count(n.decision_id) = 0 THEN 'spread_complete' ELSE 'has_unmapped' END AS spread_status
+FROM routed r LEFT JOIN (SELECT document_id, extraction_id, decision_id FROM res) n USING (document_id, extraction_id) GROUP BY document_id""", DEC, RES)
+def e23d(t):
+    return resolved(t)["documents"]
+
+
+@query("e23_resolve_errors", """SELECT document_id, extraction_id, max(decision_id) FILTER (rn = 1) AS decision_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, extraction_id
+  ORDER BY decided_at DESC, decision_id DESC) AS rn FROM fx_decisions WHERE action = 'resolve') d WHERE (document_id, extraction_id) NOT IN (SELECT (document_id, extraction_id) FROM routed WHERE status = 'unmapped') GROUP BY ALL""", DEC, RT)
+def e23e(t):
+    return resolved(t)["errors"].select("document_id", "extraction_id", "decision_id")
+
+
+OVER = """SELECT r.*, d.coa_id AS new_coa_id, d.decision_id, l.learned_id FROM routed r JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, extraction_id
+  ORDER BY decided_at DESC, decision_id DESC) AS rn FROM fx_decisions WHERE action = 'override') x WHERE rn = 1) d USING (document_id, extraction_id)
+LEFT JOIN (SELECT document_id, extraction_id, learned_id FROM lhits) l USING (document_id, extraction_id)
+WHERE r.statement_type IN ('balance_sheet', 'income_statement') AND (l.learned_id IS NOT NULL OR r.status = 'mapped')"""
+OV, OVC = {**RT, **LH, "ov": OVER}, (*DEC, *LE)
+
+
+def overridden(t):
+    from .queries_views import learned_routed
+    return S.override_mappings(learned_routed(t), t.learned, t.decisions, t.documents)
+
+
+@query("e24_override_rows", "SELECT document_id, extraction_id, new_coa_id AS coa_id, CAST(0.95 AS DOUBLE) AS confidence FROM ov", OVC, OV)
+def e24(t):
+    return overridden(t)["rows"].filter("mapping_source = 'manual'").select("document_id", "extraction_id", "coa_id", "confidence")
+
+
+@query("e24_override_learned", """SELECT learned_id, CAST(times_overridden + coalesce(n, 0) AS BIGINT) AS times_overridden,
+  CAST(CASE WHEN n IS NOT NULL AND times_overridden + n >= 2 THEN 0.70 ELSE learned_confidence END AS DOUBLE) AS learned_confidence
+FROM fx_learned LEFT JOIN (SELECT learned_id, count(*) AS n FROM ov WHERE learned_id IS NOT NULL GROUP BY 1) o USING (learned_id)""", OVC, OV)
+def e24b(t):
+    return overridden(t)["learned"].select("learned_id", "times_overridden", "learned_confidence")
+
+
+@query("e25_refresh_checks", """SELECT s.document_id, s.year, round(coalesce(sum(v) FILTER (NOT c.is_subtotal AND c.broad_category IN ('Current Assets', 'Non-Current Assets')), 0), 2) AS total_assets
+FROM (SELECT m.document_id, v.year, m.coa_id, CASE WHEN k.sign_convention = 'contra' THEN -abs(v.value) ELSE v.value END AS v FROM (
+    SELECT r.document_id, r.extraction_id, coalesce(n.new_coa_id, r.coa_id) AS coa_id FROM routed r LEFT JOIN res n USING (document_id, extraction_id) WHERE coalesce(n.new_coa_id, r.coa_id) IS NOT NULL) m
+  JOIN fx_row_values v USING (document_id, extraction_id) LEFT JOIN fx_coa k ON k.coa_id = m.coa_id WHERE m.document_id IN (SELECT document_id FROM fx_decisions)) s
+JOIN fx_coa c ON c.coa_id = s.coa_id AND c.statement = 'Balance Sheet' GROUP BY s.document_id, s.year""", DEC, RES)
+def e25(t):
+    b = S.refresh_checks(S.changed_documents(t.decisions), resolved(t)["rows"], t.row_values, t.coa)
+    return b.select("document_id", "year", F.round("total_assets", 2).alias("total_assets"))
+
+
+@query("e26_skip_items", """SELECT document_id, extraction_id, CASE WHEN status = 'unmapped' AND (document_id, extraction_id) IN (SELECT (document_id, extraction_id) FROM fx_decisions WHERE action = 'skip') THEN 'set_aside' ELSE status END AS status FROM routed""", DEC, RT)
+def e26(t):
+    return S.skip_items(routed(t), t.decisions).select("document_id", "extraction_id", "status")
+
+
+UP = """SELECT p.document_id, p.extraction_id, p.raw_label, p.best_coa_id AS coa_id, p.best_score FROM pend p WHERE p.best_score >= 0.55"""
+REP = {**AG, **PE, "up": UP}
+
+
+def republished(t):
+    return S.republish(routed(t), aggregated(t), A.mapping_heads(routed(t)), pending(t), t.row_values, t.coa)
+
+
+@query("f09_republish_values", """SELECT document_id, coa_id, year, round(sum(value), 2) AS value FROM (SELECT document_id, coa_id, year, value FROM signed
+UNION ALL SELECT v.document_id, u.coa_id, v.year, CASE WHEN c.sign_convention = 'contra' THEN -abs(v.value) ELSE v.value END FROM up u JOIN fx_row_values v USING (document_id, extraction_id) JOIN fx_coa c ON c.coa_id = u.coa_id) x GROUP BY ALL""", SUG, REP)
+def f09(t):
+    return republished(t)["values"].withColumn("value", F.round("value", 2))
+
+
+@query("f09_republish_heads", """SELECT document_id, coa_id, coalesce(n1, 0) + coalesce(n2, 0) AS aggregated_from, coalesce(c1, c2) AS confidence, CASE WHEN n1 IS NULL THEN '[Threshold-promoted at 0.55.]' ELSE '' END AS rationale_note
+FROM (SELECT document_id, coa_id, count(*) AS n1, arg_min(confidence, extraction_id) AS c1 FROM routed WHERE status = 'mapped' GROUP BY ALL) a
+FULL JOIN (SELECT document_id, coa_id, count(*) AS n2, max(best_score) AS c2 FROM up GROUP BY ALL) b USING (document_id, coa_id)""", SUG, REP)
+def f09b(t):
+    return republished(t)["heads"].select("document_id", "coa_id", "aggregated_from", "confidence", "rationale_note")
+
+
+@query("f09_republish_documents", """SELECT document_id, coalesce(n, 0) AS promoted, c - coalesce(n, 0) AS unmapped_count, CASE WHEN c - coalesce(n, 0) = 0 THEN 'spread_complete' ELSE 'has_unmapped' END AS spread_status
+FROM (SELECT document_id, count(*) FILTER (status = 'unmapped') AS c FROM routed GROUP BY 1) a LEFT JOIN (SELECT document_id, count(*) AS n FROM up GROUP BY 1) b USING (document_id)""", SUG, REP)
+def f09c(t):
+    return republished(t)["documents"]
+
+
+# -- streams: the given tables as files, read as a stream to the end ------------------------------------------------
+
+def _folder(t, name):
+    base = work_dir(t.spark)
+    if base is None:
+        raise ValueError("streams need spark.checkpoint.dir for their checkpoints")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def _as_stream(t, df, name, sort=None, files=4):
+    """Write a table as files and read them as a stream, several files at a time, in event order where given."""
+    path = _folder(t, name)
+    df = df.repartitionByRange(files, sort).sortWithinPartitions(sort) if sort else df.repartition(files)
+    df.write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("g01_ingest_pages", f"""SELECT document_id, page_number, cls AS classification, section_type, {SCOPE} AS scope FROM (SELECT *, left(text, 500) AS h FROM o_sec) t""", PAGES, SEC)
+def g01(t):
+    """Every page delivered twice."""
+    p = t.pages.withColumn("arrived_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    out, check = _folder(t, "g01"), _folder(t, "g01-check")
+    T.run_to_end(T.ingest_pages(_as_stream(t, p.unionByName(p), "pages-in")), "append", out, check)
+    return t.spark.read.parquet(out).select("document_id", "page_number", "classification", "section_type", "scope")
+
+
+def _meter(t, make, mode="append"):
+    out, check = _folder(t, "meter"), _folder(t, "meter-check")
+    late = t.usage.agg(F.max(F.col("ts").cast("timestamp")).alias("m"))
+    # A closing event far ahead moves the watermark past every window.
+    last = late.select(F.lit(-1).cast("bigint").alias("event_id"), (F.col("m") + F.expr("INTERVAL 30 DAYS")).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("document_id"),
+                       F.lit("close").alias("stage"), F.lit("model-unknown").alias("model"), *[F.lit(0).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_creation")])
+    T.run_to_end(make(_as_stream(t, t.usage.unionByName(last), "usage-in", "ts")), mode, out, check)
+    return t.spark.read.parquet(out).filter("stage <> 'close'")
+
+
+_W = """SELECT CAST(w AS VARCHAR) AS window_start, stage, regexp_replace(model, '^.*\\.', '') AS model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM ({0}) x GROUP BY ALL"""
+
+
+@query("g02_usage_tumbling", _W.format("SELECT date_trunc('day', ts) AS w, * FROM fx_usage"), ("fx_usage",))
+def g02(t):
+    m = _meter(t, lambda s: T.usage_meter(s))
+    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "model", "calls", "input_tokens")
+
+
+@query("g02_usage_sliding", _W.format("SELECT date_trunc('day', ts) + to_hours(CAST(h AS BIGINT)) AS w, u.* FROM fx_usage u CROSS JOIN (SELECT unnest([-12, 0, 12]) AS h) k WHERE date_trunc('day', ts) + to_hours(CAST(h AS BIGINT)) <= ts AND ts < date_trunc('day', ts) + to_hours(CAST(h + 24 AS BIGINT))"), ("fx_usage",))
+def g02b(t):
+    m = _meter(t, lambda s: T.usage_meter(s, "1 day", "12 hours"))
+    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "model", "calls", "input_tokens")
+
+
+@query("g02_usage_sessions", """SELECT document_id, stage, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS calls FROM (
+  SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, stage ORDER BY ts, event_id) AS s FROM (
+    SELECT *, lag(ts) OVER (PARTITION BY document_id, stage ORDER BY ts, event_id) AS prev FROM fx_usage) a) b GROUP BY document_id, stage, s""", ("fx_usage",))
+def g02c(t):
+    m = _meter(t, lambda s: T.usage_sessions(s))
+    return m.select("document_id", "stage", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "calls")
+
+
+@query("g03_apply_decisions", """SELECT document_id, extraction_id, action, coa_id, decision_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, extraction_id ORDER BY decided_at DESC, decision_id DESC) AS rn FROM fx_decisions) x WHERE rn = 1""", ("fx_decisions",))
+def g03(t):
+    table, check = _folder(t, "decided"), _folder(t, "decided-check")
+    T.apply_decisions(_as_stream(t, t.decisions, "decisions-in", "decided_at"), table, check).awaitTermination()
+    return T.current_decisions(t.spark, table).select("document_id", "extraction_id", "action", "coa_id", "decision_id")
+
+
+@query("g03_learning_counters", """SELECT learned_id, count(*) FILTER (k = 'applied') AS times_applied, count(*) FILTER (k = 'overridden') AS times_overridden,
+  CAST(CASE WHEN count(*) FILTER (k = 'overridden') >= 2 THEN 0.70 WHEN count(*) FILTER (k = 'applied') >= 5 AND count(*) FILTER (k = 'overridden') = 0 THEN 0.99 ELSE 0.95 END AS DOUBLE) AS learned_confidence
+FROM (SELECT user_id AS learned_id, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'overridden' ELSE 'applied' END AS k FROM events) e GROUP BY 1""")
+def g03b(t):
+    e = t.raw("events").select(F.col("user_id").alias("learned_id"), F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), "overridden").otherwise("applied").alias("kind"))
+    out, check = _folder(t, "counters"), _folder(t, "counters-check")
+    T.run_to_end(T.learning_counters(_as_stream(t, e, "learning-in", files=2)), "update", out, check)
+    r = t.spark.read.parquet(out)
+    return r.groupBy("learned_id").agg(F.max_by(F.struct("times_applied", "times_overridden", "learned_confidence"), "batch").alias("c")).select("learned_id", "c.*")
+
+
+@query("g04_latest_stage", "SELECT document_id, arg_max(stage, (ts, event_id)) AS stage FROM fx_usage GROUP BY 1", ("fx_usage",))
+def g04(t):
+    out, check = _folder(t, "stage"), _folder(t, "stage-check")
+    s = _as_stream(t, t.usage.select("document_id", "stage", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "stage-in", "ts")
+    T.run_to_end(T.latest_stage(s), "update", out, check)
+    r = t.spark.read.parquet(out)
+    return r.groupBy("document_id").agg(F.max_by("stage", F.struct("ts", "batch")).alias("stage"))

@@ -65,7 +65,7 @@ def f03(t):
     return N.threshold_coverage(routed(t), pending(t)).withColumn("value_recovered", F.round("value_recovered", 2))
 
 
-SWEEP = f"""SELECT document_id, threshold, year, round(a, 2) AS total_assets, round(le, 2) AS total_le, round(a - le, 2) AS difference,
+SWEEP = f"""SELECT document_id, threshold, year, round(a, 2) AS total_assets, round(le, 2) AS total_le, round(a - le, 2) + 0.0 AS difference,
   CASE WHEN a <> 0 THEN abs(round(a - le, 2)) / abs(a) < 0.001 ELSE abs(round(a - le, 2)) < 1e-9 END AS is_balanced FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id, threshold ORDER BY year DESC) AS rn FROM (
     SELECT x.document_id, CAST(t.t AS DOUBLE) AS threshold, x.year, coalesce(sum(x.value) FILTER (NOT c.is_subtotal AND c.broad_category IN ('Current Assets', 'Non-Current Assets')), 0) AS a,
@@ -157,7 +157,7 @@ def _cost_sql(by: str) -> str:
     rate = lambda k: "CASE m " + " ".join(f"WHEN '{n}' THEN {v[k]}" for n, v in R.MODEL_PRICING.items()) + " END"
     return f"""SELECT {by} stage, m, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS it, CAST(sum(output_tokens) AS BIGINT) AS ot, CAST(sum(cache_read) AS BIGINT) AS cr, CAST(sum(cache_creation) AS BIGINT) AS cw,
   coalesce(round(sum(input_tokens) / 1e6 * {rate(0)} + sum(output_tokens) / 1e6 * {rate(1)} + sum(cache_read) / 1e6 * {rate(0)} * 0.1 + sum(cache_creation) / 1e6 * {rate(0)} * 1.25, 6), 0.0) AS cost,
-  {rate(0)} IS NULL AS unk FROM used GROUP BY ALL"""
+  {rate(0)} IS NULL AS unk FROM used GROUP BY {by} stage, m"""
 
 
 def usage(t):

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sessions of a busy key are merged before the exchange.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Repeated years in one payload: the last one wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
