@@ -14,7 +14,7 @@ from ..functions import exprs as X
 from .ordered import running
 
 # Amounts at the end of a line: 1,234  (1,234)  -1,234.5  and "-" for no value.
-AMOUNT = r"\(?-?\d[\d,]*(?:\.\d+)?\)?|[-–—]"
+AMOUNT = r"\(\d[\d,]*(?:\.\d+)?\)|-?\d[\d,]*(?:\.\d+)?|[-–—]"
 LINE_PATTERN = rf"^\s*(.*?)((?:\s+(?:{AMOUNT}))+)\s*$"
 HEADER_PATTERN = r"(?i)^[^\d]*((19|20)\d{2}\b[^\d]*)+$"
 NOTE_IN_LABEL = r"(?i)\(?\bnote\s+([\d.]+)\)?"
@@ -48,7 +48,11 @@ def extract_lines(pages: DataFrame) -> DataFrame:
     label = F.regexp_replace(F.trim(F.regexp_extract("line", LINE_PATTERN, 1)), ACCOUNT_CODE, "")
     tail = F.regexp_extract("line", LINE_PATTERN, 2)
     tokens = F.regexp_extract_all(tail, F.lit(AMOUNT), F.lit(0))
-    one = one.withColumns({"raw_label": label, "_tokens": F.slice(F.reverse(tokens), 1, F.size("_years"))}).filter("raw_label <> ''")
+    # Numbers beyond the year columns belong to the label ("Section 3").
+    more = F.slice("_all", 1, F.greatest(F.size("_all") - F.size("_years"), F.lit(0)))
+    one = one.withColumn("_all", tokens).withColumns({
+        "raw_label": F.concat_ws(" ", label, F.array_join(more, " ").alias("m")), "_tokens": F.slice(F.reverse("_all"), 1, F.size("_years"))})
+    one = one.withColumn("raw_label", F.trim("raw_label")).filter("raw_label <> ''")
     number = F.regexp_replace("token", r"[(),\-]", "").try_cast("double")
     negative = F.col("token").rlike(r"^\(.*\)$|^-\d")
     cols = one.select(

@@ -224,9 +224,9 @@ LEAVES = """SELECT s.*, c.statement, c.broad_category FROM signed s JOIN (SELECT
 JOIN fx_coa c ON c.coa_id = s.coa_id AND NOT c.is_subtotal"""
 
 
-@query("e16_category_subtotals", "SELECT document_id, statement, broad_category, year, round(sum(value), 2) AS total FROM lv GROUP BY ALL", COA, {**SG, "lv": LEAVES})
+@query("e16_category_subtotals", "SELECT document_id, statement, broad_category, year, round(sum(value), 2) + 0.0 AS total FROM lv GROUP BY ALL", COA, {**SG, "lv": LEAVES})
 def e16(t):
-    return A.category_subtotals(signed(t), t.coa).withColumn("total", F.round("total", 2))
+    return A.category_subtotals(signed(t), t.coa).withColumn("total", F.round("total", 2) + 0.0)
 
 
 @query("e16_category_rollup", "SELECT statement, broad_category, round(sum(value), 0) AS total, count(*) AS n_values FROM lv GROUP BY ROLLUP (statement, broad_category)", COA, {**SG, "lv": LEAVES})

@@ -79,7 +79,10 @@ def a04(t):
     return readers.derive_coa(entries)
 
 
-@query("c01_extract_lines")
+@query("c01_extract_lines", """SELECT r.document_id, CAST(r.section_no + CASE r.statement_type WHEN 'balance_sheet' THEN 100 WHEN 'income_statement' THEN 200 WHEN 'cash_flow' THEN 300 ELSE 400 END AS INT) AS page_number,
+  r.raw_label, r.is_subtotal, CASE WHEN r.is_subtotal THEN 0 ELSE 1 END AS indentation_level, y.year, CASE WHEN r.extraction_id % 5 = 0 THEN -v.value ELSE v.value END AS value
+FROM fx_rows r JOIN (SELECT DISTINCT document_id, statement_type, section_no, year FROM fx_row_values) y USING (document_id, statement_type, section_no)
+LEFT JOIN fx_row_values v ON v.document_id = r.document_id AND v.extraction_id = r.extraction_id AND v.year = y.year""", ("fx_rows", "fx_row_values"))
 def c01(t):
     """Statement pages rebuilt as text from the line items, one per filing, statement and section, then read again."""
     v = t.row_values
@@ -99,7 +102,7 @@ def c01(t):
                                         .when(F.col("statement_type") == "income_statement", 200)
                                         .when(F.col("statement_type") == "cash_flow", 300).otherwise(400)).alias("page_number"),
                         text.alias("text"))
-    return W.extract_lines(pages)
+    return W.extract_lines(pages).select("document_id", "page_number", "raw_label", "is_subtotal", "indentation_level", "year", "value")
 
 
 _KEY = """CASE extraction_id % 4 WHEN 0 THEN year WHEN 1 THEN concat('FY ', CAST(CAST(year AS INT) - 1 AS VARCHAR), '-', right(year, 2))

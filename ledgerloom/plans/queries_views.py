@@ -65,7 +65,7 @@ def f03(t):
     return N.threshold_coverage(routed(t), pending(t)).withColumn("value_recovered", F.round("value_recovered", 2))
 
 
-SWEEP = f"""SELECT document_id, threshold, year, round(a, 2) AS total_assets, round(le, 2) AS total_le, round(a - le, 2) + 0.0 AS difference,
+SWEEP = f"""SELECT document_id, threshold, year, round(a, 2) + 0.0 AS total_assets, round(le, 2) + 0.0 AS total_le, round(a - le, 2) + 0.0 AS difference,
   CASE WHEN a <> 0 THEN abs(round(a - le, 2)) / abs(a) < 0.001 ELSE abs(round(a - le, 2)) < 1e-9 END AS is_balanced FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id, threshold ORDER BY year DESC) AS rn FROM (
     SELECT x.document_id, CAST(t.t AS DOUBLE) AS threshold, x.year, coalesce(sum(x.value) FILTER (NOT c.is_subtotal AND c.broad_category IN ('Current Assets', 'Non-Current Assets')), 0) AS a,
@@ -79,7 +79,7 @@ SWEEP = f"""SELECT document_id, threshold, year, round(a, 2) AS total_assets, ro
 
 @query("f03_threshold_balance", SWEEP, SUG, {**SG, "best": BEST, "pend": PENDING})
 def f03b(t):
-    return N.threshold_balance(signed(t), pending(t), t.row_values, t.coa).withColumns({c: F.round(c, 2) for c in ("total_assets", "total_le")})
+    return N.threshold_balance(signed(t), pending(t), t.row_values, t.coa).withColumns({c: F.round(c, 2) + 0.0 for c in ("total_assets", "total_le")})
 
 
 @query("f03_threshold_recon")
