@@ -83,7 +83,7 @@ def infer_subtotals(rows: DataFrame, canonical_fields: DataFrame, fields: list[s
     parents = canonical_fields.filter(F.col("parent_field").isin(fields)).select("canonical_field", "parent_field")
     present = rows.filter(F.col("is_subtotal") & F.col("canonical_field").isin(fields)).select(
         "document_id", F.col("canonical_field").alias("parent_field")).distinct()
-    kids = rows.filter(~F.col("is_subtotal") & F.col("value").isNotNull()).join(F.broadcast(parents), "canonical_field")
+    kids = rows.filter(~F.col("is_subtotal") & F.col("value").isNotNull()).join(parents, "canonical_field")
     return (kids.groupBy("document_id", "parent_field").agg(F.count(F.lit(1)).alias("n_children"), F.sum("value").alias("inferred_value"))
             .filter("n_children >= 2").join(present, ["document_id", "parent_field"], "left_anti"))
 
@@ -138,7 +138,7 @@ def apply_fallback(rows: DataFrame, answers: DataFrame, canonical_fields: DataFr
     Answers outside the fields of the row's template are ignored.
     """
     allowed = canonical_fields.select(F.col("canonical_field").alias("answer_field"), "supported_templates")
-    a = answers.join(F.broadcast(allowed), "answer_field")
+    a = answers.join(allowed, "answer_field")
     j = rows.join(a, ["document_id", "extraction_id"], "left")
     use = (F.col("canonical_field").isNull() & F.col("answer_field").isNotNull()
            & F.array_contains("supported_templates", F.col("template_type")))

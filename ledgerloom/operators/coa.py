@@ -14,6 +14,7 @@ from .ordered import part_no, top_k
 
 BALANCE_TOLERANCE = 0.001
 ROWS_PER_PART = 10_000
+MAX_CHART_LINES = 50_000
 
 
 def gate_rows(rows: DataFrame) -> DataFrame:
@@ -218,7 +219,9 @@ def format_spread(documents: DataFrame, aggregated: DataFrame, heads: DataFrame,
     """
     order = F.struct(F.split_part("coa_id", F.lit("-"), F.lit(1)).alias("prefix"),
                      F.split_part("coa_id", F.lit("-"), F.lit(2)).cast("int").alias("no"), "coa_id", "line_item_name", "statement")
-    chart = coa.agg(F.array_sort(F.collect_list(order))).scalar()
+    whole = F.when(F.count(F.lit(1)) <= MAX_CHART_LINES, F.array_sort(F.collect_list(order))).otherwise(
+        F.raise_error(F.lit(f"a chart of accounts has at most {MAX_CHART_LINES} lines")))
+    chart = coa.agg(whole).scalar()
     lines = documents.select("document_id", F.posexplode(chart).alias("line_no", "c")).select(
         "document_id", (F.col("line_no") + 1).alias("line_no"), "c.coa_id", "c.line_item_name", "c.statement")
     h = heads.select("document_id", "coa_id", "confidence", "mapping_source")

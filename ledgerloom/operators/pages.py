@@ -185,12 +185,13 @@ def statement_scope(pages: DataFrame, selected: DataFrame) -> DataFrame:
         "document_id", "section", "page_number", F.coalesce("scope", F.lit("unknown")).alias("scope"))
 
 
+_STATEMENT_PATTERNS = [(p, t) for p, t, *_ in R.STATEMENT_SIGNALS if t != "notes"]
 _POSITIONS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("statement_type", T.StringType())]))
 
 
 @F.pandas_udf(_POSITIONS)
 def _heading_positions(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    signals = [(re.compile(p), t) for p, t, *_ in R.STATEMENT_SIGNALS if t != "notes"]
+    signals = [(re.compile(p), t) for p, t in _STATEMENT_PATTERNS]
     for batch in texts:
         out = []
         for text in batch:

@@ -16,9 +16,11 @@ REVIEW_BELOW = 0.80
 
 def fy12(row_values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Values of the two latest years of each `keys`, by the first 19dd or 20dd of the year key; nulls keep their rank."""
-    ranked = top_k(row_values, keys, [F.desc(X.header_year("year")), F.desc("year")], 2, "_fy")
-    pick = lambda k: F.max(F.when(F.col("_fy") == k, F.col(value)))
-    return ranked.groupBy(*keys).agg(pick(1).alias("fy1"), pick(2).alias("fy2"))
+    newest = F.struct(X.header_year("year").alias("n"), F.col("year").alias("y"), F.col(value).alias("v"))
+    # A key has a handful of years, so their list is short.
+    g = row_values.groupBy(*keys).agg(F.sort_array(F.collect_list(newest), asc=False).alias("_y"))
+    pick = lambda k: F.try_element_at("_y", F.lit(k))["v"]
+    return g.select(*keys, pick(1).alias("fy1"), pick(2).alias("fy2"))
 
 
 def document_library(documents: DataFrame, rows: DataFrame, outcomes: DataFrame, heads: DataFrame, balance: DataFrame) -> DataFrame:

@@ -456,7 +456,7 @@ FROM fx_canonical GROUP BY 1"""
 def a08(t):
     """Documents as JSON, parsed again: the counts of rows per bucket."""
     kinds = R.canonical_fields_frame(t.spark).select(F.col("canonical_field").alias("raw_field"), "statement_type")
-    rows = numbered_scored(t).join(F.broadcast(kinds), "raw_field", "left").withColumnRenamed("raw_field", "raw_label")
+    rows = numbered_scored(t).join(kinds, "raw_field", "left").withColumnRenamed("raw_field", "raw_label")
     docs = t.documents.withColumn("unit_scale", F.lit("units"))
     js = sinks.export_json(docs, rows, checks(t), "raw")
     n = lambda k: F.coalesce(F.size(F.from_json(F.get_json_object("json", f"$.statements.{k}"), "array<struct<raw_label:string>>")), F.lit(0))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -28,6 +30,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on; cluster sizing is left to the cluster."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # The few Python functions travel with the plan, so executors need no copy of this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     return spark
 
 
