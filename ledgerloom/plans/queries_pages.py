@@ -53,7 +53,7 @@ SELECT document_id, section, page_number FROM o_group WHERE section <> 'notes'
 UNION
 SELECT document_id, section, page_number FROM (
   SELECT document_id, section, start, page_number, max(blocked) OVER (PARTITION BY document_id, section, start ORDER BY page_number) AS b
-  FROM (SELECT g.document_id, g.section, g.page_number AS start, g.page_number + k.k AS page_number,
+  FROM (SELECT g.document_id, g.section, g.page_number AS start, CAST(g.page_number + k.k AS INT) AS page_number,
           CASE WHEN p.document_id IS NULL OR p.cls = 'scanned' OR coalesce(p.section_type NOT IN ('other', 'notes'), false)
                  OR EXISTS (SELECT 1 FROM o_foreign f WHERE f.document_id = g.document_id AND f.page_number = g.page_number + k.k
                             AND f.statement_type <> g.section) THEN 1 ELSE 0 END AS blocked
@@ -84,7 +84,7 @@ def sectioned(t):
   len(list_filter(regexp_split_to_array(html, '\\s+'), lambda x: length(x) > 1)) AS word_count FROM pages""")
 def a01(t):
     p = readers.read_pages(t.spark, f"{t.dir}/pages.parquet", id_col="page_id", text_col="html", keep=["url"])
-    return p.select("document_id", "url", F.length("text").alias("n_chars"), X.word_count("text").cast("bigint").alias("word_count"))
+    return p.select("document_id", "url", F.length("text").cast("bigint").alias("n_chars"), X.word_count("text").cast("bigint").alias("word_count"))
 
 
 @query("b01_page_stats", "SELECT document_id, page_number, wc AS word_count, round(ar, 6) AS ascii_ratio FROM o_stats", PAGES, BASE)

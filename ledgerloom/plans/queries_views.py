@@ -198,6 +198,12 @@ def f12(t):
     return out.select("document_id", "filename", "mapped_rows", "mappable_rows", "flagged", F.col("health").cast("double").alias("health"), "ui_status")
 
 
+@query("f12_ui_status", """SELECT run_id, CASE WHEN run_status IN ('error', 'processing') THEN run_status WHEN run_status <> 'done' THEN 'queued' WHEN run_id % 2 = 0 THEN 'complete' ELSE 'has_unmapped' END AS ui_status FROM fx_runs""", ("fx_runs",))
+def f12b(t):
+    r = t.runs.withColumn("spread_status", F.when(F.col("run_id") % 2 == 0, "spread_complete").otherwise("has_unmapped"))
+    return r.select("run_id", V.ui_status().alias("ui_status"))
+
+
 @query("f13_list_documents", "SELECT document_id, filename, fiscal_year FROM fx_documents WHERE template_type = 'T3' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 20", ("fx_documents",))
 def f13(t):
     return V.list_documents(t.documents, {"template_type": "T3"}, page=2)[0].select("document_id", "filename", "fiscal_year")
