@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ from ledgerloom.session import materialise, tune
 #: Odd multipliers of the shingle hash, one for each place in the shingle; the last two mix the sum.
 PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 MIX = 0xFF51AFD7ED558CCD
-#: Words whose hashes a worker keeps; beyond it the memory is emptied, which costs time only.
-MEMO = 400_000
+#: Base of the words' polynomial hash (odd, so that it has an inverse modulo 2**64), and bytes hashed at once.
+BASE, PIECE = 0xD1342543DE82EF95, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,36 +28,61 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes | None, width: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles.
-
-    Words are runs without ASCII white space, A-Z lower-cased. With fewer words than `width` the whole
-    sequence is the one shingle; without words the set is empty.
-    """
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    one = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
-    total = one[:n] * np.uint64(PLACES[0])
-    for k in range(1, width):
-        total += one[k : k + n] * np.uint64(PLACES[k])
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(MIX)
-    total ^= total >> np.uint64(32)
-    return np.unique(total)
+class Shingles:
+    """Shingle sets of whole texts; holds the tables of the hash."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+        self.byte = np.random.default_rng(20240229).integers(1, 2**64, 256, np.uint64)
+        self.word = np.ones(257, bool)
+        self.word[[9, 10, 11, 12, 13, 32, 256]] = False
+        self.power = self.inverse = np.empty(0, np.uint64)
+
+    def words(self, text: bytes) -> np.ndarray:
+        """64-bit hash of each word: a polynomial of its bytes, taken from running sums over the text."""
+        found = []
+        while text:
+            piece, text = text, b""
+            if len(piece) > PIECE and (cut := re.search(rb"[\x20\x09-\x0d]", piece[PIECE:])):
+                piece, text = piece[: PIECE + cut.start()], piece[PIECE + cut.start() :]
+            if len(piece) >= len(self.power):
+                n = max(2 * len(self.power), len(piece) + 1, 1 << 14)
+                self.power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, BASE, np.uint64)], dtype=np.uint64)
+                self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(BASE, -1, 2**64), np.uint64)], dtype=np.uint64)
+            buffer = np.frombuffer(piece, np.uint8)
+            edge = np.zeros(len(buffer) + 2, bool)
+            edge[1:-1] = self.word[buffer]
+            edge = np.flatnonzero(edge[1:] != edge[:-1])
+            first, last = edge[::2], edge[1::2]
+            total = np.zeros(len(buffer) + 1, np.uint64)
+            np.cumsum(self.byte[buffer] * self.power[: len(buffer)], out=total[1:])
+            found.append(mixed((total[last] - total[first]) * self.inverse[first]))
+        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of a text's word shingles.
+
+        Words are runs without ASCII white space, A-Z lower-cased. With fewer words than the width the whole
+        sequence is the one shingle; without words the set is empty.
+        """
+        one = self.words(text.lower()) if text else np.empty(0, np.uint64)
+        width = min(self.width, len(one))
+        if not width:
+            return one
+        n = len(one) - width + 1
+        total = np.full(n, width, np.uint64)
+        for k in range(width):
+            total += one[k : k + n] * np.uint64(PLACES[k])
+        total = mixed(total)
+        total.sort()
+        keep = np.ones(n, bool)
+        np.not_equal(total[1:], total[:-1], out=keep[1:])
+        return total[keep]
+
+
+def mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(29))) * np.uint64(MIX)
+    return value ^ (value >> np.uint64(32))
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:

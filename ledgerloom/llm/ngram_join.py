@@ -4,11 +4,12 @@ Two texts link when the Jaccard similarity of their word-shingle sets reaches th
 link with texts that share at least T = ceil(threshold * |x|) of its shingles. Its |x| - T + 1 rarest
 shingles therefore hold one shared shingle at least, and only these short lists are exchanged:
 
-1. count shingles that repeat anywhere in the corpus; the frequent ones become a bounded table of counts, which
-   fixes one order of shingles for everybody (a shingle beyond the table counts as rare; results do not depend on it);
-2. per document: set size, identity of the set, smallest shingle (its cluster) and the short lists it is in.
-   Equal sets collapse to one representative, so that groups of copies of any size cost one row per task;
-3. lists with two representatives or more say which clusters a representative has to visit;
+1. count the repeated shingles; their counts, in a table of fixed size indexed by hash bits, fix one order of
+   shingles for everybody (cells may be shared and rare shingles missing: results do not depend on the order);
+2. per document: set size, identity of the set and the short lists it is in. Equal sets collapse to one
+   representative, so that groups of copies of any size cost one row per task;
+3. with |x| - T + l short lists each, linked texts share l of them at least. A representative joins the cluster of
+   the smallest one it shares l lists with, and visits the later clusters it shares l lists with;
 4. in each block of a cluster, DivideSkip: merge the short lists with a heap, keep what occurs T - L times, look
    the survivors up in the L long lists by binary search, retain exact links. A spanning forest of the links
    leaves the block, never its pairs;
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, components, groups, lists, row_arrays, shingle_set, sliced
+from ledgerloom.llm.common import Shingles, components, groups, lists, row_arrays, sliced
 from ledgerloom.session import materialise, tune
 
-#: Rows of the table of frequent shingles (16 bytes each), whatever the corpus holds.
-FREQUENT_ROWS = 1_000_000
+#: Leading hash bits that index the table of counts (one byte a cell), and the cells collected for it at most.
+CELL_BITS, CELLS = 22, 400_000
+#: Short lists that a candidate has to share.
+SHARED = 6
 #: Shingles sorted at once while counting.
 CHUNK = 4_000_000
 #: Representatives in one block of a cluster.
@@ -46,11 +49,11 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_shingles(texts: DataFrame, width: int, rows: int = FREQUENT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of the corpus, sorted, and their counts."""
+def shingle_counts(texts: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
+    """Counts (up to 255) of the shingles that repeat, in cells indexed by the leading hash bits."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordHashes(), [], 0
+        shingles, held, size = Shingles(width), [], 0
 
         def repeated() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -60,7 +63,7 @@ def frequent_shingles(texts: DataFrame, width: int, rows: int = FREQUENT_ROWS) -
         for batch in batches:
             for part in sliced(batch, ROWS):
                 for text in part.column(0).to_pylist():
-                    held.append(shingle_set(text, width, memo))
+                    held.append(shingles(text))
                     size += len(held[-1])
                     if size > CHUNK:
                         yield repeated()
@@ -68,31 +71,33 @@ def frequent_shingles(texts: DataFrame, width: int, rows: int = FREQUENT_ROWS) -
         if held:
             yield repeated()
 
-    sums = materialise(texts.select(F.col("text").cast("binary")).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8"))
-    # The least count for which the table stays within its rows, by powers of two: at most 64 sums.
+    sums = texts.select(F.col("text").cast("binary")).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sums = materialise(sums.groupBy(F.shiftrightunsigned("shingle", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.max("n").alias("n")))
+    # The least count for which the cells stay within their number, by powers of two: at most 64 sums.
     by_power = {r.p: r.c for r in sums.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("c")).collect()}
     least, total = 64, 0
     for p in sorted(by_power, reverse=True):
         total += by_power[p]
-        if total > rows:
+        if total > cells:
             break
         least = p
-    top = sums.where(F.col("n") >= float(2**least)).toPandas()
-    values, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(values)
-    return values[order], counts[order]
+    top = sums.where(F.col("n") >= float(2**least)).toArrow()
+    counts = np.zeros(2**CELL_BITS, np.uint8)
+    counts[top.column("cell").to_numpy()] = np.minimum(top.column("n").to_numpy(), 255)
+    return counts
 
 
-def rarest(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The |x| - T + 1 shingles of a set that come first in the common order (count, then hash)."""
-    keys, counts = frequent
+def smallest(percent: int) -> int:
+    """Least size of a set that can link with a different one (with itself plus one more shingle)."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**31
+
+
+def rarest(values: np.ndarray, counts: np.ndarray, percent: int, shared: int) -> np.ndarray:
+    """The |x| - T + l shingles of a set that come first in the common order (count, then hash)."""
     n = len(values)
-    keep = n - required(n, percent) + 1 if n else 0
-    if not len(keys):
-        return values[:keep]
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    count = np.where(keys[at] == values, counts[at], 0)
-    return values[np.lexsort((values, count))[:keep]]
+    if n < smallest(percent):
+        return values[:0]
+    return values[np.lexsort((values, counts[values >> np.uint64(64 - CELL_BITS)]))[: n - required(n, percent) + shared]]
 
 
 class Block:
@@ -156,7 +161,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], resident: list[bool], pe
     return edges
 
 
-def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: int = BLOCK_ROWS, frequent_rows: int = FREQUENT_ROWS) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: int = BLOCK_ROWS, cells: int = CELLS) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of `docs` (doc_id long, text string; more columns are ignored).
 
     Null or wordless text: no shingles, linked with nothing, component_id is the document itself. Rows that share
@@ -165,39 +170,45 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: i
     """
     spark = tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, width, frequent_rows))
+    counts = spark.sparkContext.broadcast(shingle_counts(texts, width, cells))
+    shared_lists = min(SHARED, required(smallest(percent), percent))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        shingles = Shingles(width)
         for batch in batches:
             for part in sliced(batch, ROWS):
-                sets = [shingle_set(t, width, memo) for t in part.column(1).to_pylist()]
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
                 whole = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                short = [rarest(s, frequent.value, percent).view(np.int64) for s in sets]
+                short = [rarest(s, counts.value, percent, shared_lists).view(np.int64) for s in sets]
                 yield pa.record_batch({
                     "doc_id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "whole": pa.array(whole, pa.binary()),
-                    "cluster": pa.array([int(s.view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()), "short": lists(short, pa.int64()),
+                    "short": lists(short, pa.int64()),
                 })
 
-    rows = materialise(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(described, "doc_id long, n long, whole binary, cluster long, short array<long>"))
-    reps = materialise(rows.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("cluster").alias("cluster"), F.first("short").alias("short")))
+    rows = materialise(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(described, "doc_id long, n long, whole binary, short array<long>"))
+    reps = materialise(rows.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short")))
 
-    posted = reps.where("rep IS NOT NULL").select("rep", "cluster", F.explode("short").alias("shingle"))
-    several = posted.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("shingle")
+    posted = reps.where("rep IS NOT NULL").select("rep", "n", F.explode("short").alias("shingle"))
+    several = posted.groupBy("shingle").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("shingle", F.col("lo").alias("lead"))
     shared = materialise(posted.join(several, "shingle"))
-    lists_of = shared.groupBy("shingle").agg(F.collect_set("cluster").alias("clusters"))
-    visits = materialise(shared.join(lists_of, "shingle").groupBy("rep", "cluster").agg(F.array_distinct(F.flatten(F.collect_set("clusters"))).alias("clusters")))
-    large = visits.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > block_rows).select(F.col("cluster").alias("target"), F.ceil(F.col("c") / block_rows).cast("int").alias("parts"))
-    own = visits.join(large.withColumnRenamed("target", "cluster"), "cluster", "left").select("rep", "cluster", "clusters", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    routed = own.select("rep", "cluster", "part", F.explode("clusters").alias("target")).where("target >= cluster").join(large, "target", "left")
-    routed = routed.select("rep", "cluster", "part", "target", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("target_part"))
+    led = shared.groupBy("rep", "lead").agg(F.count("*").alias("c")).groupBy("rep").agg(F.min(F.when(F.col("c") >= shared_lists, F.col("lead"))).alias("lead"))
+    clustered = materialise(shared.select("rep", "n", "shingle").join(led.select("rep", F.coalesce("lead", "rep").alias("cluster")), "rep"))
+    lists_of = clustered.groupBy("shingle", F.col("cluster").alias("target")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (100 * F.col("least") * percent <= 10_000 * F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+    visits = clustered.join(lists_of, "shingle").where((F.col("target") >= F.col("cluster")) & fits).groupBy("rep", "cluster", "target").agg(F.count("*").alias("c")).where(F.col("c") >= shared_lists).select("rep", "cluster", "target")
+    visits = materialise(visits)
+    sizes = visits.groupBy("target").agg(F.count("*").alias("c"), F.sum((F.col("target") == F.col("cluster")).cast("int")).alias("home")).where("c > 1")
+    sizes = materialise(sizes.select("target", F.greatest(F.ceil(F.col("home") / block_rows), F.lit(1)).cast("int").alias("parts")))
+    # A cluster of many parts: its members are dealt to the parts, and each visits the parts after its own.
+    routed = visits.join(sizes, "target").join(sizes.select(F.col("target").alias("cluster"), F.col("parts").alias("own")), "cluster", "left")
+    routed = routed.select("rep", "cluster", "target", F.pmod(F.xxhash64("rep"), F.coalesce("own", F.lit(1))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("target_part"))
     routed = routed.where("target > cluster OR target_part >= part").groupBy("rep").agg(F.collect_set(F.struct("target", "target_part", ((F.col("target") == F.col("cluster")) & (F.col("part") == F.col("target_part"))).alias("resident"))).alias("to"))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        shingles = Shingles(width)
         for batch in batches:
             for part in sliced(batch, 200):
-                out = [(r, t["target"], t["target_part"], t["resident"], s) for r, text, to in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for s in [shingle_set(text, width, memo).view(np.int64)] for t in to]
+                out = [(r, t["target"], t["target_part"], t["resident"], s) for r, text, to in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for s in [shingles(text).view(np.int64)] for t in to]
                 if out:
                     rep, target, piece, resident, sets = zip(*out, strict=True)
                     yield pa.record_batch({"rep": pa.array(rep, pa.int64()), "target": pa.array(target, pa.int64()), "part": pa.array(piece, pa.int32()), "resident": pa.array(resident, pa.bool_()), "shingles": lists(list(sets), pa.int64())})
