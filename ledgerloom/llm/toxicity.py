@@ -3,7 +3,8 @@
 Counts: one pass over all texts gives, per word, its count in the corpus, in toxic and in other learning
 documents. Words and word beginnings get the log-odds of both classes under Dirichlet priors whose shape is the
 corpus and whose weight is a share of each class (Monroe, Colaresi and Quinn); those that stand out make the
-model. Scan: every word scores its log-odds, all others a small negative drift; Ruzzo and Tompa's linear scan
+model. Near copies of one toxic text would make all its words stand out, so that a term counts as often as it
+has different words before it in toxic texts. Scan: every word scores its log-odds, all others a small negative drift; Ruzzo and Tompa's linear scan
 finds all maximal segments. Karlin and Altschul's statistics turn a segment of score S in N words into
 lambda * S - ln(K * N), from which E-values follow; the document's evidence is the sum over its significant
 segments, and a logistic curve through all learning documents makes it a probability.
@@ -32,8 +33,8 @@ TERMS = 50_000
 HELD_WORDS = 300_000
 #: Lengths of word beginnings that are terms of their own.
 BEGINNINGS = (4, 5, 6, 7)
-#: Weight of the prior as a share of a class's words; least |z| of a term; score of any other word.
-PRIOR_SHARE, LEAST_Z, DRIFT = 0.1, 4.0, -0.2
+#: Weight of the prior as a share of a class's words; least |z| and log-odds of a term; score of any other word.
+PRIOR_SHARE, LEAST_Z, LEAST_ODDS, DRIFT = 0.1, 4.0, 1.0, -0.2
 #: E-value up to which a segment counts as significant.
 SIGNIFICANT = 1.0
 ROWS = 2000
@@ -128,11 +129,37 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms:
     begun = words.where("t + o > 0").select(cut, "n", "t", "o").where("c IS NOT NULL").groupBy("c.word", "c.k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("o").alias("o"))
     terms = words.where("t + o > 0").select("word", F.lit(0).alias("k"), "n", "t", "o").unionByName(begun.select("word", "k", "n", "t", "o"))
     a_t, a_o = PRIOR_SHARE * toxic, PRIOR_SHARE * other
-    share = F.col("n") / total
-    y_t, y_o = F.col("t") + a_t * share, F.col("o") + a_o * share
-    odds = F.log(y_t / (toxic + a_t - y_t)) - F.log(y_o / (other + a_o - y_o))
-    terms = terms.where((y_t < toxic + a_t) & (y_o < other + a_o)).select("word", "k", "t", "o", odds.alias("odds"), F.abs(odds / F.sqrt(1 / y_t + 1 / y_o)).alias("z")).where(F.col("z") >= LEAST_Z)
-    rows = terms.orderBy(F.desc("z"), "k", "word").limit(max_terms).collect()
+
+    def standing_out(found: DataFrame) -> DataFrame:
+        y_t, y_o = F.col("t") + a_t * F.col("n") / total, F.col("o") + a_o * F.col("n") / total
+        odds = F.log(y_t / (toxic + a_t - y_t)) - F.log(y_o / (other + a_o - y_o))
+        found = found.where((y_t < toxic + a_t) & (y_o < other + a_o)).select("word", "k", "n", "t", "o", odds.alias("odds"), F.abs(odds / F.sqrt(1 / y_t + 1 / y_o)).alias("z"))
+        return found.where((F.col("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS))
+
+    strong = materialise(standing_out(terms))
+    named = {(bytes(r.word), r.k) for r in strong.where("odds > 0").orderBy(F.desc("z"), "k", "word").limit(max_terms).select("word", "k").collect()}
+    wanted = docs.sparkSession.sparkContext.broadcast(named)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, ROWS):
+                seen = set()
+                for text in part.column(0).to_pylist():
+                    before = b""
+                    for word in tokens(text):
+                        for k in (0, *BEGINNINGS):
+                            term = word.decode("utf-8", "replace")[:k].encode() if k else word
+                            if (term, k) in wanted.value:
+                                seen.add((term, k, before))
+                        before = word
+                if seen:
+                    term, k, before = zip(*seen, strict=True)
+                    yield pa.record_batch({"word": pa.array(term, pa.binary()), "k": pa.array(k, pa.int32()), "before": pa.array(before, pa.binary())})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(labelled.where("toxic = 1")), "doc_id").select("text")
+    spread = texts.mapInArrow(contexts, "word binary, k int, before binary").distinct().groupBy("word", "k").agg(F.count("*").alias("c"))
+    terms = strong.join(spread, ["word", "k"], "left").withColumn("t", F.least("t", F.coalesce("c", F.lit(0))))
+    rows = standing_out(terms).orderBy(F.desc("z"), "k", "word").limit(max_terms).collect()
     best = {(bytes(r.word), r.k): r for r in rows}
     whole = {w: r.odds for (w, k), r in best.items() if not k}
     begin = {w: (r.odds, r.z) for (w, k), r in best.items() if k}
