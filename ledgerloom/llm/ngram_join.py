@@ -235,3 +235,18 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: i
     found = components(links.unionByName(same))
     label = reps.select("whole", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("label"))
     return rows.select("doc_id", "n", "whole").join(label, "whole", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """`docs` with one row of each group of linked texts: that of the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id cannot be named
+    and stay, as do texts without words.
+    """
+    found = ngram_join(docs, width, percent)
+    dropped = materialise(found.where("doc_id <> component_id").select("doc_id").distinct())
+    twice = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if not twice.take(1):
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

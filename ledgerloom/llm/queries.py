@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, table
+from ledgerloom.llm.decontaminate import contamination
 from ledgerloom.llm.language import identify
+from ledgerloom.llm.mixing import block_order, plan
 from ledgerloom.llm.ngram_join import ngram_join
+from ledgerloom.llm.sharding import oracle as sharding_oracle
+from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.toxicity import toxicity
 
 
@@ -21,10 +25,22 @@ def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "shard", "depth", "n_bytes")
+
+
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_order(plan(table(spark, sf_dir, "documents"))[0])
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op3_language_kernel, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op3_language_kernel, op6_benchmark_edits, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_extendible_shards": sharding_oracle()}
