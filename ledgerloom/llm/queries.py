@@ -15,6 +15,10 @@ from ledgerloom.llm.ngram_join import ngram_join
 from ledgerloom.llm.sharding import oracle as sharding_oracle
 from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.toxicity import toxicity
+from ledgerloom.llm.urls import judge
+from ledgerloom.llm.urls import oracle as urls_oracle
+from ledgerloom.llm.warc import ORACLE as WARC_ORACLE
+from ledgerloom.llm.warc import round_trip
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +29,18 @@ def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "shard", "depth", "n_bytes")
 
@@ -41,6 +53,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op3_language_kernel, op6_benchmark_edits, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op3_language_kernel, op5_arc_to_warc, op6_benchmark_edits, op7_redirect_rules, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
 
-ORACLES: dict[str, str] = {"op8_extendible_shards": sharding_oracle()}
+ORACLES: dict[str, str] = {"op5_arc_to_warc": WARC_ORACLE, "op7_redirect_rules": urls_oracle(), "op8_extendible_shards": sharding_oracle()}
