@@ -10,18 +10,15 @@ shingles therefore hold one shared shingle at least, and only these short lists
    representative, so that groups of copies of any size cost one row per task;
 3. with |x| - T + l short lists each, linked texts share l of them at least. A representative joins the cluster of
    the smallest one it shares l lists with, and visits the later clusters it shares l lists with;
-4. in each block of a cluster, DivideSkip: merge the short lists with a heap, keep what occurs T - L times, look
-   the survivors up in the L long lists by binary search, retain exact links. A spanning forest of the links
+4. in each block of a cluster, DivideSkip: merge the short lists, keep what occurs T - L times, look the survivors up in the L long lists by binary search, retain exact links. A spanning forest of the links
    leaves the block, never its pairs;
 5. connected components of the links, carried over to the copies.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +36,7 @@ SHARED = 6
 #: Shingles sorted at once while counting.
 CHUNK = 4_000_000
 #: Representatives in one block of a cluster.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1000
 #: Arrow rows worked on at once.
 ROWS = 2000
 
@@ -104,60 +101,54 @@ class Block:
     """Inverted lists of the sets of one block; answers which of them link with a set."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = [len(s) for s in sets]
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         self.keys, starts = np.unique(flat[order], return_index=True)
         self.owners, self.starts = owner[order], np.append(starts, len(flat))
 
-    def linked(self, query: np.ndarray, percent: int, skip) -> Iterator[int]:
-        """Members whose overlap with the query is large enough; `skip(member)` is asked before the long lists are."""
+    def linked(self, query: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """Members whose overlap with the query is large enough, of those that `wanted` marks."""
         at = np.searchsorted(self.keys, query)
         at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == query)]
         need = required(len(query), percent)
         if len(at) < need:
-            return
+            return at[:0]
         found = sorted((self.owners[self.starts[k] : self.starts[k + 1]] for k in at), key=len)
-        longest = len(found[-1])
-        long_lists = min(need - 1, int(need / (0.01 * math.log2(longest + 1) + 1)))
+        long_lists = min(need - 1, int(need / (0.01 * math.log2(len(found[-1]) + 1) + 1)))
         cut = len(found) - long_lists
-        short, long_ = found[:cut], found[cut:]
-        low, high = need, 100 * len(query) // percent  # sizes a partner can have
-        for member, hits in groupby(heapq.merge(*(s.tolist() for s in short))):
-            count = sum(1 for _ in hits)
-            if count < need - long_lists or not low <= self.sizes[member] <= high or skip(member):
-                continue
-            for k, values in enumerate(long_):
-                i = int(np.searchsorted(values, member))
-                count += i < len(values) and values[i] == member
-                if count + len(long_) - k - 1 < need:
-                    break
-            if 100 * count >= percent * (len(query) + self.sizes[member] - count):
-                yield member
+        # Timsort takes the sorted short lists as runs and merges them.
+        merged = np.sort(np.concatenate(found[:cut]), kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        members, count = merged[first], np.diff(np.append(first, len(merged)))
+        sizes = self.sizes[members]
+        keep = (count >= need - long_lists) & wanted[members] & (sizes >= need) & (percent * sizes <= 100 * len(query))
+        members, count = members[keep], count[keep]
+        for k, values in enumerate(found[cut:]):
+            place = np.searchsorted(values, members)
+            count = count + (values[np.minimum(place, len(values) - 1)] == members)
+            if k % 8 == 7:
+                keep = count + (long_lists - k - 1) >= need
+                members, count = members[keep], count[keep]
+            if not len(members):
+                break
+        return members[100 * count >= percent * (len(query) + self.sizes[members] - count)]
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], resident: list[bool], percent: int) -> list[tuple[int, int]]:
     """Links that join the rows of a block to each other: a spanning forest of all links with a resident."""
-    parent = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    home = [i for i in range(len(ids)) if resident[i]]
-    if not home or len(ids) < 2:
+    home = np.flatnonzero(resident)
+    if not len(home) or len(ids) < 2:
         return []
-    block, edges = Block([sets[i] for i in home]), []
-    for i in range(len(ids)):
-        for member in block.linked(sets[i], percent, lambda m, i=i: root(home[m]) == root(i)):
-            a, b = root(i), root(home[member])
-            if a != b:
-                parent[a] = b
-                if ids[i] != ids[home[member]]:
-                    edges.append((ids[i], ids[home[member]]))
+    block, edges, label = Block([sets[i] for i in home]), [], np.arange(len(ids))
+    for i, own in enumerate(sets):
+        # What is connected already need not be looked up.
+        for member in block.linked(own, percent, label[home] != label[i]):
+            j = home[member]
+            if label[i] != label[j]:
+                label[label == label[i]] = label[j]
+                edges.append((ids[i], ids[j]))
     return edges
 
 
