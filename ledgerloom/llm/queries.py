@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.ann import nearest
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontaminate import contamination
 from ledgerloom.llm.language import identify
@@ -25,6 +26,10 @@ def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_small_world_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -53,6 +58,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op3_language_kernel, op5_arc_to_warc, op6_benchmark_edits, op7_redirect_rules, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op2_small_world_neighbours, op3_language_kernel, op5_arc_to_warc, op6_benchmark_edits, op7_redirect_rules, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {"op5_arc_to_warc": WARC_ORACLE, "op7_redirect_rules": urls_oracle(), "op8_extendible_shards": sharding_oracle()}

@@ -97,7 +97,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
 def oracle(limit: int = SHARD_BYTES) -> str:
     return f"""
 WITH h AS (
-  SELECT doc_id, coalesce(octet_length(text::BLOB), 0)::BIGINT AS n_bytes,
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h
   FROM documents),
 levels AS (

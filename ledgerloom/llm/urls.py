@@ -108,8 +108,8 @@ t AS (
   SELECT node, unnest([regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*[\"'']?\\s*([^\"''>\\s]+)', 1),
     regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*[\"'']?\\s*([^\"''>\\s]+)', 1)]) AS url FROM n WHERE node IS NOT NULL),
 e AS (SELECT node AS a, {key('rest')} AS b FROM (SELECT node, rest, {parts('rest')} FROM (SELECT node, {parse('url')} AS rest FROM t WHERE instr(url, '://') > 0))),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, both.b FROM reach r JOIN both ON both.a = r.b),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM pairs UNION SELECT r.a, pairs.b FROM reach r JOIN pairs ON pairs.a = r.b),
 member AS (SELECT DISTINCT a AS node, b AS other, {parts('b')} FROM reach),
 shared AS (SELECT node, min(other) AS component, bool_or(v = 'allow') AS allowed, bool_or(v = 'block') AS blocked FROM (SELECT node, other, {pick(lambda r: r.verdict)} AS v FROM member) GROUP BY node)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict, component
