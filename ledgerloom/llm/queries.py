@@ -11,6 +11,7 @@ from ledgerloom.llm.ann import nearest
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontaminate import contamination
 from ledgerloom.llm.language import identify
+from ledgerloom.llm.licences import scan
 from ledgerloom.llm.mixing import block_order, plan
 from ledgerloom.llm.ngram_join import ngram_join
 from ledgerloom.llm.sharding import oracle as sharding_oracle
@@ -34,6 +35,10 @@ def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -58,6 +63,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op2_small_world_neighbours, op3_language_kernel, op5_arc_to_warc, op6_benchmark_edits, op7_redirect_rules, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_toxic_segments, op2_small_world_neighbours, op3_language_kernel, op4_licence_paragraphs, op5_arc_to_warc, op6_benchmark_edits, op7_redirect_rules, op8_extendible_shards, op9_temperature_mix, op10_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {"op5_arc_to_warc": WARC_ORACLE, "op7_redirect_rules": urls_oracle(), "op8_extendible_shards": sharding_oracle()}
