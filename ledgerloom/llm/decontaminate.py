@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ from ledgerloom.session import materialise, tune
 
 #: Share of an item's words that may be edited; recall asked of the buckets at that distance; places in a key.
 EDITS, RECALL, PLACES = 0.2, 0.99, 3
-#: Repetitions, at least and at most (each walk serves as many keys as WALK_KEYS).
-LEAST, MOST, WALK_KEYS = 16, 256, 8
+#: Repetitions, at least and at most; each walk serves WALK_KEYS of them.
+LEAST, MOST, WALK_KEYS = 128, 512, 8
 #: Items indexed at once; further items take further passes. Longest run that marks a window.
 ITEMS, RUN = 20_000, 3
-ROWS, WINDOWS = 500, 20_000
+ROWS, WINDOWS = 2000, 20_000
 _PLAIN = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_PLAIN = _PLAIN.translate(bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32))
+_PLAIN = _PLAIN.translate(bytes.maketrans(b"\0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 33))
+#: Stands between the texts of a batch.
+_BORDER = b"\0"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,46 +53,58 @@ def run_length(m: int, share: float = EDITS) -> int:
     return max(1, min(RUN, (m - e) // (e + 1)))
 
 
-def _bits(step: int, words: np.ndarray, seed: int) -> np.ndarray:
-    """A fixed random bit of each (seed, step, word)."""
-    x = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + step * 7919 + 1) * 0xBF58476D1CE4E5B9 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(17)) & np.uint64(1)
+def walks(windows: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """The first 1.5 m places of the CGK embedding of windows (rows of word ids, -1 after a window's length m).
 
-
-def walks(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The CGK embedding of windows (rows of word ids) of one length m: 3 m places; -1 after a walk's end."""
-    rows, m = windows.shape
-    padded = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1)
-    at, line, out = np.zeros(rows, np.int64), np.arange(rows), np.empty((rows, 3 * m), windows.dtype)
-    for step in range(3 * m):
-        out[:, step] = now = padded[line, at]
-        at += ((_bits(step, now, seed) == 1) & (at < m)).astype(np.int64)
+    Most walks of 3 m steps are over after 2 m and all look alike from there.
+    """
+    rows, most = windows.shape
+    flat = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1).ravel()
+    start = np.arange(rows) * (most + 1)
+    at, end = start.copy(), start + lengths
+    mixed = (windows_hash(flat) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    steps = (3 * most + 1) // 2
+    out = np.empty((steps, rows), windows.dtype)
+    for step in range(steps):
+        out[step] = flat[at]
+        x = mixed[at] + np.uint64((seed * 1_000_003 + step * 7919 + 1) * 0xBF58476D1CE4E5B9 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        # A fixed random bit of (walk, step, word) says whether the walk moves on.
+        at += ((x >> np.uint64(40)) & np.uint64(1)).astype(np.int64) * (at < end)
     return out
 
 
-def keys(embedded: np.ndarray, m: int, walk: int) -> np.ndarray:
-    """WALK_KEYS bucket keys per row: hashes of sampled places of one walk.
+def windows_hash(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.uint64) + np.uint64(11)
 
-    Most walks are over after 2 m steps and all look alike from there: places come from the first 1.5 m.
-    """
-    rng = np.random.default_rng(1000 * walk + m)
-    out = np.empty((len(embedded), WALK_KEYS), np.uint64)
+
+def keys(embedded: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
+    """WALK_KEYS bucket keys per window: hashes of sampled places of one walk."""
+    line, out = np.arange(len(lengths)), np.empty((len(lengths), WALK_KEYS), np.uint64)
+    fraction = np.random.default_rng(1000 + walk).random((WALK_KEYS, PLACES))
     for k in range(WALK_KEYS):
-        places = np.sort(rng.choice((3 * m + 1) // 2, min(PLACES, (3 * m + 1) // 2), replace=False))
-        h = np.full(len(embedded), k + 1, np.uint64)
-        for p in places:
-            h = (h ^ (embedded[:, p].astype(np.uint64) + np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
+        h = lengths.astype(np.uint64) * np.uint64(WALK_KEYS) + np.uint64(k + 1)
+        for f in fraction[k]:
+            place = (f * ((3 * lengths + 1) // 2)).astype(np.int64)
+            h = (h ^ (embedded[place, line].astype(np.uint64) + np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
         out[:, k] = h
     return out
 
 
+def padded(rows: list[np.ndarray], fill: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(r) for r in rows], np.int64)
+    out = np.full((len(rows), int(lengths.max(initial=0))), fill, np.int64)
+    for row, r in zip(out, rows, strict=True):
+        row[: len(r)] = r
+    return out, lengths
+
+
 def repetitions(items: list[np.ndarray], share: float, recall: float) -> int:
     """Repetitions that reach the recall for an item at its largest distance, by simulation on up to 200 items."""
     rng = np.random.default_rng(7)
     chosen = [i for i in items if edits_allowed(len(i), share)][:200]
-    pairs: dict[int, list[np.ndarray]] = defaultdict(list)
+    pairs: list[np.ndarray] = []
     for item in chosen:
         m, edited = len(item), item.tolist()
         for _ in range(edits_allowed(m, share)):
@@ -100,13 +115,13 @@ def repetitions(items: list[np.ndarray], share: float, recall: float) -> int:
                 del edited[at]
             else:
                 edited[at] = -5
-        pairs[m] += [item, np.array((edited + [-6] * m)[:m])]
-    met: dict[int, np.ndarray] = {m: np.zeros(len(p) // 2, bool) for m, p in pairs.items()}
+        pairs += [item, np.array((edited + [-6] * m)[:m])]
+    rows, lengths = padded(pairs)
+    met = np.zeros(len(chosen), bool)
     for n in range(1, MOST // WALK_KEYS + 1):
-        for m, p in pairs.items():
-            k = keys(walks(np.stack(p), n - 1), m, n - 1)
-            met[m] |= (k[::2] == k[1::2]).any(axis=1)
-        if n * WALK_KEYS >= LEAST and sum(int(x.sum()) for x in met.values()) >= recall * len(chosen):
+        k = keys(walks(rows, lengths, n), lengths, n)
+        met |= (k[::2] == k[1::2]).any(axis=1)
+        if n * WALK_KEYS >= LEAST and met.mean() >= recall:
             return n * WALK_KEYS
     return MOST
 
@@ -122,24 +137,19 @@ class Index:
         self.walks = math.ceil(repetitions(self.items, share, recall) / WALK_KEYS)
         self.base = len(self.vocabulary) + 1
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        by_length: dict[int, list[int]] = defaultdict(list)
         for i, item in enumerate(self.items):
-            by_length[len(item)].append(i)
             n = run_length(len(item), share)
             for j in range(len(item) - n + 1):
                 runs[n].append((self.code(item[j : j + n]), j, len(item)))
         #: By run length: codes in order, with the run's place in an item and the item's length.
         self.runs = {n: tuple(np.array(c) for c in zip(*sorted(set(r)), strict=True)) for n, r in runs.items()}
-        self.buckets: dict[int, list[dict[int, list[int]]]] = {}
-        for m, group in by_length.items():
-            rows = np.stack([self.items[i] for i in group])
-            self.buckets[m] = []
-            for w in range(self.walks):
-                table: dict[int, list[int]] = defaultdict(list)
-                for i, row in zip(group, keys(walks(rows, w), m, w).tolist(), strict=True):
-                    for k in row:
-                        table[k].append(i)
-                self.buckets[m].append(dict(table))
+        #: By walk: the items' bucket keys in order, and the items.
+        self.buckets = []
+        rows, lengths = padded(self.items)
+        for w in range(1, self.walks + 1 if self.items else 1):
+            k = keys(walks(rows, lengths, w), lengths, w)
+            order = np.argsort(k, axis=None)
+            self.buckets.append((k.ravel()[order], order // WALK_KEYS))
 
     def code(self, run: np.ndarray) -> int:
         value = 0
@@ -147,9 +157,9 @@ class Index:
             value = value * self.base + int(w) + 1
         return value
 
-    def windows(self, text: np.ndarray) -> list[tuple[int, int]]:
+    def windows(self, text: np.ndarray) -> np.ndarray:
         """(start, length) of the windows of a text that share a run with an item on their diagonal."""
-        found = set()
+        found = [np.empty((0, 2), np.int64)]
         for n, (codes, place, length) in self.runs.items():
             if len(text) < n:
                 continue
@@ -160,32 +170,44 @@ class Index:
                 value = value * self.base + part + 1
                 known &= part >= 0
             at = np.flatnonzero(known)
-            first, last = np.searchsorted(codes, value[at]), np.searchsorted(codes, value[at], side="right")
-            for i, a, b in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
-                found.update((i - int(place[k]), int(length[k])) for k in range(a, b))
-        return list(found)
-
-    def candidates(self, windows: np.ndarray) -> list[tuple[int, int]]:
-        """(row, item) of windows of one length that meet an item in a bucket."""
-        m = windows.shape[1]
-        pairs: set[tuple[int, int]] = set()
-        for w, table in enumerate(self.buckets[m]):
-            wanted = np.fromiter(table, np.uint64, len(table))
-            met = keys(walks(windows, w), m, w)
-            for row, k in zip(*np.nonzero(np.isin(met, wanted)), strict=True):
-                pairs.update((int(row), i) for i in table[int(met[row, k])])
-        return list(pairs)
-
-
-def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """Least word edits between the item and any stretch of the region, and the last place of that stretch."""
-    row = np.zeros(len(region) + 1, np.int64)
-    step = np.arange(len(region) + 1)
-    for word in item.tolist():
-        new = np.minimum(row + 1, np.concatenate(([row[0] + 1], row[:-1] + (region != word))))
-        row = np.minimum.accumulate(new - step) + step  # inserted words
-    at = int(row.argmin())
-    return int(row[at]), at
+            value = value[at]
+            first = np.searchsorted(codes, value)
+            hit = codes[np.minimum(first, len(codes) - 1)] == value
+            at, first = at[hit], first[hit]
+            count = np.searchsorted(codes, value[hit], side="right") - first
+            k = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.stack([np.repeat(at, count) - place[k], length[k]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def candidates(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(row, item) of the windows that meet an item of their length in a bucket."""
+        found = [np.empty(0, np.int64)]
+        for w, (codes, items) in enumerate(self.buckets, 1):
+            value = keys(walks(rows, lengths, w), lengths, w).ravel()
+            first = np.searchsorted(codes, value)
+            at = np.flatnonzero(codes[np.minimum(first, len(codes) - 1)] == value)
+            first, count = first[at], np.searchsorted(codes, value[at], side="right") - first[at]
+            k = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.unique(np.repeat(at // WALK_KEYS, count) * len(self.items) + items[k]))
+        pairs = np.unique(np.concatenate(found))
+        return np.stack([pairs // len(self.items), pairs % len(self.items)], axis=1)
+
+
+def best_stretches(items: np.ndarray, lengths: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the least word edits between the item and any stretch of the region, and where the first such ends.
+
+    Rows of word ids, filled up with different negative numbers.
+    """
+    rows, width = regions.shape
+    row, step = np.zeros((rows, width + 1), np.int64), np.arange(width + 1)
+    for j in range(items.shape[1]):
+        on = np.flatnonzero(lengths > j)
+        old = row[on]
+        new = old + 1
+        np.minimum(new[:, 1:], old[:, :-1] + (regions[on] != items[on, j, None]), out=new[:, 1:])
+        row[on] = np.minimum.accumulate(new - step, axis=1) + step  # inserted words
+    at = row.argmin(axis=1)
+    return row[np.arange(rows), at], at
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, recall: float = RECALL, items_at_once: int = ITEMS) -> DataFrame:
@@ -210,41 +232,65 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, r
     return out.select("doc_id", "item_id", F.col("best.edits").alias("edits"), "item_words", F.col("best.last_word").alias("last_word"))
 
 
+def _cut(text: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """Rows of `width` words from `start`; what lies outside low..high is filled."""
+    place = start[:, None] + np.arange(width)
+    inside = (place >= low[:, None]) & (place < high[:, None])
+    return np.where(inside, text[np.where(inside, place, 0)], fill)
+
+
+def _verified(index: Index, text: np.ndarray, begins: np.ndarray, ends: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, edits, last word) of the windows that hold an item."""
+    start, m = found[:, 0], found[:, 1]
+    # A window may begin before its text: it belongs to the text its middle run lies in, that of its last word.
+    d = np.searchsorted(ends, np.maximum(start, 0))
+    inside = np.minimum(np.searchsorted(ends, start + m - 1), len(ends) - 1)
+    rows = []
+    for doc in (d, inside):
+        ok = (start + m > begins[np.minimum(doc, len(ends) - 1)]) & (doc < len(ends))
+        rows.append(np.stack([np.minimum(doc, len(ends) - 1)[ok], start[ok], m[ok]], axis=1))
+    both = np.unique(np.concatenate(rows), axis=0)
+    d, start, m = both.T
+    windows = _cut(text, begins[d], np.minimum(ends[d], start + m), start, int(m.max(initial=0)), -2)
+    windows[np.arange(windows.shape[1]) >= m[:, None]] = -1
+    pairs = index.candidates(windows, m)
+    out = []
+    for a in range(0, len(pairs), 5000):
+        row, item = pairs[a : a + 5000].T
+        items, lengths = padded([index.items[i] for i in item.tolist()], -9)
+        e = np.array([edits_allowed(n, index.share) for n in lengths.tolist()], np.int64)
+        first = np.maximum(begins[d[row]], start[row] - 2 * e)
+        regions = _cut(text, begins[d[row]], np.minimum(ends[d[row]], start[row] + lengths + 2 * e), first, int((lengths + 4 * e).max(initial=0)), -8)
+        edits, last = best_stretches(items, lengths, regions)
+        for k in np.flatnonzero(edits <= e).tolist():
+            out.append((int(d[row[k]]), int(item[k]), int(edits[k]), int(first[k] - begins[d[row[k]]] + last[k])))
+    return out
+
+
 def _block_hits(docs: DataFrame, rows: list[tuple[int, list[bytes]]], share: float, recall: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Index([i for i, _ in rows], [w for _, w in rows], share, recall).__dict__)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = object.__new__(Index)
         index.__dict__.update(shared.value)
+        known = index.vocabulary | {_BORDER: -3}
         for batch in batches:
             for part in sliced(batch, ROWS):
-                texts: list[np.ndarray] = []
-                by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for d, text in enumerate(part.column(1).to_pylist()):
-                    words = words_of(text)
-                    texts.append(np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words)))
-                    for start, m in index.windows(texts[-1]):
-                        by_length[m].append((d, start))
-                hits: dict[tuple[int, int], tuple[int, int]] = {}
-                for m, places in by_length.items():
-                    for a in range(0, len(places), WINDOWS):
-                        some = places[a : a + WINDOWS]
-                        cut = np.full((len(some), m), -2, np.int64)
-                        for row, (d, start) in zip(cut, some, strict=True):
-                            low, high = max(start, 0), min(start + m, len(texts[d]))
-                            row[low - start : high - start] = texts[d][low:high]
-                        e = edits_allowed(m, index.share)
-                        for row, item in index.candidates(cut):
-                            d, start = some[row]
-                            low = max(0, start - 2 * e)
-                            edits, last = best_stretch(index.items[item], texts[d][low : start + m + 2 * e])
-                            if edits <= e:
-                                hits[d, item] = min(hits.get((d, item), (edits, low + last)), (edits, low + last))
+                # All texts of the batch in one array of word ids, each with a border after it.
+                words = b" \0 ".join([(t or b"").translate(_PLAIN) for t in part.column(1).to_pylist()] + [b""]).split()
+                text = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+                ends = np.flatnonzero(text == -3)
+                begins = np.append(0, ends[:-1] + 1)
+                found = index.windows(text)
+                hits = [hit for a in range(0, len(found), WINDOWS) for hit in _verified(index, text, begins, ends, found[a : a + WINDOWS])]
                 if hits:
+                    best: dict[tuple[int, int], tuple[int, int]] = {}
+                    for d, item, edits, last in hits:
+                        best[d, item] = min(best.get((d, item), (edits, last)), (edits, last))
                     ids = part.column(0).to_pylist()
                     yield pa.record_batch({
-                        "doc_id": pa.array([ids[d] for d, _ in hits], pa.int64()), "item_id": pa.array([index.ids[i] for _, i in hits], pa.int64()), "edits": pa.array([e for e, _ in hits.values()], pa.int32()),
-                        "item_words": pa.array([len(index.items[i]) for _, i in hits], pa.int32()), "last_word": pa.array([x for _, x in hits.values()], pa.int64()),
+                        "doc_id": pa.array([ids[d] for d, _ in best], pa.int64()), "item_id": pa.array([index.ids[i] for _, i in best], pa.int64()), "edits": pa.array([e for e, _ in best.values()], pa.int32()),
+                        "item_words": pa.array([len(index.items[i]) for _, i in best], pa.int32()), "last_word": pa.array([x for _, x in best.values()], pa.int64()),
                     })
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(search, "doc_id long, item_id long, edits int, item_words int, last_word long")

@@ -140,8 +140,8 @@ def _shares(outputs: np.ndarray, sharpness: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred, score and known for each row of `docs` (doc_id, text, lang; more are ignored).
+def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """The columns `keep` and `results` (lang_pred, score, known) for each row of `docs` (doc_id, text, lang; more are ignored).
 
     Null text or text without a letter: `und`, score 0, known 0. Rows with a null lang are predicted but not learnt
     from; with nothing to learn from, all are `und`. `known` is the share of a text's n-grams that some landmark has.
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
     learnt = learn(docs, texts, landmarks)
     shared = spark.sparkContext.broadcast(tuple(learnt) if learnt else None)
     kept = docs.select(*keep)
-    names = [*kept.columns, "lang_pred", "score", "known"]
+    names = [*kept.columns, *results]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, presence = Model(*shared.value) if shared.value else None, Presence()
@@ -169,10 +169,11 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
                         langs[i] = model.languages[k]
                 yield pa.record_batch([*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(known)], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, known double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {results[0]} string, {results[1]} double, {results[2]} double"
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predicted, schema)
 
 
 def keep_known(docs: DataFrame, known: float = KNOWN) -> DataFrame:
     """`docs` without the texts that have no letter or are unlike every learnt language."""
-    return identify(docs, keep=tuple(docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("known") >= known)).select(*docs.columns)
+    rated = identify(docs, keep=tuple(docs.columns), results=("__lang", "__score", "__known"))
+    return rated.where((F.col("__lang") != UNDETERMINED) & (F.col("__known") >= known)).select(*docs.columns)

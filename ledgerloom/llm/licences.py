@@ -105,6 +105,8 @@ def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
     cut = token.select("family", "w", F.explode(F.array(*(F.lit(n) for n in FRAGMENTS))).alias("n")).select("family", "w", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.col("n") + 1), F.lit(2))).alias("at"))
     # A fragment of a few words names no family: short notices count whole, and each as often as long ones do.
     fragments = cut.select("family", F.slice("w", F.col("at"), F.col("n")).alias("words")).unionByName(token.select("family", F.explode(F.array_repeat(F.col("w"), 10)).alias("words")))
+    # The words of a notice backwards are no notice: n-grams have to carry the weight.
+    fragments = fragments.unionByName(cut.select(F.lit(UNKNOWN).alias("family"), F.reverse(F.slice("w", F.col("at"), F.col("n"))).alias("words")))
     train = materialise(fragments.unionByName(drawn.where("trains").select(F.lit(UNKNOWN).alias("family"), "words")).withColumn("terms", n_grams(F.col("words"))))
     n = max(1, drawn.where("trains").count())
     common = drawn.where("trains").select(F.explode(n_grams(F.col("words"))).alias("term")).groupBy("term").agg((F.count("*") / n).alias("share"))
