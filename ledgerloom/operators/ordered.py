@@ -27,7 +27,9 @@ def running(df: DataFrame, by: list[str], ord_col: str, outs: dict[str, tuple[st
     totals = d.groupBy(*by, "_chunk").agg(*[agg[k](e).alias(f"_tot_{n}") for n, (k, e) in outs.items()])
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_chunk", *[agg[k](f"_tot_{n}").over(earlier).alias(f"_off_{n}") for n, (k, _) in outs.items()])
-    joined = local.join(offsets, [*by, "_chunk"], "left")
+    # Null-safe: rows with a null key are a group of their own.
+    cond = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_chunk")]
+    joined = local.alias("l").join(offsets.alias("r"), cond, "left").select("l.*", *[F.col(f"r._off_{n}") for n in outs])
     done = {}
     for n, (k, _) in outs.items():
         off, inn = F.col(f"_off_{n}"), F.col(f"_in_{n}")

@@ -188,8 +188,17 @@ def tier_filter(mapped: DataFrame, tier: str) -> DataFrame:
     return mapped.filter(cond)
 
 
-def statement_sheet(rows: DataFrame, row_values: DataFrame, documents: DataFrame, years: list[str]) -> DataFrame:
-    """One row per line with a column per year and, in other currencies than USD, per year in USD; newest year first."""
+def years_of(row_values: DataFrame) -> list[str]:
+    """The year keys of the values, newest first: the columns of a sheet."""
+    return sorted((r.year for r in row_values.select("year").distinct().collect() if r.year is not None), reverse=True)
+
+
+def statement_sheet(rows: DataFrame, row_values: DataFrame, documents: DataFrame, years: list[str] | None = None) -> DataFrame:
+    """One row per line with a column per year and, in other currencies than USD, per year in USD; newest year first.
+
+    Without `years` the columns are all year keys of the values.
+    """
+    years = years_of(row_values) if years is None else years
     usd = X.to_usd("value", "currency_code")
     cur = documents.select("document_id", "currency_code")
     v = row_values.join(cur, "document_id")
@@ -230,10 +239,11 @@ def raw_sheet(rows: DataFrame, row_values: DataFrame) -> DataFrame:
     return rows.join(j, ROW, "left").withColumn("subtotal", F.when(F.col("is_subtotal"), "Yes").otherwise("No"))
 
 
-def unmapped_sheet(items: DataFrame, suggestions: DataFrame, row_values: DataFrame, years: list[str]) -> DataFrame:
-    """Unmapped rows with a column per year, the best suggestion and the other suggestions as text."""
+def unmapped_sheet(items: DataFrame, suggestions: DataFrame, row_values: DataFrame, years: list[str] | None = None) -> DataFrame:
+    """Unmapped rows with a column per year, the best suggestion and all other suggestions as text."""
+    years = years_of(row_values) if years is None else years
     s = suggestions.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "cand_rank", "coa_id"))).alias("s"))
-    text = F.array_join(F.transform(F.slice("s", 2, 2), lambda e: F.concat(e["coa_id"], F.lit(" ("), F.format_string("%.2f", -e["neg"]), F.lit(")"))), ", ")
+    text = F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda e: F.concat(e["coa_id"], F.lit(" ("), F.format_string("%.2f", -e["neg"]), F.lit(")"))), ", ")
     s = s.select(*ROW, F.col("s")[0]["coa_id"].alias("best"), text.alias("others"))
     v = row_values.groupBy(*ROW).agg(*[F.max(F.when(F.col("year") == y, F.col("value"))).alias(y) for y in sorted(years, reverse=True)])
     return items.filter("status IN ('unmapped', 'not_spread')").select(*ROW, "raw_label", "statement_type", "status").join(s, ROW, "left").join(v, ROW, "left")

@@ -41,18 +41,16 @@ class Tables:
             self._stages[name] = materialise(build(), f"{name}-{self.tag}")
         return self._stages[name]
 
+    def stages(self, names: tuple[str, ...], build) -> tuple[DataFrame, ...]:
+        """Stage boundaries that one call builds together; the call is made at first use only."""
+        if any(n not in self._stages for n in names):
+            for n, df in zip(names, build(), strict=True):
+                self.stage(n, lambda df=df: df)
+        return tuple(self._stages[n] for n in names)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table read for heavy work per row: a file that gives fewer tasks than cores is dealt out over them.
-
-        Large tables come in many splits and are left as they are.
-        """
-        df = self.raw(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     # -- documents ----------------------------------------------------------------------------------
     @cached_property
     def documents(self) -> DataFrame:
@@ -92,7 +90,7 @@ class Tables:
         kind = F.lit("equity_statement")
         for k, v in kinds.items():
             kind = F.when(F.col("p_type") == k, v).otherwise(kind)
-        li = self.spread("lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         base = li.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("o_custkey").alias("document_id"), kind.alias("statement_type"),
             (F.col("p_size") % 5).alias("section_no"), F.col("p_name").alias("raw_label"),
@@ -127,7 +125,7 @@ class Tables:
     @cached_property
     def pages(self) -> DataFrame:
         """The whole text of every document cut into pages, some with an injected heading."""
-        d = self.spread("documents").select(
+        d = self.raw("documents").select(
             F.col("doc_id").alias("document_id"), "text",
             F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PAGE_CHARS).cast("int")))
             .alias("n"))

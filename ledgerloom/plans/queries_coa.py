@@ -240,8 +240,7 @@ def recon_rows(t):
 
 
 def grouped(t):
-    comps, subs = Q.group_subtotals(recon_rows(t), t.row_values)
-    return t.stage("components", lambda: comps), t.stage("subtotals", lambda: subs)
+    return t.stages(("components", "subtotals"), lambda: Q.group_subtotals(recon_rows(t), t.row_values))
 
 
 @query("e17_group_subtotals")
@@ -269,7 +268,7 @@ def given_groups(t):
 
 
 def flat_grouped(t):
-    return Q.group_subtotals(t.rows.withColumn("indentation_level", F.lit(0)), t.row_values, given_groups(t))
+    return t.stages(("flat_components", "flat_subtotals"), lambda: Q.group_subtotals(t.rows.withColumn("indentation_level", F.lit(0)), t.row_values, given_groups(t)))
 
 
 @query("e18_given_groups", """SELECT document_id, statement_type, subtotal_id, component_id FROM (SELECT s.document_id, s.statement_type, s.extraction_id AS subtotal_id, l.extraction_id AS component_id
@@ -301,9 +300,7 @@ def e19b(t):
 
 
 def crossfooted(t):
-    comps, subs = grouped(t)
-    per_year, report = Q.crossfoot(comps, subs, t.rows, t.row_values, A.outcomes(routed(t)))
-    return t.stage("crossfoot_years", lambda: per_year), t.stage("crossfoot", lambda: report)
+    return t.stages(("crossfoot_years", "crossfoot"), lambda: Q.crossfoot(*grouped(t), t.rows, t.row_values, A.outcomes(routed(t))))
 
 
 @query("e19_crossfoot")

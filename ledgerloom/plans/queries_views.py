@@ -18,7 +18,6 @@ from .queries_coa import AG, BAL, COA, RT, SG, aggregated, balance, crossfooted,
 from .queries_pages import CLS, NORM, PAGES, SEC, classified, sectioned
 from .queries_rows import NOTED, NOTE_PAGES, ROWS, SCOPED, noted_rows, scoped_rows
 
-YEARS = [str(y) for y in range(1992, 2003)]
 SUG = (*COA, "fx_suggestions")
 BEST = """SELECT document_id, extraction_id, arg_min(coa_id, (-score, cand_rank)) AS best_coa_id, max(score) AS best_score FROM fx_suggestions GROUP BY ALL"""
 PENDING = """SELECT r.document_id, r.extraction_id, r.statement_type, r.raw_label, b.best_coa_id, b.best_score, v.latest_year, v.latest_value, v.values_text FROM routed r
@@ -376,12 +375,13 @@ def f32(t):
 _USD = "CASE WHEN d.currency_code <> 'USD' THEN round(v.value * CASE d.currency_code WHEN 'GBP' THEN 1.2653 WHEN 'INR' THEN 0.01203 ELSE 1.0 END, 4) END"
 
 
-@query("f33_statement_sheet", "SELECT v.document_id, v.extraction_id, v.raw_label, " + ", ".join(
-    f"max(CASE WHEN year = '{y}' THEN v.value END) AS \"{y}\", max(CASE WHEN year = '{y}' THEN {_USD} END) AS \"{y}_USD\"" for y in YEARS)
-    + " FROM fx_row_values v JOIN fx_documents d USING (document_id) GROUP BY ALL", ("fx_row_values", "fx_documents"))
+@query("f33_statement_sheet", f"""SELECT v.document_id, v.extraction_id, v.raw_label, v.year, max(v.value) AS value, max({_USD}) AS usd
+FROM fx_row_values v JOIN fx_documents d USING (document_id) WHERE v.value IS NOT NULL GROUP BY ALL""", ("fx_row_values", "fx_documents"))
 def f33(t):
-    s = V.statement_sheet(t.rows, t.row_values, t.documents, YEARS)
-    return s.select("document_id", "extraction_id", "raw_label", *[c for y in YEARS for c in (F.col(y), F.round(f"{y}_USD", 4).alias(f"{y}_USD"))])
+    """The sheet's year columns, whichever the data has, turned back into rows."""
+    s, years = V.statement_sheet(t.rows, t.row_values, t.documents), V.years_of(t.row_values)
+    cells = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"`{y}`").alias("value"), F.round(f"`{y}_USD`", 4).alias("usd")) for y in years]))
+    return s.select("document_id", "extraction_id", "raw_label", cells.alias("c")).select("document_id", "extraction_id", "raw_label", "c.year", "c.value", "c.usd").filter("value IS NOT NULL")
 
 
 @query("f34_summary_sheet", """UNPIVOT (SELECT a.*, b.checks_passed, b.checks_failed FROM (SELECT document_id, count(*) AS total, count(*) FILTER (review_status = 'auto_approved') AS auto_approved,
@@ -419,7 +419,7 @@ LEFT JOIN (SELECT document_id, extraction_id, arg_min(coa_id, rn) AS best, strin
 LEFT JOIN (SELECT document_id, extraction_id, max(CASE WHEN year = '1995' THEN value END) AS "1995", max(CASE WHEN year = '1998' THEN value END) AS "1998" FROM fx_row_values GROUP BY ALL) v USING (document_id, extraction_id)
 WHERE r.status IN ('unmapped', 'not_spread')""", SUG, RT)
 def f37(t):
-    s = V.unmapped_sheet(routed(t), t.suggestions, t.row_values, YEARS)
+    s = V.unmapped_sheet(routed(t), t.suggestions, t.row_values)
     return s.select("document_id", "extraction_id", "status", "best", F.coalesce("others", F.lit("")).alias("others"), "1995", "1998")
 
 

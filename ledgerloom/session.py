@@ -23,7 +23,7 @@ RUNTIME_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
-_work: dict[str, str | None] = {}
+_work: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -35,11 +35,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession) -> str | None:
-    """A folder of this session under spark.checkpoint.dir.
+def work_dir(spark: SparkSession) -> str:
+    """A folder of this session under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent a temporary folder is used in local mode only; on a cluster the answer is
-    None and callers keep the lazy plan instead.
+    Where the setting is absent, local mode sets a temporary folder; a cluster has to name one.
     """
     app = spark.sparkContext.applicationId
     if app not in _work:
@@ -47,7 +46,9 @@ def work_dir(spark: SparkSession) -> str | None:
         if base is None and spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="ledgerloom-")
             spark.conf.set("spark.checkpoint.dir", base)
-        _work[app] = None if base is None else os.path.join(base, f"ledgerloom-{uuid.uuid4().hex}")
+        if base is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _work[app] = os.path.join(base, f"ledgerloom-{uuid.uuid4().hex}")
     return _work[app]
 
 
@@ -57,9 +58,6 @@ def materialise(df: DataFrame, name: str | None = None, partition_by: tuple[str,
     For frames that several branches of a plan use; without a name the folder is a new one.
     """
     spark = df.sparkSession
-    base = work_dir(spark)
-    if base is None:
-        return df
-    path = os.path.join(base, name or uuid.uuid4().hex)
+    path = os.path.join(work_dir(spark), name or uuid.uuid4().hex)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
