@@ -66,39 +66,45 @@ def test_learned_tiers_and_feedback(spark):
     assert {r["learned_id"]: (r["times_applied"], r["learned_confidence"]) for r in after.filter("learned_id IN (2, 3)").collect()} == {2: (1, 0.95), 3: (6, 0.99)}
 
 
-def loop_groups(rows):
-    """Components of every subtotal by walking back over the rows of one statement."""
-    def value(j, y):
-        return rows[j]["values"].get(y)
-
-    def foots(i, comp, y):
-        parts, ext = [value(j, y) for j in comp], value(i, y)
-        if ext is None or not comp or None in parts:
-            return False
-        gap = abs(sum(parts) - ext)
-        return gap <= 1.0 or (ext != 0 and gap / abs(ext) < 0.001)
-
-    used, out = set(), {}
-    for i, row in enumerate(rows):
-        if not row["sub"]:
-            continue
-        y = max(row["values"], default=None)
-        stop = next((j for j in range(i - 1, -1, -1) if rows[j]["sub"] and rows[j]["level"] <= row["level"]), -1)
-        comp = [j for j in range(stop + 1, i) if j not in used]
-        method = "leaves" if y is None or foots(i, comp, y) else "unresolved"
-        if method == "unresolved" and stop >= 0 and rows[stop]["level"] == row["level"]:
-            more = list(comp)
-            for j in range(stop, -1, -1):
-                if rows[j]["sub"] and rows[j]["level"] < row["level"]:
-                    break
-                if j not in used:
-                    more.append(j)
-                    if foots(i, more, y):
-                        comp, method = sorted(more), "absorbed"
-                        break
-        used |= set(comp)
-        out[i + 1] = (method, tuple(j + 1 for j in comp))
-    return out
+def footing(total, extracted):
+    return extracted is not None and total is not None and (abs(total - extracted) <= 1.0 or extracted != 0 and abs(total - extracted) < 0.001 * abs(extracted))
+
+
+def check_grouping(rows, found):
+    """What holds for the grouping of a statement, whichever way it is found. `found`: subtotal -> (method, components)."""
+    taken = [c for _, comp in found.values() for c in comp]
+    assert len(taken) == len(set(taken)), "a row is in two subtotals"
+    assert set(found) == {i for i, r in enumerate(rows, 1) if r["sub"]}
+    for sid, (method, comp) in found.items():
+        own = rows[sid - 1]
+        year = max(own["values"], default=None)
+        amounts = [rows[c - 1]["values"].get(year) for c in comp]
+        sums = lambda n, a=amounts: None if n == 0 or None in a[-n:] else sum(a[-n:])
+        foots = footing(sums(len(amounts)), own["values"].get(year))
+        shallower = [i for i, r in enumerate(rows[: sid - 1], 1) if r["sub"] and r["level"] < own["level"]]
+        same = [i for i, r in enumerate(rows[: sid - 1], 1) if r["sub"] and r["level"] <= own["level"]]
+        assert all(c < sid for c in comp) and (not comp or min(comp) > max(shallower, default=0)), "a shallower subtotal is crossed"
+        near = [c for c in comp if c > max(same, default=0)]
+        assert (foots or year is None) == (method != "unresolved")
+        if method == "absorbed":
+            assert len(near) < len(comp) and rows[max(same) - 1]["level"] == own["level"]
+            assert not any(footing(sums(n), own["values"].get(year)) for n in range(len(near), len(comp))), "fewer rows foot as well"
+        else:
+            assert near == list(comp), "a row behind an equal subtotal is taken"
+
+
+HAND_WORKED = {
+    # Two totals of one level: the second takes the first up, as only with it do 100 - 30 make 70.
+    60: ([(0, 1, 100.0), (1, 0, 100.0), (0, 1, -30.0), (1, 0, 70.0)], {2: ("leaves", (1,)), 4: ("absorbed", (2, 3))}),
+    # Parts below a total, and what belongs to no total.
+    61: ([(0, 2, 1.0), (1, 1, 1.0), (0, 2, 2.0), (0, 2, 3.0), (1, 1, 5.0), (1, 0, 6.0), (0, 2, 9.0)], {2: ("leaves", (1,)), 5: ("leaves", (3, 4)), 6: ("leaves", (2, 5))}),
+    # Does not foot, whatever it takes up.
+    62: ([(0, 1, 10.0), (1, 1, 10.0), (0, 1, 20.0), (1, 1, 77.0)], {2: ("leaves", (1,)), 4: ("unresolved", (3,))}),
+    # Deep levels stay apart: 12 below 11 below 10.
+    63: ([(0, 13, 4.0), (1, 12, 4.0), (0, 13, 6.0), (1, 12, 6.0), (1, 11, 10.0), (1, 10, 10.0)], {2: ("leaves", (1,)), 4: ("leaves", (3,)), 5: ("leaves", (2, 4)), 6: ("leaves", (5,))}),
+    # The absorbed run ends before a shallower total.
+    64: ([(0, 2, 5.0), (1, 0, 5.0), (0, 2, 3.0), (1, 1, 3.0), (0, 2, 4.0), (1, 1, 12.0)], {2: ("leaves", (1,)), 4: ("leaves", (3,)), 6: ("unresolved", (5,))}),
+}
 
 
 def random_statement(rnd, n):
@@ -117,23 +123,25 @@ def random_statement(rnd, n):
     return rows
 
 
-def test_group_subtotals_equals_loop(spark):
+def test_group_subtotals(spark):
     rnd = random.Random(11)
     docs = {d: random_statement(rnd, rnd.randrange(3, 30)) for d in range(60)}
-    docs[60] = [{"sub": False, "level": 1, "values": {"2023": 100.0}}, {"sub": True, "level": 0, "values": {"2023": 100.0}},
-                {"sub": False, "level": 1, "values": {"2023": -30.0}}, {"sub": True, "level": 0, "values": {"2023": 70.0}}]
+    docs |= {d: [{"sub": bool(sub), "level": level, "values": {"2023": v}} for sub, level, v in rows] for d, (rows, _) in HAND_WORKED.items()}
     rows = [(d, "balance_sheet", i, f"r{i}", r["sub"], r["level"]) for d, rs in docs.items() for i, r in enumerate(rs, 1)]
     values = [(d, i, y, v) for d, rs in docs.items() for i, r in enumerate(rs, 1) for y, v in r["values"].items()]
     rdf = spark.createDataFrame(rows, "document_id long, statement_type string, extraction_id int, raw_label string, is_subtotal boolean, indentation_level int")
     vdf = spark.createDataFrame(values, "document_id long, extraction_id int, year string, value double")
     comps, subs = Q.group_subtotals(rdf, vdf)
-    got_c = {}
+    parts = {}
     for r in comps.collect():
-        got_c.setdefault((r["document_id"], r["subtotal_id"]), []).append(r["component_id"])
-    got = {(r["document_id"], r["subtotal_id"]): (r["method"], tuple(sorted(got_c.get((r["document_id"], r["subtotal_id"]), [])))) for r in subs.collect()}
-    want = {(d, i): v for d, rs in docs.items() for i, v in loop_groups(rs).items()}
-    assert got == want and {m for m, _ in want.values()} == {"leaves", "absorbed", "unresolved"}
-    assert got[(60, 4)] == ("absorbed", (2, 3))
+        parts.setdefault((r["document_id"], r["subtotal_id"]), []).append(r["component_id"])
+    found = {d: {} for d in docs}
+    for r in subs.collect():
+        found[r["document_id"]][r["subtotal_id"]] = (r["method"], tuple(sorted(parts.get((r["document_id"], r["subtotal_id"]), []))))
+    for d, statement in docs.items():
+        check_grouping(statement, found[d])
+    assert {d: found[d] for d in HAND_WORKED} == {d: want for d, (_, want) in HAND_WORKED.items()}
+    assert {m for f in found.values() for m, _ in f.values()} == {"leaves", "absorbed", "unresolved"}
     outcomes = spark.createDataFrame([], "document_id long, label string, statement_type string, status string")
     years, report = Q.crossfoot(comps, subs, rdf, vdf, outcomes)
     y = years.filter("document_id = 60 AND subtotal_id = 4").first()
