@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Counts: one pass over all texts gives, per word, its count in the corpus, in toxic and in other learning
-documents. Words and word beginnings get the log-odds of both classes under Dirichlet priors whose shape is the
+Counts: one pass over all texts gives, per word, how many texts of the corpus, of the toxic and of the other learning
+documents hold it. Words and word beginnings get the log-odds of both classes under Dirichlet priors whose shape is the
 corpus and whose weight is a share of each class (Monroe, Colaresi and Quinn); those that stand out make the
 model. Near copies of one toxic text would make all its words stand out, so that a term counts as often as it
 has different words before it in toxic texts. Scan: every word scores its log-odds, all others a small negative drift; Ruzzo and Tompa's linear scan
@@ -109,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms:
         for batch in batches:
             for part in sliced(batch, ROWS):
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
+                    words = set(tokens(text))  # a text that repeats a word counts once
                     corpus.update(words)
                     if label is not None:
                         (toxic if label else other).update(words)
