@@ -4,7 +4,7 @@ Fragments of licence notices, and a bounded sample of the corpus's paragraphs as
 logistic regression with sparse (L1) weights over word uni- and bigrams. Half of the sampled paragraphs set the
 probability a family needs. A paragraph is scored by looking its n-grams up in the weights; one without any weighted
 word has the intercepts' scores, which are unknown, so that no more than a word test is spent on it. What a template of
-the predicted family resembles enough is confirmed. DataFrame functions only; documents are never exchanged.
+the predicted family resembles enough is confirmed; what resembles none of them is unknown too. DataFrame functions only; documents are never exchanged.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from ledgerloom.session import materialise, tune
 UNKNOWNS = 4000
 #: Share of n-grams' presence among unknowns above which one is no feature; share of unknowns that may pass.
 COMMON, PASSING = 0.005, 0.001
-#: Words in the fragments of notices; least similarity to a template; n-grams a similarity is taken over at least.
-FRAGMENTS, SIMILAR, LEAST = (6, 10, 16), 0.8, 3
+#: Words in the fragments of notices; least similarity of a confirmed prediction, and of one that is kept; n-grams a
+#: similarity is taken over at least.
+FRAGMENTS, SIMILAR, SUSPECTED, LEAST = (6, 10, 16), 0.8, 0.4, 3
 UNKNOWN = "unknown"
 #: Notices by licence family, as their licensors word them.
 TEMPLATES = [
@@ -158,8 +159,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, template, similarity, confirmed): the paragraphs of a licence family.
 
     `docs` has doc_id and text; other columns are ignored. Paragraphs are lines, counted from 0 with the empty ones.
-    Those the classifier finds unknown, or likelier than the threshold of no family, give no row; null and empty
-    texts have none. `template` is the notice of the family most alike, `similarity` the share of the shorter one's
+    Those the classifier finds unknown, of no family with the threshold's probability, or like no template of the
+    family found give no row; null and empty texts have none. `template` is the notice of the family most alike, `similarity` the share of the shorter one's
     bigrams that both hold, `confirmed` whether that is enough. Rows that repeat give their paragraphs again.
     """
     spark = tune(docs.sparkSession)
@@ -169,5 +170,5 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table = F.from_json(F.lit(json.dumps(grams)), "array<struct<k:int,f:string,b:array<string>>>")
     own = F.array_distinct(bigrams(F.col("__words")))
     alike = F.transform(F.filter(table, lambda t: t["f"] == F.col("family")), lambda t: F.struct((F.size(F.array_intersect(t["b"], own)) / F.greatest(F.lit(LEAST), F.least(F.size(t["b"]), F.size(own)))).alias("similarity"), (-t["k"]).alias("k")))
-    best = found.withColumn("best", F.array_max(alike))
+    best = found.withColumn("best", F.array_max(alike)).where(F.col("best.similarity") >= SUSPECTED)
     return best.select("doc_id", "paragraph", "family", "probability", (-F.col("best.k")).alias("template"), F.col("best.similarity").alias("similarity"), (F.col("best.similarity") >= SIMILAR).alias("confirmed"))
