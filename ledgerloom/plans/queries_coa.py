@@ -239,11 +239,72 @@ def recon_rows(t):
     return t.rows.withColumn("indentation_level", F.when(F.col("is_subtotal"), F.when(F.col("section_no") == 4, 0).otherwise(1)).otherwise(2))
 
 
+def _foots_sql(total: str, ext: str) -> str:
+    return f"(abs({total} - {ext}) <= 1.0 OR ({ext} <> 0 AND abs({total} - {ext}) / abs({ext}) < 0.001))"
+
+
+def _sum_sql(rows: str) -> str:
+    """Sum of the rows' values at the headline year; null where one is missing."""
+    return f"CASE WHEN len({rows}) = 0 THEN 0 WHEN len([x.vals[y] for x in {rows} if x.vals[y] IS NULL]) > 0 THEN NULL ELSE list_sum([x.vals[y] for x in {rows}]) END"
+
+
+#: Grouping as a recursion over the subtotals of a statement: what is free, and the newest subtotal of each level.
+GROUPED = {
+    "sc": """SELECT document_id, statement_type, extraction_id AS id, raw_label, is_subtotal, CASE WHEN is_subtotal THEN CASE WHEN section_no = 4 THEN 0 ELSE 1 END ELSE 2 END AS lvl
+  FROM fx_rows WHERE coalesce(statement_type, '') NOT IN ('', 'cash_flow', 'equity_statement')""",
+    "own": """SELECT *, min(CASE WHEN is_subtotal THEN id END) OVER (PARTITION BY document_id, statement_type ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS parent,
+  min(lvl) OVER (PARTITION BY document_id, statement_type) = max(lvl) OVER (PARTITION BY document_id, statement_type) AS flat FROM sc""",
+    "rv": "SELECT document_id, extraction_id AS id, year, value FROM fx_row_values",
+    "hd": """SELECT o.document_id, o.statement_type, o.id, o.lvl, o.raw_label, o.flat, max(v.year) AS y, arg_max_null(v.value, v.year) AS ext, map(coalesce(list(v.year ORDER BY v.year) FILTER (v.year IS NOT NULL), []), coalesce(list(v.value ORDER BY v.year) FILTER (v.year IS NOT NULL), [])) AS vals
+  FROM own o LEFT JOIN rv v ON v.document_id = o.document_id AND v.id = o.id WHERE o.is_subtotal GROUP BY ALL""",
+    "lf": """SELECT h.document_id, h.id, count(*) AS n, count(v.value) AS known, sum(v.value) AS s FROM own l JOIN hd h ON h.document_id = l.document_id AND h.id = l.parent
+  LEFT JOIN rv v ON v.document_id = l.document_id AND v.id = l.id AND v.year = h.y WHERE NOT l.is_subtotal GROUP BY ALL""",
+    "sb": """SELECT h.*, coalesce(lf.n, 0) AS n_leaves, CASE WHEN lf.known = lf.n THEN lf.s END AS leaf_sum, row_number() OVER (PARTITION BY h.document_id, h.statement_type ORDER BY h.id) AS k
+  FROM hd h LEFT JOIN lf USING (document_id, id)""",
+    "walk": f"""WITH RECURSIVE w AS (
+    SELECT DISTINCT document_id, statement_type, 0::BIGINT AS k, NULL::INT AS id, NULL::VARCHAR AS method, []::INT[] AS gone, []::STRUCT(id INT, vals MAP(VARCHAR, DOUBLE))[] AS free, []::STRUCT(id INT, lvl INT)[] AS seen FROM sb
+    UNION ALL
+    SELECT document_id, statement_type, k, id, CASE WHEN ok THEN 'leaves' WHEN more IS NOT NULL THEN 'absorbed' ELSE 'unresolved' END, gone,
+      list_append([x for x in free if NOT list_contains(gone, x.id)], {{'id': id, 'vals': vals}}), list_append(seen, {{'id': id, 'lvl': lvl}})
+    FROM (SELECT *, [x.id for x in list_concat(CASE WHEN more IS NOT NULL THEN old[len(old) - more + 1:] ELSE [] END, near)] AS gone
+      FROM (SELECT *, CASE WHEN NOT ok AND su > ab THEN list_min([n for n in range(1, len(old) + 1) if {_foots_sql("(total + " + _sum_sql("old[len(old) - n + 1:]") + ")", "ext")}]) END AS more
+        FROM (SELECT *, coalesce(y IS NULL OR ((n_leaves > 0 OR len(near) > 0) AND {_foots_sql("total", "ext")}), false) AS ok
+          FROM (SELECT *, CASE WHEN n_leaves > 0 THEN leaf_sum ELSE 0 END + {_sum_sql("near")} AS total
+            FROM (SELECT *, [x for x in free if x.id > su] AS near, [x for x in free if x.id > ab AND x.id <= su] AS old
+              FROM (SELECT w.free, w.seen, s.*, coalesce(list_max([x.id for x in w.seen if x.lvl <= s.lvl]), 0) AS su, coalesce(list_max([x.id for x in w.seen if x.lvl < s.lvl]), 0) AS ab
+                FROM w JOIN sb s ON s.document_id = w.document_id AND s.statement_type = w.statement_type AND s.k = w.k + 1) a) b) c) d) e) f)
+  SELECT document_id, statement_type, id, method, gone FROM w WHERE k > 0""",
+    "comps": """SELECT document_id, statement_type, parent AS subtotal_id, id AS component_id FROM own WHERE NOT is_subtotal AND parent IS NOT NULL
+  UNION ALL SELECT document_id, statement_type, id, unnest(gone) FROM walk""",
+}
+#: Cross-footing of the components, per year and at the headline year.
+CROSSFOOT = {
+    **GROUPED, "routed": ROUTED, "outc": OUTCOMES,
+    "years": f"""SELECT *, CASE WHEN whole THEN total - extracted END AS difference, CASE WHEN whole THEN {_foots_sql("total", "extracted")} END AS passed
+  FROM (SELECT s.document_id, s.statement_type, s.id AS subtotal_id, e.year, e.value AS extracted, coalesce(c.total, 0) AS total,
+      e.value IS NOT NULL AND coalesce(n.n, 0) > 0 AND coalesce(c.known, 0) = n.n AS whole
+    FROM sb s JOIN rv e ON e.document_id = s.document_id AND e.id = s.id
+    LEFT JOIN (SELECT document_id, subtotal_id, count(*) AS n FROM comps GROUP BY ALL) n ON n.document_id = s.document_id AND n.subtotal_id = s.id
+    LEFT JOIN (SELECT c.document_id, c.subtotal_id, v.year, sum(v.value) AS total, count(v.value) AS known FROM comps c JOIN rv v ON v.document_id = c.document_id AND v.id = c.component_id GROUP BY ALL) c
+      ON c.document_id = s.document_id AND c.subtotal_id = s.id AND c.year = e.year) y""",
+    "states": """SELECT c.*, coalesce(o.status, 'absent') AS status, r.raw_label FROM comps c JOIN sc r ON r.document_id = c.document_id AND r.id = c.component_id
+  LEFT JOIN outc o ON o.document_id = c.document_id AND o.label = lower(trim(r.raw_label)) AND o.statement_type = c.statement_type""",
+    "report": """SELECT s.document_id, s.statement_type, s.id AS subtotal_id, s.raw_label, s.lvl AS indentation_level, s.y AS headline, w.method, CASE WHEN s.flat THEN 'low' ELSE 'high' END AS grouping_confidence,
+    h.passed, h.difference, coalesce(u.has_unmapped, false) AS has_unmapped, coalesce(u.n, 0) AS n_components
+  FROM sb s JOIN walk w USING (document_id, id)
+  LEFT JOIN (SELECT document_id, subtotal_id, arg_max_null(passed, year) AS passed, arg_max_null(difference, year) AS difference FROM years GROUP BY ALL) h ON h.document_id = s.document_id AND h.subtotal_id = s.id
+  LEFT JOIN (SELECT document_id, subtotal_id, bool_or(status <> 'mapped') AS has_unmapped, count(*) AS n FROM states GROUP BY ALL) u ON u.document_id = s.document_id AND u.subtotal_id = s.id""",
+    "recon": """SELECT document_id, count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (passed IS NULL) AS incomplete,
+  count(*) FILTER (has_unmapped) AS with_unmapped_component, count(*) FILTER (grouping_confidence = 'low') AS low_confidence_grouping FROM report GROUP BY document_id""",
+}
+
+
 def grouped(t):
     return t.stages(("components", "subtotals"), lambda: Q.group_subtotals(recon_rows(t), t.row_values))
 
 
-@query("e17_group_subtotals")
+@query("e17_group_subtotals", """SELECT s.document_id, s.statement_type, s.id AS subtotal_id, s.y AS headline, w.method, n.n AS n_components FROM sb s JOIN walk w USING (document_id, id)
+LEFT JOIN (SELECT document_id, subtotal_id, count(*) AS n FROM comps GROUP BY ALL) n ON n.document_id = s.document_id AND n.subtotal_id = s.id""", ("fx_rows", "fx_row_values"), GROUPED)
 def e17(t):
     comps, subs = grouped(t)
     n = comps.groupBy("document_id", "subtotal_id").agg(F.count(F.lit(1)).alias("n_components"))
@@ -303,12 +364,12 @@ def crossfooted(t):
     return t.stages(("crossfoot_years", "crossfoot"), lambda: Q.crossfoot(*grouped(t), t.rows, t.row_values, A.outcomes(routed(t))))
 
 
-@query("e19_crossfoot")
+@query("e19_crossfoot", "SELECT document_id, statement_type, subtotal_id, year, extracted, round(total, 2) AS computed, round(difference, 2) + 0.0 AS difference, passed FROM years", COA, CROSSFOOT)
 def e19(t):
     return crossfooted(t)[0].withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2) + 0.0})
 
 
-@query("e19_crossfoot_report")
+@query("e19_crossfoot_report", "SELECT * REPLACE (round(difference, 2) + 0.0 AS difference) FROM report", COA, CROSSFOOT)
 def e19c(t):
     return crossfooted(t)[1].withColumn("difference", F.round("difference", 2) + 0.0)
 
@@ -318,7 +379,7 @@ def e20(t):
     return Q.sign_flip(t.row_values, signed(t))
 
 
-@query("e21_recon_summary")
+@query("e21_recon_summary", "SELECT * FROM recon", COA, CROSSFOOT)
 def e21(t):
     return Q.recon_summary(crossfooted(t)[1])
 

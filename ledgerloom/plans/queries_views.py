@@ -14,7 +14,7 @@ from ..operators import views as V
 from ..sources import sinks
 from .catalog import query
 from .queries_canonical import CAN, CHECKS, SC, checks, engine_rows, scored
-from .queries_coa import AG, BAL, COA, RT, SG, aggregated, balance, crossfooted, grouped, routed, signed
+from .queries_coa import AG, BAL, COA, CROSSFOOT, RT, SG, aggregated, balance, crossfooted, grouped, routed, signed
 from .queries_pages import CLS, NORM, PAGES, SEC, classified, sectioned
 from .queries_rows import NOTED, NOTE_PAGES, ROWS, SCOPED, noted_rows, scoped_rows
 
@@ -81,7 +81,11 @@ def f03b(t):
     return N.threshold_balance(signed(t), pending(t), t.row_values, t.coa).withColumns({c: F.round(c, 2) + 0.0 for c in ("total_assets", "total_le")})
 
 
-@query("f03_threshold_recon")
+@query("f03_threshold_recon", f"""SELECT s.document_id, CAST(t.t AS DOUBLE) AS threshold, count(*) FILTER (n.least < t.t) AS with_unmapped_component FROM sb s CROSS JOIN (VALUES {_TS}) t(t)
+LEFT JOIN (SELECT c.document_id, c.subtotal_id, min(CASE WHEN o.status = 'mapped' THEN 'inf'::DOUBLE ELSE coalesce(b.best, -1.0) END) AS least FROM states c
+  LEFT JOIN outc o ON o.document_id = c.document_id AND o.label = lower(trim(c.raw_label)) AND o.statement_type = c.statement_type
+  LEFT JOIN (SELECT document_id, lower(trim(raw_label)) AS label, statement_type, max(best_score) AS best FROM pend GROUP BY ALL) b ON b.document_id = c.document_id AND b.label = lower(trim(c.raw_label)) AND b.statement_type = c.statement_type
+  GROUP BY ALL) n ON n.document_id = s.document_id AND n.subtotal_id = s.id GROUP BY ALL""", SUG, {**CROSSFOOT, **PE})
 def f03c(t):
     comps, subs = grouped(t)
     return N.threshold_recon(comps, subs, t.rows, A.outcomes(routed(t)), pending(t))
@@ -133,7 +137,9 @@ def f07(t):
     return N.unmapped_counts(analysis(t))
 
 
-@query("f08_recon_flat")
+@query("f08_recon_flat", """SELECT document_id, statement_type, subtotal_id, CAST(0 AS INT) AS component_id, raw_label, CASE WHEN passed THEN 'PASS' WHEN NOT passed THEN 'FAIL' ELSE 'INCOMPLETE' END AS verdict, method,
+  round(difference, 2) + 0.0 AS difference, NULL AS status FROM report
+UNION ALL SELECT document_id, statement_type, subtotal_id, component_id, raw_label, NULL, NULL, NULL, status FROM states""", COA, CROSSFOOT)
 def f08(t):
     """A subtotal row followed by its component rows."""
     comps, subs = grouped(t)
@@ -141,7 +147,7 @@ def f08(t):
     verdict = F.when(F.col("passed"), "PASS").when(~F.col("passed"), "FAIL").otherwise("INCOMPLETE")
     o = A.outcomes(routed(t)).select("document_id", "label", "statement_type", F.col("status").alias("st"))
     top = report.select("document_id", "statement_type", "subtotal_id", F.lit(0).alias("component_id"), "raw_label", verdict.alias("verdict"), "method",
-                        F.round("difference", 2).alias("difference"), F.lit(None).cast("string").alias("status"))
+                        (F.round("difference", 2) + 0.0).alias("difference"), F.lit(None).cast("string").alias("status"))
     names = t.rows.select("document_id", F.col("extraction_id").alias("component_id"), "raw_label")
     c = comps.join(names, ["document_id", "component_id"]).withColumn("label", F.lower(F.trim("raw_label"))).join(o, ["document_id", "label", "statement_type"], "left")
     sub = c.select("document_id", "statement_type", "subtotal_id", "component_id", "raw_label", F.lit(None).cast("string").alias("verdict"),
@@ -334,7 +340,8 @@ def f27b(t):
     return t.coa.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f28_validation_view")
+@query("f28_validation_view", """SELECT d.document_id, b.year AS balance_year, b.difference, b.is_balanced, r.* EXCLUDE (document_id) FROM fx_documents d
+LEFT JOIN bal b ON b.document_id = d.document_id AND b.headline LEFT JOIN recon r ON r.document_id = d.document_id""", ("fx_documents", *COA), {**CROSSFOOT, **BAL})
 def f28(t):
     from ..operators import reconcile as Q
     return V.validation_view(t.documents, balance(t), Q.recon_summary(crossfooted(t)[1]))
