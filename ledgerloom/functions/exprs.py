@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -195,16 +196,38 @@ def any_of(cols) -> Column:
 
 # -- SQL registration -------------------------------------------------------------------------------
 
+def _sql(text: str) -> str:
+    """A pattern or word as a raw SQL literal."""
+    if "'" in text and '"' in text:
+        return " || ".join(f"r'{t}'" if "'" not in t else f'r"{t}"' for t in re.split("(')", text) if t)
+    return f'r"{text}"' if "'" in text else f"r'{text}'"
+
+
+def _normalize_label_sql() -> str:
+    cjk = "'[一-鿿㐀-䶿]'"
+    lines = f"filter(split(s, r'\\r\\n|\\r|\\n'), x -> NOT x RLIKE {cjk} AND length(trim(x)) > 0)"
+    out = f"CASE WHEN s RLIKE {cjk} AND size({lines}) > 0 THEN array_join({lines}, ' ') ELSE s END"
+    for pattern in (R.ROMAN_PREFIX, R.ARABIC_PREFIX, R.LETTER_PREFIX, R.ROMAN_PAREN_PREFIX, R.NOTE_REFERENCE, R.QUALIFIERS):
+        out = f"regexp_replace({out}, {_sql(pattern)}, '')"
+    out = f"lower(trim(regexp_replace({out}, r'\\s+', ' ')))"
+    names = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in R.ABBREVIATIONS.items())
+    return f"coalesce(try_element_at(map({names}), {out}), {out})"
+
+
+#: name -> type and body over the string s; each is the expression of the same name above.
 _SQL_FUNCTIONS = {
-    "label_key": "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]+', ' '), ' +', ' '))",
-    "note_number": r"try_cast(nullif(regexp_extract(s, '\\d+', 0), '') AS INT)",
-    "header_year": r"coalesce(try_cast(regexp_extract(s, '20\\d{2}|19\\d{2}', 0) AS INT), 0)",
-    "is_memo_name": "contains(lower(s), 'memo')",
+    "label_key": ("STRING", "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]+', ' '), ' +', ' '))"),
+    "note_number": ("INT", r"try_cast(nullif(regexp_extract(s, r'\d+', 0), '') AS INT)"),
+    "header_year": ("INT", r"coalesce(try_cast(regexp_extract(s, r'20\d{2}|19\d{2}', 0) AS INT), 0)"),
+    "is_memo_name": ("BOOLEAN", "contains(lower(s), 'memo')"),
+    "detect_scope": ("STRING", f"CASE WHEN left(s, 500) RLIKE {_sql(R.CONSOLIDATED_PATTERN)} THEN 'consolidated' WHEN left(s, 500) RLIKE {_sql(R.STANDALONE_PATTERN)} THEN 'standalone' ELSE 'unknown' END"),
+    "year_key": ("STRING", r"""CASE WHEN regexp_extract(trim(s), r'(\d{4})-(\d{2})$', 1) <> '' THEN CAST(floor(try_cast(regexp_extract(trim(s), r'(\d{4})-(\d{2})$', 1) AS INT) / 100) * 100 + try_cast(regexp_extract(trim(s), r'(\d{4})-(\d{2})$', 2) AS INT) AS STRING)
+      WHEN size(regexp_extract_all(s, r'\d{4}', 0)) > 0 THEN try_element_at(regexp_extract_all(s, r'\d{4}', 0), -1) ELSE s END"""),
+    "normalize_label": ("STRING", _normalize_label_sql()),
 }
-_RETURNS = {"label_key": "STRING", "note_number": "INT", "header_year": "INT", "is_memo_name": "BOOLEAN"}
 
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Make the scalar expressions callable from spark.sql as temporary SQL functions."""
-    for name, body in _SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {_RETURNS[name]} RETURN {body}")
+    for name, (kind, body) in _SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")
