@@ -29,8 +29,9 @@ def gate_rows(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, coa: DataFrame, k: int = 3) -> DataFrame:
     """Top k chart lines of each row within its statement, by shared words and edit distance.
 
-    Scored once per distinct label. Chart lines are found through their words, so only lines that share a
-    word with the label are scored; the others would score 0 on the word part.
+    Scored once per distinct label. Chart lines are found through their words; a line that shares none scores
+    at most 0.3, by edit distance alone, so that only labels with fewer than k better lines look at the rest
+    of their statement's chart.
     """
     gated = gate_rows(rows).filter("gate = 'map'").withColumn("label_key", X.label_key("raw_label"))
     def words(c):
@@ -43,7 +44,10 @@ def candidates(rows: DataFrame, coa: DataFrame, k: int = 3) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("_both")))
     overlap = F.col("_both") / (F.col("_nl") + F.col("_nc") - F.col("_both"))
     edit = 1 - F.levenshtein("label_key", "_name") / F.greatest(F.length("label_key"), F.length("_name"))
-    scored = shared.withColumn("score", F.round(overlap * 0.7 + edit * 0.3, 6))
+    scored = shared.withColumn("score", F.round(overlap * 0.7 + edit * 0.3, 6)).select("coa_statement", "label_key", "coa_id", "score")
+    enough = scored.filter("score > 0.3").groupBy("coa_statement", "label_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    rest = labels.join(enough, ["coa_statement", "label_key"], "left_anti").join(chart, "coa_statement").filter(~F.arrays_overlap("_lw", "_cw"))
+    scored = scored.unionByName(rest.select("coa_statement", "label_key", "coa_id", F.round(edit * 0.3, 6).alias("score")))
     best = top_k(scored, ["coa_statement", "label_key"], [F.desc("score"), F.col("coa_id")], k, "cand_rank")
     return gated.select("document_id", "extraction_id", "coa_statement", "label_key").join(
         best.select("coa_statement", "label_key", "cand_rank", "coa_id", "score"), ["coa_statement", "label_key"])

@@ -49,6 +49,11 @@ def number_rows(df: DataFrame, by: list[str], chunk: list[str], order: list[str]
             .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_off") + F.col("_rn")).cast("int").alias(out)))
 
 
+def in_documents(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows in order inside each document; documents stay where their hash puts them."""
+    return df.repartition("document_id").sortWithinPartitions("document_id", *order)
+
+
 def part_no(ord_col, size: int) -> Column:
     """Part of a document a row belongs to: a part never holds more than `size` rows."""
     return F.floor((F.col(ord_col) - 1) / size).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import exprs as X
-from .ordered import top_k
+from .ordered import in_documents, top_k
 
 ROW = ["document_id", "extraction_id"]
 LOW_CONFIDENCE = 0.75
@@ -105,7 +105,7 @@ def workbench_rows(rows: DataFrame, mappings: DataFrame, coa: DataFrame) -> Data
 def rows_by_document(rows: DataFrame, document_id=None, statement_type: str | None = None) -> DataFrame:
     r = rows if document_id is None else rows.filter(F.col("document_id") == document_id)
     r = r if statement_type is None else r.filter(F.col("statement_type") == statement_type)
-    return r.orderBy("document_id", "extraction_id")
+    return in_documents(r, "extraction_id")
 
 
 def mapped_rows_view(mapped: DataFrame, rows: DataFrame, review_status: str | None = None, below: float | None = None) -> DataFrame:
@@ -120,11 +120,11 @@ def unmapped_view(items: DataFrame, suggestions: DataFrame, coa: DataFrame, pend
     i = items.filter(F.col("status").isin(states)).select(*ROW, "raw_label", "statement_type", "status")
     s = top_k(suggestions.join(coa.select("coa_id", F.col("line_item_name").alias("coa_name")), "coa_id", "left"), ROW, [F.desc("score"), F.col("cand_rank")], k, "suggestion_no")
     j = i.join(s.select(*ROW, "suggestion_no", "coa_id", "coa_name", "score"), ROW, "left")
-    return j.orderBy("status", "raw_label", *ROW, "suggestion_no")
+    return in_documents(j, "status", "raw_label", *ROW, "suggestion_no")
 
 
 def confidence_rows(heads: DataFrame, coa: DataFrame) -> DataFrame:
-    return heads.join(coa.select("coa_id", "line_item_name", "statement"), "coa_id").orderBy("confidence", "document_id", "coa_id")
+    return heads.join(coa.select("coa_id", "line_item_name", "statement"), "coa_id").transform(in_documents, "confidence", "coa_id")
 
 
 def learned_applied(routed: DataFrame, learned: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def learned_list(learned: DataFrame, template: str | None = None, statement: str
 def notes_view(notes: DataFrame, document_id=None, note_number: int | None = None) -> DataFrame:
     n = notes if document_id is None else notes.filter(F.col("document_id") == document_id)
     n = n if note_number is None else n.filter(F.col("note_number") == note_number)
-    return n.orderBy("document_id", "note_number")
+    return in_documents(n, "note_number")
 
 
 def override_history(audit: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ class Tables:
              .select("document_id", "extraction_id", "statement_type", F.explode(F.array(*map(F.lit, [1, 2, 3]))).alias("cand_rank"))
              .withColumn("statement", F.when(F.col("statement_type") == "balance_sheet", "Balance Sheet").otherwise("P&L"))
              .withColumn("coa_no", (F.col("extraction_id") * 5 + F.col("cand_rank")) % 64 + 1))
-        c = self.coa.select("coa_id", "statement", F.substring("coa_id", 4, 3).cast("int").alias("coa_no"))
+        c = self.coa.select("coa_id", "statement", F.substr("coa_id", F.lit(4)).cast("int").alias("coa_no"))
         score = ((F.col("document_id") * 31 + F.col("extraction_id") * 17 + F.col("cand_rank") * 7) % 100).cast("double") / 100
         return r.join(c, ["statement", "coa_no"]).select("document_id", "extraction_id", "cand_rank", "coa_id", score.alias("score"))
 
@@ -204,7 +204,7 @@ class Tables:
 
 COA_SQL = """
 SELECT concat(CASE WHEN statement = 'Balance Sheet' THEN 'BS-' ELSE 'PL-' END,
-              lpad(CAST(row_number() OVER (PARTITION BY statement ORDER BY line_item_name) AS STRING), 3, '0')) AS coa_id,
+              printf('%03d', row_number() OVER (PARTITION BY statement ORDER BY line_item_name))) AS coa_id,
        line_item_name, statement,
        CASE WHEN statement = 'P&L' THEN 'Revenue' WHEN h = 0 THEN 'Current Assets' WHEN h = 1 THEN 'Non-Current Assets'
             WHEN h = 2 THEN 'Current Liabilities' WHEN h = 3 THEN 'Non-Current Liabilities' ELSE 'Equity' END AS broad_category,
@@ -219,7 +219,7 @@ LEARNED_SQL = """
 SELECT p_partkey AS learned_id, p_name AS label_key,
        CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE concat('T', CAST(1 + p_partkey % 8 AS STRING)) END AS template_type,
        CASE WHEN p_size % 2 = 0 THEN 'balance_sheet' ELSE 'income_statement' END AS statement_type,
-       concat(CASE WHEN p_size % 2 = 0 THEN 'BS-' ELSE 'PL-' END, lpad(CAST(1 + p_partkey % 64 AS STRING), 3, '0')) AS coa_id,
+       concat(CASE WHEN p_size % 2 = 0 THEN 'BS-' ELSE 'PL-' END, printf('%03d', 1 + p_partkey % 64)) AS coa_id,
        CAST(0.95 AS DOUBLE) AS learned_confidence, p_size % 7 AS times_applied,
        CASE WHEN p_partkey % 13 = 0 THEN 2 ELSE 0 END AS times_overridden, p_partkey AS created_seq,
        concat('filing_', CAST(p_size AS STRING), '.pdf') AS source_document, p_brand AS rationale
@@ -250,7 +250,7 @@ FROM events
 DECISIONS_SQL = """
 SELECT event_id AS decision_id, ts AS decided_at, user_id AS document_id,
        CASE event_type WHEN 'purchase' THEN 'resolve' WHEN 'click' THEN 'override' ELSE 'skip' END AS action,
-       CAST(1 + event_id % 40 AS INT) AS extraction_id, concat('BS-', lpad(CAST(1 + event_id % 64 AS STRING), 3, '0')) AS coa_id
+       CAST(1 + event_id % 40 AS INT) AS extraction_id, concat('BS-', printf('%03d', 1 + event_id % 64)) AS coa_id
 FROM events WHERE event_type IN ('purchase','click','signup')
 """
 
@@ -317,7 +317,7 @@ SELECT r.document_id, r.extraction_id, k.k AS cand_rank, c.coa_id,
        CAST((r.document_id * 31 + r.extraction_id * 17 + k.k * 7) % 100 AS DOUBLE) / 100 AS score
 FROM fx_rows r CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) k
 JOIN fx_coa c ON c.statement = CASE r.statement_type WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'income_statement' THEN 'P&L' END
- AND CAST(substring(c.coa_id, 4, 3) AS INT) = (r.extraction_id * 5 + k.k) % 64 + 1""", ("fx_rows", "fx_coa")),
+ AND CAST(substring(c.coa_id, 4) AS INT) = (r.extraction_id * 5 + k.k) % 64 + 1""", ("fx_rows", "fx_coa")),
     "fx_answers": ("SELECT document_id, extraction_id, coa_id, score AS confidence FROM fx_suggestions WHERE cand_rank = 1",
                    ("fx_suggestions",)),
     "fx_learned": (LEARNED_SQL, ()),

@@ -123,8 +123,7 @@ JOIN (SELECT *, row_number() OVER (PARTITION BY cs, k ORDER BY score DESC, coa_i
       + 0.3 * (1 - levenshtein(w.k, c.n) / CAST(greatest(length(w.k), length(c.n)) AS DOUBLE)), 6) AS score
   FROM (SELECT DISTINCT CASE statement_type WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'income_statement' THEN 'P&L' END AS cs, {KEYED.format('raw_label')} AS k,
           list_distinct(string_split({KEYED.format('raw_label')}, ' ')) AS toks FROM fx_rows) w
-  JOIN (SELECT coa_id, statement, line_item_name AS n, list_distinct(string_split(line_item_name, ' ')) AS toks FROM fx_coa) c ON c.statement = w.cs
-  WHERE len(list_intersect(w.toks, c.toks)) > 0) s) b ON b.cs = r.cs AND b.k = r.k AND b.rn <= 3""", ("fx_rows", "fx_coa"))
+  JOIN (SELECT coa_id, statement, line_item_name AS n, list_distinct(string_split(line_item_name, ' ')) AS toks FROM fx_coa) c ON c.statement = w.cs) s) b ON b.cs = r.cs AND b.k = r.k AND b.rn <= 3""", ("fx_rows", "fx_coa"))
 def e06(t):
     return A.candidates(t.rows, t.coa).select("document_id", "extraction_id", "cand_rank", "coa_id", "score")
 

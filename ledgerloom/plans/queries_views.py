@@ -11,6 +11,7 @@ from ..operators import coa as A
 from ..operators import pages as P
 from ..operators import rows as W
 from ..operators import views as V
+from ..operators.ordered import in_documents
 from ..sources import sinks
 from .catalog import query
 from .queries_canonical import CAN, CHECKS, SC, checks, engine_rows, scored
@@ -152,7 +153,7 @@ def f08(t):
     c = comps.join(names, ["document_id", "component_id"]).withColumn("label", F.lower(F.trim("raw_label"))).join(o, ["document_id", "label", "statement_type"], "left")
     sub = c.select("document_id", "statement_type", "subtotal_id", "component_id", "raw_label", F.lit(None).cast("string").alias("verdict"),
                    F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("difference"), F.coalesce("st", F.lit("absent")).alias("status"))
-    return top.unionByName(sub).orderBy("document_id", "statement_type", "subtotal_id", "component_id")
+    return in_documents(top.unionByName(sub), "statement_type", "subtotal_id", "component_id")
 
 
 USED = "SELECT *, regexp_replace(model, '^.*\\.', '') AS m FROM fx_usage"

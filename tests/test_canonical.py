@@ -86,3 +86,15 @@ def test_bulk_approve(spark):
     df = spark.createDataFrame([("needs_review", 0.95), ("needs_review", 0.5), ("override", 0.1)], "review_status string, score double")
     assert [r[0] for r in C.bulk_approve(df).orderBy(F.desc("score")).select("review_status").collect()] == ["auto_approved", "needs_review", "override"]
     assert C.bulk_approve(df, compat=True).filter("review_status = 'needs_review'").count() == 0
+
+
+def test_candidates_without_a_shared_word(spark):
+    from ledgerloom.operators import coa as A
+
+    chart = [("BS-001", "Amortization", "Balance Sheet"), ("BS-002", "Cash at bank", "Balance Sheet"), ("BS-003", "Inventory", "Balance Sheet"), ("BS-004", "Other assets", "Balance Sheet"), ("PL-001", "Amortisation", "P&L")]
+    coa = spark.createDataFrame(chart, "coa_id string, line_item_name string, statement string")
+    rows = spark.createDataFrame([(1, i, t, "balance_sheet") for i, t in enumerate(["Amortisation", "Inventories", "Cash in bank"], 1)], "document_id long, extraction_id int, raw_label string, statement_type string")
+    got = {}
+    for r in A.candidates(rows, coa).orderBy("extraction_id", "cand_rank").collect():
+        got.setdefault(r.extraction_id, []).append(r.coa_id)
+    assert {k: v[0] for k, v in got.items()} == {1: "BS-001", 2: "BS-003", 3: "BS-002"} and all(len(v) == 3 for v in got.values())
