@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import exprs as X
-from .coa import balance_identity
+from .coa import balance_identity, outcomes
+from .reconcile import crossfoot, group_subtotals
 
 ROW = ["document_id", "extraction_id"]
 MANUAL_CONFIDENCE = 0.95
@@ -126,12 +127,27 @@ def refresh_checks(changed: DataFrame, rows: DataFrame, row_values: DataFrame, c
     return balance_identity(v.withColumn("value", X.signed("value", "sign_convention")), coa)
 
 
+def refresh_reconciliation(changed: DataFrame, routed: DataFrame, rows: DataFrame, row_values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cross-foot of the changed documents only, from their rows and outcomes as they are now: (per year, report)."""
+    r, v, o = (df.join(changed, "document_id", "left_semi") for df in (rows, row_values, routed))
+    comps, subs = group_subtotals(r, v)
+    return crossfoot(comps, subs, r, v, outcomes(o))
+
+
+def promoted_outcomes(before: DataFrame, promoted: DataFrame) -> DataFrame:
+    """Outcomes by label in which a promoted row's label counts as mapped in its statement."""
+    up = promoted.select("document_id", F.lower(F.trim("raw_label")).alias("label"), "statement_type").distinct().withColumn("_up", F.lit(True))
+    j = before.join(up, ["document_id", "label", "statement_type"], "left")
+    return j.withColumn("status", F.when(F.col("_up"), "mapped").otherwise(F.col("status"))).drop("_up")
+
+
 def republish(routed: DataFrame, aggregated: DataFrame, heads: DataFrame, pending: DataFrame, row_values: DataFrame, coa: DataFrame,
               threshold: float = R.ROUTE_THRESHOLD) -> dict[str, DataFrame]:
     """Promote pending rows whose best suggestion reaches the threshold into the published mappings.
 
     rows: statuses after the run (auto_mapped); values: published values with the promoted, signed ones added;
-    heads: one row per (document, chart line), new lines with the highest promoted score; documents: status.
+    heads: one row per (document, chart line), new lines with the highest promoted score; balance: the identity over
+    all published values; outcomes: the labels' outcomes with the promoted ones mapped; documents: status.
     """
     up = pending.filter((F.col("best_score") >= threshold) & F.col("best_coa_id").isNotNull() & (F.col("statement_type") != "equity_statement"))
     up = up.select(*ROW, "raw_label", "statement_type", F.col("best_coa_id").alias("coa_id"), "best_score")
@@ -149,5 +165,5 @@ def republish(routed: DataFrame, aggregated: DataFrame, heads: DataFrame, pendin
     flag = up.select(*ROW, F.lit(True).alias("_up"))
     rows = routed.join(flag, ROW, "left").withColumn("status", F.when(F.col("_up"), "auto_mapped").otherwise(F.col("status"))).drop("_up")
     docs = rows.groupBy("document_id").agg(F.count_if(F.col("status") == "auto_mapped").alias("promoted"), F.count_if(F.col("status") == "unmapped").alias("unmapped_count"))
-    return {"rows": rows, "values": values, "heads": h,
+    return {"rows": rows, "values": values, "heads": h, "balance": balance_identity(values, coa), "outcomes": promoted_outcomes(outcomes(routed), up),
             "documents": docs.withColumn("spread_status", F.when(F.col("unmapped_count") == 0, "spread_complete").otherwise("has_unmapped"))}

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import coa as A
+from ..operators import reconcile as Q
 from ..operators import state as S
 from ..session import work_dir
 from ..sources import readers
 from ..streaming import streams as T
 from .catalog import query
 from .queries_canonical import CAN, SC, scored
-from .queries_coa import AG, COA, LE, LH, RT, SG, aggregated, routed
+from .queries_coa import AG, BALANCE, COA, CROSSFOOT, LE, LH, RT, SG, aggregated, grouped, recon_rows, routed
 from .queries_views import PE, SUG, pending
 from .queries_pages import PAGES, SEC, SCOPE
 
@@ -141,6 +142,16 @@ def e25(t):
     return b.select("document_id", "year", F.round("total_assets", 2).alias("total_assets"))
 
 
+_AFTER = """SELECT r.* REPLACE (CASE WHEN n.new_coa_id IS NOT NULL THEN 'mapped' ELSE r.status END AS status) FROM routed r LEFT JOIN res n USING (document_id, extraction_id)"""
+
+
+@query("e25_refresh_reconciliation", "SELECT * FROM recon WHERE document_id IN (SELECT document_id FROM fx_decisions)", DEC,
+       {**RES, "after": _AFTER, **{k: v.replace("FROM routed", "FROM after") if k == "outc" else v for k, v in CROSSFOOT.items() if k != "routed"}})
+def e25b(t):
+    _, report = S.refresh_reconciliation(S.changed_documents(t.decisions), resolved(t)["rows"], recon_rows(t), t.row_values)
+    return Q.recon_summary(report)
+
+
 @query("e26_skip_items", """SELECT document_id, extraction_id, CASE WHEN status = 'unmapped' AND (document_id, extraction_id) IN (SELECT (document_id, extraction_id) FROM fx_decisions WHERE action = 'skip') THEN 'set_aside' ELSE status END AS status FROM routed""", DEC, RT)
 def e26(t):
     return S.skip_items(routed(t), t.decisions).select("document_id", "extraction_id", "status")
@@ -167,6 +178,27 @@ def f09b(t):
     return republished(t)["heads"].select("document_id", "coa_id", "aggregated_from", "confidence", "rationale_note")
 
 
+_PUBLISHED = """SELECT document_id, coa_id, year, value FROM signed UNION ALL
+SELECT v.document_id, u.coa_id, v.year, CASE WHEN c.sign_convention = 'contra' THEN -abs(v.value) ELSE v.value END FROM up u JOIN fx_row_values v USING (document_id, extraction_id) JOIN fx_coa c ON c.coa_id = u.coa_id"""
+
+
+@query("f09_republish_balance", "SELECT document_id, year, round(total_assets, 2) AS total_assets, difference, is_balanced FROM bal", SUG,
+       {**REP, "published": _PUBLISHED, "bal": BALANCE.replace("FROM signed s", "FROM published s")})
+def f09d(t):
+    return republished(t)["balance"].select("document_id", "year", F.round("total_assets", 2).alias("total_assets"), "difference", "is_balanced")
+
+
+_OUTC = f"""SELECT o.document_id, o.label, o.statement_type, CASE WHEN EXISTS (SELECT 1 FROM up u JOIN fx_rows r USING (document_id, extraction_id)
+  WHERE u.document_id = o.document_id AND lower(trim(u.raw_label)) = o.label AND r.statement_type = o.statement_type) THEN 'mapped' ELSE o.status END AS status FROM ({CROSSFOOT["outc"]}) o"""
+
+
+@query("f09_republish_flags", "SELECT document_id, subtotal_id, has_unmapped, passed FROM report", SUG,
+       {**REP, **{k: _OUTC if k == "outc" else v for k, v in CROSSFOOT.items() if k != "routed"}})
+def f09e(t):
+    comps, subs = grouped(t)
+    return Q.crossfoot(comps, subs, t.rows, t.row_values, republished(t)["outcomes"])[1].select("document_id", "subtotal_id", "has_unmapped", "passed")
+
+
 @query("f09_republish_documents", """SELECT document_id, coalesce(n, 0) AS promoted, c - coalesce(n, 0) AS unmapped_count, CASE WHEN c - coalesce(n, 0) = 0 THEN 'spread_complete' ELSE 'has_unmapped' END AS spread_status
 FROM (SELECT document_id, count(*) FILTER (status = 'unmapped') AS c FROM routed GROUP BY 1) a LEFT JOIN (SELECT document_id, count(*) AS n FROM up GROUP BY 1) b USING (document_id)""", SUG, REP)
 def f09c(t):
