@@ -23,8 +23,12 @@ def fy12(row_values: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return g.select(*keys, pick(1).alias("fy1"), pick(2).alias("fy2"))
 
 
-def document_library(documents: DataFrame, rows: DataFrame, outcomes: DataFrame, heads: DataFrame, balance: DataFrame) -> DataFrame:
-    """Documents with mapped and mappable rows, flagged lines, health and display status, newest first."""
+def document_library(documents: DataFrame, rows: DataFrame, outcomes: DataFrame, heads: DataFrame, balance: DataFrame, runs: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """Documents with mapped and mappable rows, flagged lines, health, display status and cost, newest first.
+
+    `runs` holds one row per filename, its latest run with run_status: a run that is not done decides the display
+    status. `usage` holds cost_usd per document.
+    """
     o = outcomes.groupBy("document_id").agg(F.count_if(F.col("status") == "mapped").alias("mapped_rows"), F.count_if(F.col("status") == "unmapped").alias("unmapped_count"))
     m = rows.groupBy("document_id").agg(F.count_if(F.col("statement_type").isin("balance_sheet", "income_statement")).alias("mappable_rows"))
     low = heads.groupBy("document_id").agg(F.count_if(F.col("confidence") < LOW_CONFIDENCE).alias("low_conf"))
@@ -32,12 +36,14 @@ def document_library(documents: DataFrame, rows: DataFrame, outcomes: DataFrame,
     j = documents
     for part in (o, m, low, b):
         j = j.join(part, "document_id", "left")
+    j = j.join(runs.select("filename", "run_status"), "filename", "left") if runs is not None else j.withColumn("run_status", F.lit(None).cast("string"))
+    j = j.join(usage.select("document_id", "cost_usd"), "document_id", "left") if usage is not None else j.withColumn("cost_usd", F.lit(None).cast("double"))
     j = j.fillna(0, ["mapped_rows", "unmapped_count", "mappable_rows", "low_conf"])
     ratio = F.when(F.col("mappable_rows") > 0, F.col("mapped_rows") / F.col("mappable_rows")).otherwise(0.0)
     return j.withColumns({
         "flagged": F.col("low_conf") + F.col("unmapped_count"),
         "health": F.round(F.when(F.coalesce("balanced", F.lit(False)), 0.5).otherwise(0.0) + 0.5 * ratio, 6),
-        "ui_status": F.when(F.col("unmapped_count") > 0, "has_unmapped").otherwise("complete")}).orderBy(F.desc("created_at"), "document_id")
+        "spread_status": F.when(F.col("unmapped_count") > 0, "has_unmapped").otherwise("spread_complete")}).withColumn("ui_status", ui_status()).orderBy(F.desc("created_at"), "document_id")
 
 
 def ui_status(run: str = "run_status", spread: str = "spread_status") -> Column:

@@ -194,14 +194,19 @@ def f11(t):
 
 
 @query("f12_document_library", """SELECT d.document_id, d.filename, coalesce(mapped_rows, 0) AS mapped_rows, coalesce(mappable_rows, 0) AS mappable_rows, coalesce(low_conf, 0) + coalesce(unm, 0) AS flagged,
-  round(CASE WHEN balanced THEN 0.5 ELSE 0 END + 0.5 * CASE WHEN mappable_rows > 0 THEN mapped_rows / CAST(mappable_rows AS DOUBLE) ELSE 0 END, 6) AS health, CASE WHEN unm > 0 THEN 'has_unmapped' ELSE 'complete' END AS ui_status
-FROM fx_documents d LEFT JOIN (SELECT document_id, count(*) FILTER (status = 'mapped') AS mapped_rows, count(*) FILTER (status = 'unmapped') AS unm,
+  round(CASE WHEN balanced THEN 0.5 ELSE 0 END + 0.5 * CASE WHEN mappable_rows > 0 THEN mapped_rows / CAST(mappable_rows AS DOUBLE) ELSE 0 END, 6) AS health, n.run_status,
+  CASE WHEN n.run_status IN ('error', 'processing') THEN n.run_status WHEN n.run_status <> 'done' THEN 'queued' WHEN unm > 0 THEN 'has_unmapped' ELSE 'complete' END AS ui_status, round(u.cost, 6) AS cost_usd
+FROM (SELECT document_id, concat('filing_', document_id, '_', fiscal_year, '.pdf') AS filename FROM fx_documents) d LEFT JOIN (SELECT document_id, count(*) FILTER (status = 'mapped') AS mapped_rows, count(*) FILTER (status = 'unmapped') AS unm,
     count(*) FILTER (statement_type IN ('balance_sheet', 'income_statement')) AS mappable_rows FROM routed GROUP BY 1) r USING (document_id)
 LEFT JOIN (SELECT document_id, count(*) FILTER (c < 0.75) AS low_conf FROM (SELECT document_id, coa_id, arg_min(confidence, extraction_id) AS c FROM routed WHERE status = 'mapped' GROUP BY ALL) GROUP BY 1) h USING (document_id)
-LEFT JOIN (SELECT document_id, is_balanced AS balanced FROM bal WHERE headline) b USING (document_id)""", (*COA, "fx_documents"), BAL)
+LEFT JOIN (SELECT document_id, is_balanced AS balanced FROM bal WHERE headline) b USING (document_id)
+LEFT JOIN (SELECT filename, run_status FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY created_at DESC, run_id) AS rn FROM fx_runs WHERE lower(filename) LIKE '%.pdf') WHERE rn = 1) n ON n.filename = d.filename
+LEFT JOIN (SELECT document_id, sum(cost) AS cost FROM uc GROUP BY 1) u USING (document_id)""", (*COA, "fx_documents", "fx_runs", "fx_usage"), {**BAL, "used": USED, "uc": _cost_sql("document_id,")})
 def f12(t):
-    out = V.document_library(t.documents, t.rows, routed(t), A.mapping_heads(routed(t)), balance(t))
-    return out.select("document_id", "filename", "mapped_rows", "mappable_rows", "flagged", F.col("health").cast("double").alias("health"), "ui_status")
+    docs = t.documents.withColumn("filename", F.concat(F.lit("filing_"), F.col("document_id").cast("string"), F.lit("_"), F.col("fiscal_year").cast("string"), F.lit(".pdf")))
+    cost = N.usage_per_document(usage(t)).withColumnRenamed("total_cost", "cost_usd")
+    out = V.document_library(docs, t.rows, routed(t), A.mapping_heads(routed(t)), balance(t), N.latest_runs(t.runs), cost)
+    return out.select("document_id", "filename", "mapped_rows", "mappable_rows", "flagged", F.col("health").cast("double").alias("health"), "run_status", "ui_status", F.round("cost_usd", 6).alias("cost_usd"))
 
 
 @query("f12_ui_status", """SELECT run_id, CASE WHEN run_status IN ('error', 'processing') THEN run_status WHEN run_status <> 'done' THEN 'queued' WHEN run_id % 2 = 0 THEN 'complete' ELSE 'has_unmapped' END AS ui_status FROM fx_runs""", ("fx_runs",))
