@@ -149,6 +149,26 @@ def test_group_subtotals(spark):
     assert report.filter("document_id = 60 AND subtotal_id = 4").first()["has_unmapped"] is True
 
 
+def test_given_groups_consume(spark):
+    # Flat: 1 leaf, 2 leaf, 3 total that takes row 1 only, 4 leaf, 5 total of rows 2 and 4, 6 total that takes 3 and 5.
+    values = {1: 10.0, 2: 5.0, 3: 10.0, 4: 7.0, 5: 12.0, 6: 22.0, 7: 9.0, 8: 31.0}
+    rows = [(1, "balance_sheet", i, f"r{i}", i in (3, 5, 6, 8), 0) for i in values] + [(2, "balance_sheet", i, f"r{i}", i in (3, 5, 6, 8), i % 2) for i in values]
+    rdf = spark.createDataFrame(rows, "document_id long, statement_type string, extraction_id int, raw_label string, is_subtotal boolean, indentation_level int")
+    vdf = spark.createDataFrame([(d, i, "2023", v) for d in (1, 2) for i, v in values.items()], "document_id long, extraction_id int, year string, value double")
+    groups = spark.createDataFrame([(d, "balance_sheet", s, c) for d in (1, 2) for s, c in [(3, 1), (6, 3), (6, 5), (6, 8)]], "document_id long, statement_type string, subtotal_id int, component_id int")
+    comps, subs = Q.group_subtotals(rdf, vdf, groups.drop("statement_type"))
+    parts = {}
+    for r in comps.filter("document_id = 1").collect():
+        parts.setdefault(r.subtotal_id, []).append(r.component_id)
+    got = {r.subtotal_id: (r.method, r.grouping_confidence, sorted(parts.get(r.subtotal_id, []))) for r in subs.filter("document_id = 1").collect()}
+    # 5 takes leaf 4; with the free total 3 that makes 17, with leaf 2 as well 22: neither is 12.
+    assert got[3] == ("given", "given", [1]) and got[6] == ("given", "given", [3, 5])
+    assert got[5] == ("unresolved", "given", [4])
+    # 8 takes leaf 7 and, to foot, the free total 6: what 6 has taken (3 and 5) is gone.
+    assert got[8] == ("absorbed", "given", [6, 7])
+    assert {r.grouping_confidence for r in subs.filter("document_id = 2").collect()} == {"high"} and subs.filter("document_id = 2 AND method = 'given'").count() == 0
+
+
 def test_sign_flip(spark):
     raw = spark.createDataFrame([(1, 1, "2023", 5.0), (1, 2, "2023", -5.0), (1, 3, "2023", 0.0)], "document_id long, extraction_id int, year string, value double")
     mapped = raw.withColumn("value", -F.abs("value"))
