@@ -156,7 +156,7 @@ def test_given_groups_consume(spark):
     rdf = spark.createDataFrame(rows, "document_id long, statement_type string, extraction_id int, raw_label string, is_subtotal boolean, indentation_level int")
     vdf = spark.createDataFrame([(d, i, "2023", v) for d in (1, 2) for i, v in values.items()], "document_id long, extraction_id int, year string, value double")
     groups = spark.createDataFrame([(d, "balance_sheet", s, c) for d in (1, 2) for s, c in [(3, 1), (6, 3), (6, 5), (6, 8)]], "document_id long, statement_type string, subtotal_id int, component_id int")
-    comps, subs = Q.group_subtotals(rdf, vdf, groups.drop("statement_type"))
+    comps, subs = Q.group_subtotals(rdf, vdf, groups)
     parts = {}
     for r in comps.filter("document_id = 1").collect():
         parts.setdefault(r.subtotal_id, []).append(r.component_id)
