@@ -271,6 +271,11 @@ def f19(t):
     return V.rows_by_document(t.rows, statement_type="cash_flow").select("document_id", "extraction_id", "raw_label")
 
 
+@query("f19_rows_of_all_statements", "SELECT document_id, extraction_id, statement_type, raw_label FROM fx_rows", ROWS)
+def f19b(t):
+    return V.rows_by_document(t.rows).select("document_id", "extraction_id", "statement_type", "raw_label")
+
+
 @query("f20_mapped_rows_view", """SELECT s.document_id, s.rn AS extraction_id, s.raw_field, r.raw_label, s.score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY raw_field) AS INT) AS rn FROM sc) s
 LEFT JOIN fx_rows r ON r.document_id = s.document_id AND r.extraction_id = s.rn WHERE s.review_status = 'needs_review' AND s.score < 0.9""", (*CAN, "fx_rows"), SC)
 def f20(t):
@@ -318,6 +323,11 @@ def f24(t):
     return V.learned_list(t.learned, "*", "balance_sheet", t.learned.filter("learned_id % 5 = 0")).select("learned_id", "label_key", "coa_id")
 
 
+@query("f24_learned_list_whole", "SELECT learned_id, template_type, statement_type, label_key, coa_id FROM fx_learned", ("fx_learned",))
+def f24b(t):
+    return V.learned_list(t.learned).select("learned_id", "template_type", "statement_type", "label_key", "coa_id")
+
+
 NOTES = {**SEC, "np": NOTE_PAGES}
 
 
@@ -327,6 +337,11 @@ def f25(t):
     return V.notes_view(n, note_number=1)
 
 
+@query("f25_notes_view_whole", "SELECT document_id, note_number, count(*) AS n_pages FROM np GROUP BY ALL", PAGES, NOTES)
+def f25b(t):
+    return V.notes_view(P.note_pages(sectioned(t)).groupBy("document_id", "note_number").agg(F.count(F.lit(1)).alias("n_pages")))
+
+
 @query("f26_override_history", """SELECT event_id AS decision_id, user_id AS document_id FROM events WHERE event_type IN ('purchase', 'view') AND event_id % 3 <> 2
 AND user_id IN (SELECT document_id FROM fx_documents WHERE template_type = 'T1')""", ("fx_documents",))
 def f26(t):
@@ -341,6 +356,11 @@ def f27(t):
     return V.coa_view(t.coa, "P&L").select("coa_id", "line_item_name", "broad_category")
 
 
+@query("f27_coa_view_whole", "SELECT coa_id, line_item_name, statement, broad_category FROM fx_coa", ("fx_coa",))
+def f27c(t):
+    return V.coa_view(t.coa).select("coa_id", "line_item_name", "statement", "broad_category")
+
+
 @query("f27_coa_counts", "SELECT statement, count(*) AS n FROM fx_coa GROUP BY 1", ("fx_coa",))
 def f27b(t):
     return t.coa.groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
@@ -361,6 +381,14 @@ def f29(t):
     return V.statement_view(rows, P.note_pages(sectioned(t)), t.row_values, "consolidated").select("document_id", "extraction_id", "statement_type", "note_number", "has_note", "fy1")
 
 
+@query("f29_statement_view_whole", f"""SELECT s.document_id, s.extraction_id, s.statement_type, n.note_number, EXISTS (SELECT 1 FROM np WHERE np.document_id = s.document_id AND np.note_number = n.note_number) AS has_note, f.fy1
+FROM sr s JOIN nr n USING (document_id, extraction_id) LEFT JOIN ({FY.format(k='extraction_id', t='fx_row_values')}) f USING (document_id, extraction_id)""",
+       ("fx_pages", "fx_rows", "fx_row_values"), {**NOTES, "sr": SCOPED, "nr": NOTED})
+def f29c(t):
+    rows = scoped_rows(t).join(noted_rows(t).select("document_id", "extraction_id", "note_ref"), ["document_id", "extraction_id"])
+    return V.statement_view(rows, P.note_pages(sectioned(t)), t.row_values).select("document_id", "extraction_id", "statement_type", "note_number", "has_note", "fy1")
+
+
 @query("f29_section_counts", "SELECT document_id, statement_type, count(*) AS n FROM sr WHERE statement_scope = 'standalone' GROUP BY ALL", ROWS, {"sr": SCOPED})
 def f29b(t):
     return V.rows_by_document(scoped_rows(t).filter("statement_scope = 'standalone'")).groupBy("document_id", "statement_type").agg(F.count(F.lit(1)).alias("n"))
