@@ -24,7 +24,7 @@ from ledgerloom.llm.common import groups, lists, row_arrays, sliced
 from ledgerloom.session import materialise, tune
 
 #: Vectors of a shard, on average; links of a node above and on the lowest level; candidates when linking; beam.
-SHARD_ROWS, LINKS, LINKS_0, CANDIDATES, BEAM = 16384, 12, 32, 96, 320
+SHARD_ROWS, LINKS, LINKS_0, CANDIDATES, BEAM = 16384, 12, 32, 96, 480
 #: Nodes of a beam expanded in one step; queries answered together.
 EXPANDED, TOGETHER = 4, 250
 #: Queries that one task answers from one shard.
