@@ -2,7 +2,7 @@
 
 Vectors are dealt to shards of bounded size by a hash of their id. In a shard equal vectors are one node; each node
 gets a geometric random level, and on each level it links to the nearest nodes of that level which are nearer to it
-than to a neighbour already chosen, and back. Candidates come from blocked exact products, which inserting one by one
+than to a neighbour already chosen, fills up with the nearest passed over, and is linked back. Candidates come from blocked exact products, which inserting one by one
 would approximate. Inner product is made a distance by one more coordinate that gives all vectors of a shard one norm.
 A graph is one row of flat arrays. A query descends the levels of every shard's graph and searches the lowest with a
 beam; each shard answers with its best, and a window over the answers ranks them.
@@ -24,7 +24,7 @@ from ledgerloom.llm.common import groups, lists, row_arrays, sliced
 from ledgerloom.session import materialise, tune
 
 #: Vectors of a shard, on average; links of a node above and on the lowest level; candidates when linking; beam.
-SHARD_ROWS, LINKS, LINKS_0, CANDIDATES, BEAM = 16384, 12, 32, 96, 480
+SHARD_ROWS, LINKS, LINKS_0, CANDIDATES, BEAM = 16384, 12, 32, 96, 320
 #: Nodes of a beam expanded in one step; queries answered together.
 EXPANDED, TOGETHER = 4, 250
 #: Queries that one task answers from one shard.
@@ -73,6 +73,11 @@ def _link(x: np.ndarray, nodes: np.ndarray, links: int, most: int) -> np.ndarray
         keep = np.flatnonzero((taken < links) & (near[:, k] > rival))
         chosen[keep, taken[keep]] = c[keep]
         taken[keep] += 1
+    # Free places go to the nearest that were passed over: without them, much of a dense cluster hangs on one node.
+    for k in range(at.shape[1]):
+        free = np.flatnonzero((taken < links) & ~(chosen == at[:, k, None]).any(axis=1))
+        chosen[free, taken[free]] = at[free, k]
+        taken[free] += 1
     row = np.empty(len(x), np.int64)
     row[nodes] = np.arange(len(nodes))
     source, place = np.nonzero(chosen >= 0)
@@ -87,6 +92,18 @@ def _link(x: np.ndarray, nodes: np.ndarray, links: int, most: int) -> np.ndarray
     rank = np.arange(len(a)) - np.searchsorted(a, a)
     keep = rank < most
     out[a[keep], rank[keep]] = nodes[b[keep]]
+    # Whoever nobody links to takes the last place of the first neighbour whose last is linked to from elsewhere.
+    into = np.bincount(row[out[out >= 0]], minlength=len(nodes))
+    for lost in np.flatnonzero(into == 0).tolist():
+        for n in chosen[lost][chosen[lost] >= 0].tolist():
+            own_row = out[row[n]]
+            place = min(int((own_row >= 0).sum()), most - 1)
+            if own_row[place] < 0 or into[row[own_row[place]]] > 1:
+                if own_row[place] >= 0:
+                    into[row[own_row[place]]] -= 1
+                own_row[place] = nodes[lost]
+                into[lost] += 1
+                break
     return out
 
 
