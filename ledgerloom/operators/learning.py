@@ -41,23 +41,29 @@ def learned_lookup(rows: DataFrame, learned: DataFrame) -> DataFrame:
     return r.join(found, keys)
 
 
-def apply_learning_feedback(hits: DataFrame, learned: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_learning_feedback(hits: DataFrame, learned: DataFrame, applied_at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with the count and confidence they saw, learned mappings after the run).
 
     Inside a document the count grows row by row: the k-th use of a mapping sees k-1 earlier ones, and once
-    five uses without an override are reached the following rows see the promoted confidence.
+    five uses without an override are reached the following rows see the promoted confidence. With `applied_at`,
+    a column of the hits, the mappings' last_applied_at moves up to their latest use.
     """
     seen = running(hits, ["document_id", "learned_id"], "extraction_id", {"_before": ("sum", F.lit(1))})
     count = F.col("times_applied") + F.col("_before")
     promoted = (F.col("_before") > 0) & (count >= PROMOTE_AT) & (F.col("times_overridden") == 0)
     seen = seen.withColumns({"times_seen": count.cast("bigint"),
                              "confidence_seen": F.when(promoted, PROMOTED_CONFIDENCE).otherwise(F.col("confidence"))}).drop("_before")
-    uses = hits.groupBy("learned_id").agg(F.count(F.lit(1)).alias("_uses"))
+    latest = F.lit(None).cast("timestamp") if applied_at is None else F.max(F.col(applied_at)).cast("timestamp")
+    uses = hits.groupBy("learned_id").agg(F.count(F.lit(1)).alias("_uses"), latest.alias("_at"))
     after = learned.join(uses, "learned_id", "left")
     total = F.col("times_applied") + F.coalesce("_uses", F.lit(0))
     promote = F.col("_uses").isNotNull() & (total >= PROMOTE_AT) & (F.col("times_overridden") == 0)
     after = after.withColumns({"learned_confidence": F.when(promote, PROMOTED_CONFIDENCE).otherwise(F.col("learned_confidence")),
-                               "times_applied": total.cast("bigint")}).drop("_uses")
+                               "times_applied": total.cast("bigint")})
+    if applied_at is not None:
+        known = F.col("last_applied_at").cast("timestamp") if "last_applied_at" in learned.columns else F.lit(None).cast("timestamp")
+        after = after.withColumn("last_applied_at", F.greatest(known, F.col("_at")))
+    after = after.drop("_uses", "_at")
     return seen, after
 
 

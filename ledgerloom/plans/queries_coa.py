@@ -110,6 +110,14 @@ def e04b(t):
     return L.apply_learning_feedback(learned_hits(t), t.learned)[1].select("learned_id", "times_applied", "learned_confidence")
 
 
+@query("e04_last_applied", """SELECT l.learned_id, strftime(max(d.created_at), '%Y-%m-%d %H:%M:%S') AS last_applied_at FROM fx_learned l
+LEFT JOIN lhits h USING (learned_id) LEFT JOIN fx_documents d ON d.document_id = h.document_id GROUP BY l.learned_id""", LE, LH)
+def e04c(t):
+    hits = learned_hits(t).join(t.documents.select("document_id", F.col("created_at").alias("used_at")), "document_id")
+    after = L.apply_learning_feedback(hits, t.learned, "used_at")[1]
+    return after.select("learned_id", F.date_format("last_applied_at", "yyyy-MM-dd HH:mm:ss").alias("last_applied_at"))
+
+
 @query("e05_attribution", """SELECT learned_id, concat('Mapped using analyst learning from ', source_document, ' (applied 2024-01-31). Original rationale: ', rationale,
   ' Confidence inherited: 0.95. Applied ', times_applied, ' time(s) previously.') AS message FROM fx_learned""", ("fx_learned",))
 def e05(t):
@@ -204,6 +212,15 @@ def e13(t):
     return A.spread_summary(routed(t))
 
 
+@query("e13_spread_summary_learned", """SELECT document_id, count(*) FILTER (s = 'learned') AS learned, count(*) FILTER (s = 'mapped') AS model, count(*) FILTER (s = 'unmapped') AS unmapped,
+  count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'not_spread') AS equity, CASE WHEN count(*) FILTER (s = 'unmapped') > 0 THEN 'has_unmapped' ELSE 'spread_complete' END AS spread_status
+FROM (SELECT r.document_id, CASE WHEN h.learned_id IS NOT NULL AND r.status IN ('mapped', 'unmapped') THEN 'learned' ELSE r.status END AS s FROM routed r LEFT JOIN lhits h USING (document_id, extraction_id)) x GROUP BY document_id""",
+       (*COA, "fx_documents", "fx_learned"), {**RT, **LH})
+def e13b(t):
+    hits = learned_hits(t).select("document_id", "extraction_id", "coa_id", "confidence", "learned_id")
+    return A.spread_summary(A.route(t.rows, t.answers, hits))
+
+
 @query("e14_balance_identity", """SELECT document_id, year, round(total_assets, 2) AS total_assets, round(total_liabilities, 2) AS total_liabilities, round(total_equity, 2) AS total_equity,
   difference, is_balanced, headline FROM bal""", COA, BAL)
 def e14(t):
