@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards of bounded size by a hash of their id. In a shard equal vectors are one node; each node
 gets a geometric random level, and on each level it links to the nearest nodes of that level which are nearer to it
-than to a neighbour already chosen, fills up with the nearest passed over, and is linked back. Candidates come from blocked exact products, which inserting one by one
-would approximate. Inner product is made a distance by one more coordinate that gives all vectors of a shard one norm.
+than to a neighbour already chosen, fills up with the nearest passed over, and is linked back. Candidates come from
+blocked exact products, which inserting one by one would approximate. Inner product is made a distance by one more coordinate that gives all vectors of a shard one norm.
 A graph is one row of flat arrays. A query descends the levels of every shard's graph and searches the lowest with a
 beam; each shard answers with its best, and a window over the answers ranks them.
 """

@@ -10,8 +10,9 @@ shingles therefore hold one shared shingle at least, and only these short lists
    representative, so that groups of copies of any size cost one row per task;
 3. with |x| - T + l short lists each, linked texts share l of them at least. A representative joins the cluster of
    the smallest one it shares l lists with, and visits the later clusters it shares l lists with;
-4. in each block of a cluster, DivideSkip: merge the short lists, keep what occurs T - L times, look the survivors up in the L long lists by binary search, retain exact links. A spanning forest of the links
-   leaves the block, never its pairs;
+4. in each block of a cluster, DivideSkip: merge the short lists, keep what occurs T - L times, look the survivors
+   up in the L long lists by binary search, retain exact links. A spanning forest of the links leaves the block, never
+   its pairs;
 5. connected components of the links, carried over to the copies.
 """
 
