@@ -12,6 +12,9 @@ from ledgerloom.llm.ngram_join import keep_one
 from ledgerloom.llm.sharding import shard
 from ledgerloom.session import materialise
 
+#: Words of a shingle and least Jaccard similarity (per cent) of near duplicates.
+WIDTH, PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every language of the corpus, go."""
@@ -19,8 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts stays: the one with the smallest doc_id."""
-    return keep_one(docs)
+    """One document of each group of linked texts stays: the one with the smallest doc_id.
+
+    Texts link when their sets of 5-word shingles have a Jaccard similarity of 0.8 at least.
+    """
+    return keep_one(docs, width=WIDTH, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

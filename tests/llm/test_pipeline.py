@@ -30,3 +30,11 @@ def test_stages_take_nulls_and_nothing(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, "/root/testdata/sf0.001"))
         assert {r.doc_id for r in docs.collect()} == ({None, 3} if part else set())
+
+
+def test_near_duplicates_reach_down_to_four_fifths(spark):
+    base, more = [f"w{k}" for k in range(120)], [f"v{k}" for k in range(200)]
+    rows = [(1, base), (2, base + more[:24]), (3, base[:100]), (4, [f"x{k}" for k in range(120)]), (5, base + more[100:140])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], SCHEMA)
+    # 116 shingles of 5 words against 140, 96 and 156: 0.83, 0.83 and 0.74.
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 4, 5}
