@@ -159,7 +159,11 @@ class Index:
 
     def windows(self, text: np.ndarray) -> np.ndarray:
         """(start, length) of the windows of a text that share a run with an item on their diagonal."""
-        found = [np.empty((0, 2), np.int64)]
+        return np.unique(self.shared_runs(text)[:, :2], axis=0)
+
+    def shared_runs(self, text: np.ndarray) -> np.ndarray:
+        """(start, length, place of the run) of such windows, once for each run."""
+        found = [np.empty((0, 3), np.int64)]
         for n, (codes, place, length) in self.runs.items():
             if len(text) < n:
                 continue
@@ -176,8 +180,17 @@ class Index:
             at, first = at[hit], first[hit]
             count = np.searchsorted(codes, value[hit], side="right") - first
             k = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([np.repeat(at, count) - place[k], length[k]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            run = np.repeat(at, count)
+            found.append(np.stack([run - place[k], length[k], run], axis=1))
+        return np.concatenate(found)
+
+    def placed(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(document, start, length) of the windows of joined texts; a window is of the text its run lies in.
+
+        It may begin before that text and end after it, where the item's first and last words are missing.
+        """
+        start, m, run = self.shared_runs(text).T
+        return np.unique(np.stack([np.searchsorted(ends, run), start, m], axis=1), axis=0)
 
     def candidates(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(row, item) of the windows that meet an item of their length in a bucket."""
@@ -241,16 +254,7 @@ def _cut(text: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray,
 
 def _verified(index: Index, text: np.ndarray, begins: np.ndarray, ends: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, last word) of the windows that hold an item."""
-    start, m = found[:, 0], found[:, 1]
-    # A window may begin before its text: it belongs to the text its middle run lies in, that of its last word.
-    d = np.searchsorted(ends, np.maximum(start, 0))
-    inside = np.minimum(np.searchsorted(ends, start + m - 1), len(ends) - 1)
-    rows = []
-    for doc in (d, inside):
-        ok = (start + m > begins[np.minimum(doc, len(ends) - 1)]) & (doc < len(ends))
-        rows.append(np.stack([np.minimum(doc, len(ends) - 1)[ok], start[ok], m[ok]], axis=1))
-    both = np.unique(np.concatenate(rows), axis=0)
-    d, start, m = both.T
+    d, start, m = found.T
     windows = _cut(text, begins[d], np.minimum(ends[d], start + m), start, int(m.max(initial=0)), -2)
     windows[np.arange(windows.shape[1]) >= m[:, None]] = -1
     pairs = index.candidates(windows, m)
@@ -281,7 +285,7 @@ def _block_hits(docs: DataFrame, rows: list[tuple[int, list[bytes]]], share: flo
                 text = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
                 ends = np.flatnonzero(text == -3)
                 begins = np.append(0, ends[:-1] + 1)
-                found = index.windows(text)
+                found = index.placed(text, ends)
                 hits = [hit for a in range(0, len(found), WINDOWS) for hit in _verified(index, text, begins, ends, found[a : a + WINDOWS])]
                 if hits:
                     best: dict[tuple[int, int], tuple[int, int]] = {}

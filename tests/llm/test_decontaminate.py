@@ -79,3 +79,15 @@ def test_windows_lie_on_the_diagonal_of_a_shared_run():
     index = Index([1], [[b"a", b"b", b"c", b"d", b"e"]], 0.2, 0.9)
     text = np.array([index.vocabulary.get(w, -1) for w in (b"x", b"a", b"b", b"c", b"y", b"e")])
     assert [1, 5] in index.windows(text).tolist()
+
+
+def test_item_without_its_ends_between_other_texts(spark):
+    rng = random.Random(4)
+    items = [(i, [word(rng) for _ in range(30)]) for i in range(12)]
+    texts = []
+    for i, item in items:
+        texts += [(2 * i, [word(rng) for _ in range(40)]), (2 * i + 1, item[2:-2])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts] + [(99, "the last text")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in contamination(docs, bench).collect()}
+    assert got == {(2 * i + 1, i, 4) for i, _ in items}
