@@ -10,7 +10,7 @@ shingles therefore hold one shared shingle at least, and only these short lists
    representative, so that groups of copies of any size cost one row per task;
 3. with |x| - T + l short lists each, linked texts share l of them at least. A representative joins the cluster of
    the smallest one it shares l lists with, and visits the later clusters it shares l lists with;
-4. in each block of a cluster, DivideSkip: merge the short lists, keep what occurs T - L times, look the survivors
+4. in each block of a cluster, whose visitors are dealt to several tasks and pass one by one, DivideSkip: merge the short lists, keep what occurs T - L times, look the survivors
    up in the L long lists by binary search, retain exact links. A spanning forest of the links leaves the block, never
    its pairs;
 5. connected components of the links, carried over to the copies.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Shingles, components, groups, lists, row_arrays, sliced
+from ledgerloom.llm.common import Shingles, components, lists, row_arrays, sliced
 from ledgerloom.session import materialise, tune
 
 #: Leading hash bits that index the table of counts (one byte a cell), and the cells collected for it at most.
@@ -36,8 +36,10 @@ CELL_BITS, CELLS = 22, 400_000
 SHARED = 6
 #: Shingles sorted at once while counting.
 CHUNK = 4_000_000
-#: Representatives in one block of a cluster.
-BLOCK_ROWS = 1000
+#: Representatives in one block of a cluster, about; visitors of a block in one task, about, for each of them.
+BLOCK_ROWS, VISITORS = 1000, 4
+#: Shingles handed on in one Arrow batch, about.
+SENT = 2_000_000
 #: Arrow rows worked on at once.
 ROWS = 2000
 
@@ -137,20 +139,101 @@ class Block:
         return members[100 * count >= percent * (len(query) + self.sizes[members] - count)]
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], resident: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that join the rows of a block to each other: a spanning forest of all links with a resident."""
-    home = np.flatnonzero(resident)
-    if not len(home) or len(ids) < 2:
-        return []
-    block, edges, label = Block([sets[i] for i in home]), [], np.arange(len(ids))
-    for i, own in enumerate(sets):
-        # What is connected already need not be looked up.
-        for member in block.linked(own, percent, label[home] != label[i]):
-            j = home[member]
-            if label[i] != label[j]:
-                label[label == label[i]] = label[j]
-                edges.append((ids[i], ids[j]))
-    return edges
+class Links:
+    """Links of the rows that pass a block with its residents: a spanning forest of all links with a resident.
+
+    Only the residents are held, with a label each: residents of one label are connected already.
+    """
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int) -> None:
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.block, self.label = Block(sets), np.arange(len(ids))
+
+    def among_residents(self) -> list[tuple[int, int]]:
+        edges = []
+        for i, own in enumerate(self.sets):
+            # What is connected already need not be looked up.
+            for j in self.block.linked(own, self.percent, self.label != self.label[i]):
+                if self.label[i] != self.label[j]:
+                    self.label[self.label == self.label[i]] = self.label[j]
+                    edges.append((self.ids[i], self.ids[j]))
+        return edges
+
+    def of_visitor(self, rep: int, own: np.ndarray) -> list[tuple[int, int]]:
+        edges, every = [], np.ones(len(self.ids), bool)
+        found = self.block.linked(own, self.percent, every)
+        for j in found:
+            if not edges or self.label[j] != self.label[found[0]]:
+                self.label[self.label == self.label[j]] = self.label[found[0]]
+                edges.append((rep, self.ids[j]))
+        return edges
+
+
+def streamed_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks of a partition sorted by target, part, salt and residents first.
+
+    One block's residents and one batch of visitors are held at a time. Every salt of a block has all its
+    residents; their own links are left to salt 0.
+    """
+    current: tuple | None = None
+    held: list[tuple[int, np.ndarray]] = []
+    links: Links | None = None
+
+    def opened() -> list[tuple[int, int]]:
+        nonlocal links
+        ids, sets = zip(*held, strict=True)
+        links = Links(list(ids), list(sets), percent)
+        held.clear()
+        return links.among_residents() if not current[2] and len(ids) > 1 else []
+
+    def edges_of(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    for batch in batches:
+        for part in sliced(batch, ROWS):
+            found: list[tuple[int, int]] = []
+            keys = zip(*(part.column(k).to_pylist() for k in ("target", "part", "salt")), strict=True)
+            rows = zip(keys, part.column("rep").to_pylist(), part.column("resident").to_pylist(), row_arrays(part.column("shingles")), strict=True)
+            for key, rep, resident, own in rows:
+                if key != current:
+                    if len(held) > 1:
+                        found += opened()
+                    held.clear()
+                    current, links = key, None
+                # A copy: a view would hold its whole batch.
+                own = own.view(np.uint64)
+                if resident:
+                    held.append((rep, own.copy()))
+                    continue
+                if held:
+                    found += opened()
+                if links is not None:
+                    found += links.of_visitor(rep, own)
+            yield from edges_of(found)
+    if len(held) > 1:
+        yield from edges_of(opened())
+
+
+def routes(visits: DataFrame, block_rows: int, visitors: int = VISITORS) -> DataFrame:
+    """(rep, to): the blocks each representative goes to, as an array of target, target_part, salt and resident.
+
+    A cluster of many parts: its members are dealt to the parts, and each visits the parts after its own. The
+    visitors of a part are dealt to salts, and its residents go to each of them.
+    """
+    home = F.sum((F.col("target") == F.col("cluster")).cast("int"))
+    sizes = visits.groupBy("target").agg(F.count("*").alias("c"), home.alias("home")).where("c > 1")
+    sizes = materialise(sizes.select("target", (F.col("c") - F.col("home")).alias("outside"), "home", F.greatest(F.ceil(F.col("home") / block_rows), F.lit(1)).cast("int").alias("parts")))
+    routed = visits.join(sizes, "target").join(sizes.select(F.col("target").alias("cluster"), F.col("parts").alias("own")), "cluster", "left")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("own", F.lit(1))).cast("int").alias("part")
+    routed = routed.select("rep", "cluster", "target", "outside", "home", "parts", part, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("target_part"))
+    routed = routed.where("target > cluster OR target_part >= part")
+    salts = F.greatest(F.lit(1), F.ceil((F.col("outside") + F.col("home") * F.col("target_part") / F.col("parts")) / (visitors * block_rows))).cast("int")
+    resident = (F.col("target") == F.col("cluster")) & (F.col("part") == F.col("target_part"))
+    routed = routed.select("rep", "target", "target_part", salts.alias("salts"), resident.alias("resident"))
+    every, one = F.sequence(F.lit(0), F.col("salts") - 1), F.array(F.pmod(F.xxhash64("rep", "target", "target_part"), F.col("salts")).cast("int"))
+    routed = routed.select("rep", "target", "target_part", "resident", F.explode(F.when(F.col("resident"), every).otherwise(one)).alias("salt"))
+    return routed.groupBy("rep").agg(F.collect_set(F.struct("target", "target_part", "salt", "resident")).alias("to"))
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: int = BLOCK_ROWS, cells: int = CELLS) -> DataFrame:
@@ -189,37 +272,35 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: i
     fits = (100 * F.col("least") * percent <= 10_000 * F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
     visits = clustered.join(lists_of, "shingle").where((F.col("target") >= F.col("cluster")) & fits).groupBy("rep", "cluster", "target").agg(F.count("*").alias("c")).where(F.col("c") >= shared_lists).select("rep", "cluster", "target")
     visits = materialise(visits)
-    sizes = visits.groupBy("target").agg(F.count("*").alias("c"), F.sum((F.col("target") == F.col("cluster")).cast("int")).alias("home")).where("c > 1")
-    sizes = materialise(sizes.select("target", F.greatest(F.ceil(F.col("home") / block_rows), F.lit(1)).cast("int").alias("parts")))
-    # A cluster of many parts: its members are dealt to the parts, and each visits the parts after its own.
-    routed = visits.join(sizes, "target").join(sizes.select(F.col("target").alias("cluster"), F.col("parts").alias("own")), "cluster", "left")
-    routed = routed.select("rep", "cluster", "target", F.pmod(F.xxhash64("rep"), F.coalesce("own", F.lit(1))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("target_part"))
-    routed = routed.where("target > cluster OR target_part >= part").groupBy("rep").agg(F.collect_set(F.struct("target", "target_part", ((F.col("target") == F.col("cluster")) & (F.col("part") == F.col("target_part"))).alias("resident"))).alias("to"))
+    routed = routes(visits, block_rows)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        rep, target, piece, salt, resident, sets = zip(*out, strict=True)
+        return pa.record_batch({"rep": pa.array(rep, pa.int64()), "target": pa.array(target, pa.int64()), "part": pa.array(piece, pa.int32()), "salt": pa.array(salt, pa.int32()), "resident": pa.array(resident, pa.bool_()), "shingles": lists(list(sets), pa.int64())})
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
             for part in sliced(batch, 200):
-                out = [(r, t["target"], t["target_part"], t["resident"], s) for r, text, to in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for s in [shingles(text).view(np.int64)] for t in to]
+                out, size = [], 0
+                for r, text, to in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    s = shingles(text).view(np.int64)
+                    for t in to:
+                        out.append((r, t["target"], t["target_part"], t["salt"], t["resident"], s))
+                        size += len(s)
+                        if size > SENT:
+                            yield packed(out)
+                            out, size = [], 0
                 if out:
-                    rep, target, piece, resident, sets = zip(*out, strict=True)
-                    yield pa.record_batch({"rep": pa.array(rep, pa.int64()), "target": pa.array(target, pa.int64()), "part": pa.array(piece, pa.int32()), "resident": pa.array(resident, pa.bool_()), "shingles": lists(list(sets), pa.int64())})
+                    yield packed(out)
 
     candidates = texts.join(routed.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "to")
-    sets = candidates.mapInArrow(sent, "rep long, target long, part int, resident boolean, shingles array<long>")
+    sets = candidates.mapInArrow(sent, "rep long, target long, part int, salt int, resident boolean, shingles array<long>")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(_: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            if sum(b.num_rows for b in held) < 2:
-                return None
-            ids = [i for b in held for i in b.column("rep").to_pylist()]
-            values = [v.view(np.uint64) for b in held for v in row_arrays(b.column("shingles"))]
-            found = block_links(ids, values, [r for b in held for r in b.column("resident").to_pylist()], percent)
-            return pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}) if found else None
-
-        yield from groups(batches, ["target", "part"], finish)
+        yield from streamed_links(batches, percent)
 
-    links = sets.repartition("target", "part").sortWithinPartitions("target", "part", "rep").mapInArrow(linked, "a long, b long")
+    links = sets.repartition("target", "part", "salt").sortWithinPartitions("target", "part", "salt", F.desc("resident"), "rep").mapInArrow(linked, "a long, b long")
     # Different texts under one doc_id are one document.
     worded = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "whole")
     twice = worded.groupBy("doc_id").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("doc_id")

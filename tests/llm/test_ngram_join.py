@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm.common import Shingles, components
-from ledgerloom.llm.ngram_join import Block, keep_one, ngram_join, required
+from ledgerloom.llm.ngram_join import Block, keep_one, ngram_join, required, routes, streamed_links
 
 SCHEMA = "doc_id long, text string, n string, whole string, component long"
 
@@ -100,3 +101,39 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)} | {400: 400, 500: 400}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_visitors_of_a_block_are_dealt_out(spark):
+    members = [(k, 0, 0) for k in range(400)] + [(k, 500, 500) for k in range(500, 510)] + [(k, 0, 500) for k in range(200)]
+    rows = routes(spark.createDataFrame(members, "rep long, cluster long, target long"), 10, 2).collect()
+    sent = [(t.target, t.target_part, t.salt, t.resident, r.rep) for r in rows for t in r.to]
+    tasks = {x[:3] for x in sent}
+    homes = {k: {x[4] for x in sent if x[:3] == k and x[3]} for k in tasks}
+    guests = {k: {x[4] for x in sent if x[:3] == k and not x[3]} for k in tasks}
+    # Without salts, the last part of the first cluster has 390 guests, and the second cluster 200.
+    assert max(map(len, guests.values())) <= 45 and max(map(len, homes.values())) <= 25
+    assert all(homes[k] == homes[*k[:2], 0] for k in tasks)
+    met = {(a, b) for k in tasks for b in homes[k] for a in homes[k] | guests[k]}
+    assert all((a, b) in met or (b, a) in met for a in range(400) for b in range(a)) and all((a, b) in met for a in range(200) for b in range(500, 510))
+
+
+def test_links_stream_past_the_residents():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 2**40, 40)) for _ in range(5)]
+    sets = [np.sort(np.append(rng.choice(base[k % 5], 39, False), 2**41 + k)) for k in range(90)]
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for a in range(0, 90, 9):
+            taken += 1
+            n = range(a, a + 9)
+            yield pa.record_batch({"rep": pa.array(n, pa.int64()), "target": pa.array([0] * 9, pa.int64()), "part": pa.array([0] * 9, pa.int32()), "salt": pa.array([0] * 9, pa.int32()), "resident": pa.array([k < 20 for k in n]), "shingles": pa.array([sets[k].tolist() for k in n], pa.list_(pa.int64()))})
+
+    label, seen = list(range(90)), []
+    for out in streamed_links(batches(), 85):
+        seen.append(taken)
+        for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True):
+            label = [label[b] if x == label[a] else x for x in label]
+    assert all((label[a] == label[b]) == (a % 5 == b % 5) for a in range(90) for b in range(a))
+    assert seen[0] <= 3 and len(set(seen)) > 5
