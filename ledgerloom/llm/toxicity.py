@@ -3,8 +3,8 @@
 Counts: one pass over all texts gives, per word, how many texts of the corpus, of the toxic and of the other learning
 documents hold it. Words and word beginnings get the log-odds of both classes under Dirichlet priors whose shape is the
 corpus and whose weight is a share of each class (Monroe, Colaresi and Quinn); those that stand out make the
-model. Near copies of one toxic text would make all its words stand out, so that a term counts as often as it
-has different words before it in toxic texts. Scan: every word scores its log-odds, all others a small negative drift; Ruzzo and Tompa's linear scan
+model. Near copies of one toxic text would make all its words stand out, so that the toxic texts of a term that
+stands out as toxic count once for each group of near copies. Scan: every word scores its log-odds, all others a small negative drift; Ruzzo and Tompa's linear scan
 finds all maximal segments. Karlin and Altschul's statistics turn a segment of score S in N words into
 lambda * S - ln(K * N), from which E-values follow; the document's evidence is the sum over its significant
 segments, and a logistic curve through all learning documents makes it a probability.
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, sliced
+from ledgerloom.llm.ngram_join import ngram_join
 from ledgerloom.session import materialise, tune
 
 #: Labelled documents learnt from, at most: their ids and labels (16 bytes each) are broadcast.
@@ -35,6 +36,8 @@ HELD_WORDS = 300_000
 BEGINNINGS = (4, 5, 6, 7)
 #: Weight of the prior as a share of a class's words; least |z| and log-odds of a term; score of any other word.
 PRIOR_SHARE, LEAST_Z, LEAST_ODDS, DRIFT = 0.1, 4.0, 1.0, -0.2
+#: Words of a shingle and least Jaccard similarity (per cent) of near copies among the toxic learning texts.
+COPY_WIDTH, COPY_PERCENT = 5, 80
 #: E-value up to which a segment counts as significant.
 SIGNIFICANT = 1.0
 ROWS = 2000
@@ -137,28 +140,25 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms:
         return found.where((F.col("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS))
 
     strong = materialise(standing_out(terms))
-    named = {(bytes(r.word), r.k) for r in strong.where("odds > 0").orderBy(F.desc("z"), "k", "word").limit(max_terms).select("word", "k").collect()}
-    wanted = docs.sparkSession.sparkContext.broadcast(named)
+    leaning = strong.where("odds > 0").select("word", "k")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, ROWS):
-                seen = set()
-                for text in part.column(0).to_pylist():
-                    before = b""
-                    for word in tokens(text):
-                        for k in (0, *BEGINNINGS):
-                            term = word.decode("utf-8", "replace")[:k].encode() if k else word
-                            if (term, k) in wanted.value:
-                                seen.add((term, k, before))
-                        before = word
-                if seen:
-                    term, k, before = zip(*seen, strict=True)
-                    yield pa.record_batch({"word": pa.array(term, pa.binary()), "k": pa.array(k, pa.int32()), "before": pa.array(before, pa.binary())})
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(labelled.where("toxic = 1")), "doc_id").select("text")
-    spread = texts.mapInArrow(contexts, "word binary, k int, before binary").distinct().groupBy("word", "k").agg(F.count("*").alias("c"))
-    terms = strong.join(spread, ["word", "k"], "left").withColumn("t", F.least("t", F.coalesce("c", F.lit(0))))
+            for part in sliced(batch, 500):
+                ids, copies, texts = (part.column(i).to_pylist() for i in range(3))
+                rows = [(w, i, c) for i, c, text in zip(ids, copies, texts, strict=True) for w in set(tokens(text))]
+                if rows:
+                    word, doc, copy = zip(*rows, strict=True)
+                    yield pa.record_batch({"word": pa.array(word, pa.binary()), "doc_id": pa.array(doc, pa.int64()), "copies": pa.array(copy, pa.int64())})
+
+    texts = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(labelled.where("toxic = 1")), "doc_id").select("doc_id", "text"))
+    copies = ngram_join(texts, COPY_WIDTH, COPY_PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("copies"))
+    own = F.explode(F.array(F.struct("word", F.lit(0).alias("k")), *(F.when(F.length(F.col("word").cast("string")) >= k, F.struct(F.substring(F.col("word").cast("string"), 1, k).cast("binary").alias("word"), F.lit(k).alias("k"))) for k in BEGINNINGS))).alias("c")
+    shown = texts.join(copies, "doc_id").select("doc_id", "copies", "text").mapInArrow(held, "word binary, doc_id long, copies long").select(own, "doc_id", "copies").where("c IS NOT NULL")
+    shown = shown.select("c.word", "c.k", "doc_id", "copies").join(leaning, ["word", "k"], "left_semi").distinct()
+    # The share of a term's toxic texts that are left when near copies count once.
+    spread = shown.groupBy("word", "k", "copies").agg(F.count("*").alias("n")).groupBy("word", "k").agg((F.count("*") / F.sum("n")).alias("share"))
+    terms = strong.join(spread, ["word", "k"], "left").withColumn("t", F.col("t") * F.coalesce("share", F.lit(1.0)))
     rows = standing_out(terms).orderBy(F.desc("z"), "k", "word").limit(max_terms).collect()
     best = {(bytes(r.word), r.k): r for r in rows}
     whole = {w: r.odds for (w, k), r in best.items() if not k}

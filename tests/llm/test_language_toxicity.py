@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from ledgerloom.llm.language import identify, keep_known
-from ledgerloom.llm.toxicity import DRIFT, maximal_segments, tokens, toxicity
+from ledgerloom.llm.toxicity import DRIFT, learn, maximal_segments, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +89,27 @@ def test_toxicity_learns_words_and_marks_passages(spark):
     assert len({r.score for r in got if r.doc_id == 3}) == 1
     assert {r.score for r in toxicity(docs, marks.where("false")).collect()} == {0.0}
     assert toxicity(docs.where("false"), marks).collect() == []
+
+
+def test_toxic_terms_count_groups_of_near_copies(spark):
+    rng = random.Random(9)
+    plain = [f"w{k}" for k in range(2000)]
+    rows, labels = [], []
+    for i in range(900):
+        words = rng.sample(plain, 40)
+        toxic = i % 3 == 0
+        if toxic:
+            words[10:10] = ["grobe", "dumme", "kerle"]  # the phrase of texts that differ
+        if rng.random() < (0.3 if toxic else 0.9):
+            words.append("mild")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    copied = [f"copy{k}x" for k in range(60)]
+    rows += [(1000 + i, " ".join([*copied[:30], plain[i], *copied[30:]])) for i in range(60)]
+    labels += [(1000 + i, 1) for i in range(60)]
+    model, _ = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odds = lambda w: model.words.get(w) or max((model.beginnings[w[:n]] for n in (4, 5, 6, 7) if w[:n] in model.beginnings), key=abs, default=0)
+    assert min(odds(w) for w in (b"grobe", b"dumme", b"kerle")) > 2
+    # About 90 of 16,000 toxic and 540 of 24,000 other words, drawn to the middle by the prior.
+    assert -1.5 < odds(b"mild") < -1
+    assert not any(w.startswith(b"copy") for w in (*model.words, *model.beginnings))
