@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, lists, row_arrays, sliced
-from ledgerloom.session import tune
+from ledgerloom.session import materialise, tune
 
 #: Labelled texts learnt from and landmarks, for each language at most.
 TEXTS, LANDMARKS = 800, 32
@@ -26,8 +26,10 @@ TEXTS, LANDMARKS = 800, 32
 BUCKETS, LONGEST, RIDGE = 1 << 18, 3, 1e-4
 #: Texts scored by one matrix product.
 ROWS = 128
-#: Share of a text's n-grams that some landmark has to show; below it the pipeline rejects the text.
+#: Share of a text's n-gram occurrences that are known of some language; below it the pipeline rejects the text.
 KNOWN = 0.5
+#: Languages whose n-grams a task counts before it hands them on.
+HELD_LANGUAGES = 16
 #: Label of a text without letters, or when nothing could be learnt.
 UNDETERMINED = "und"
 
@@ -48,6 +50,16 @@ class Presence:
         self.mark = np.zeros(BUCKETS, bool)
 
     def __call__(self, text: str | None) -> np.ndarray | None:
+        every = self.occurrences(text)
+        if every is None:
+            return None
+        self.mark[every] = True
+        found = np.flatnonzero(self.mark)
+        self.mark[found] = False
+        return found.astype(np.int32)
+
+    def occurrences(self, text: str | None) -> np.ndarray | None:
+        """The buckets of all n-grams of a text, repeated as they are."""
         if not text:
             return None
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,15 +71,13 @@ class Presence:
         keep[1:] = letter[1:] | letter[:-1]
         inner = points[keep]
         points = np.concatenate(([np.uint32(32)] if inner[0] != 32 else [], inner, [np.uint32(32)] if inner[-1] != 32 else [])).astype(np.uint32)
-        code = np.zeros(len(points), np.uint32)
+        code, found = np.zeros(len(points), np.uint32), []
         for n in range(1, LONGEST + 1):
             if len(points) < n:
                 break
             code = code[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :] + np.uint32(n)
-            self.mark[(code * np.uint32(0x9E3779B1)) >> np.uint32(14)] = True
-        found = np.flatnonzero(self.mark)
-        self.mark[found] = False
-        return found.astype(np.int32)
+            found.append((code * np.uint32(0x9E3779B1)) >> np.uint32(14))
+        return np.concatenate(found)
 
 
 def _sample(docs: DataFrame, texts: int) -> tuple[list[str], list[np.ndarray]]:
@@ -100,6 +110,44 @@ def _sample(docs: DataFrame, texts: int) -> tuple[list[str], list[np.ndarray]]:
     return [langs[i] for i in chosen], [grams[i] for i in chosen]
 
 
+def known_grams(docs: DataFrame) -> np.ndarray:
+    """Marks the buckets of n-grams that some language shows in its learning texts, all of them.
+
+    A language shows what its texts hold at least as often as if all buckets were alike, so that in tables of any size
+    chance n-grams stay unknown. Equal texts count once.
+    """
+    learning = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    repeated = learning.groupBy("lang", "h").agg(F.count("*").alias("copies")).where("copies > 1")
+    weighed = learning.join(repeated, ["lang", "h"], "left").select("lang", "text", F.coalesce("copies", F.lit(1)).cast("double").alias("copies"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence, counts = Presence(), {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, n in counts.items():
+                gram = np.flatnonzero(n)
+                yield pa.record_batch({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram, pa.int32()), "n": pa.array(n[gram], pa.float64())})
+            counts.clear()
+
+        for batch in batches:
+            for part in sliced(batch, 1000):
+                for lang, text, copies in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if (found := presence.occurrences(text)) is None:
+                        continue
+                    if lang not in counts:
+                        if len(counts) == HELD_LANGUAGES:
+                            yield from flush()
+                        counts[lang] = np.zeros(BUCKETS)
+                    np.add.at(counts[lang], found, 1 / copies)
+        yield from flush()
+
+    grams = materialise(weighed.mapInArrow(counted, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
+    shown = np.zeros(BUCKETS, bool)
+    shown[grams.join(totals, "lang").where(F.col("n") * BUCKETS >= F.col("total")).select("gram").distinct().toArrow().column("gram").to_numpy()] = True
+    return shown
+
+
 def _matrix(grams: list[np.ndarray], column: np.ndarray, width: int) -> np.ndarray:
     """Presence of the landmarks' n-grams, each row divided by the root of all n-grams of its text."""
     x = np.zeros((len(grams), width), np.float32)
@@ -140,15 +188,17 @@ def _shares(outputs: np.ndarray, sharpness: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str, str] = ("lang_pred", "score", "known"), rate: bool = True) -> DataFrame:
     """The columns `keep` and `results` (lang_pred, score, known) for each row of `docs` (doc_id, text, lang; more are ignored).
 
     Null text or text without a letter: `und`, score 0, known 0. Rows with a null lang are predicted but not learnt
-    from; with nothing to learn from, all are `und`. `known` is the share of a text's n-grams that some landmark has.
+    from; with nothing to learn from, all are `und`. `known` is the share of a text's n-gram occurrences that its language or
+    another shows in its learning texts (`known_grams`); null where it is not asked for (`rate` false).
     """
     spark = tune(docs.sparkSession)
     learnt = learn(docs, texts, landmarks)
     shared = spark.sparkContext.broadcast(tuple(learnt) if learnt else None)
+    grams = spark.sparkContext.broadcast(known_grams(docs) if learnt and rate else None)
     kept = docs.select(*keep)
     names = [*kept.columns, *results]
 
@@ -156,7 +206,8 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
         model, presence = Model(*shared.value) if shared.value else None, Presence()
         for batch in batches:
             for part in sliced(batch, ROWS):
-                found = [presence(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = [presence(t) for t in texts]
                 langs, scores, known = [UNDETERMINED] * len(found), np.zeros(len(found)), np.zeros(len(found))
                 rows = [i for i, f in enumerate(found) if f is not None] if model else []
                 if rows:
@@ -164,10 +215,11 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
                     shares = _shares((x @ model.landmarks @ model.weights).astype(float), model.sharpness)
                     best = shares.argmax(axis=1)
                     scores[rows] = shares[np.arange(len(rows)), best]
-                    known[rows] = [(model.column[found[i]] >= 0).mean() for i in rows]
+                    if rate:
+                        known[rows] = [grams.value[presence.occurrences(texts[i])].mean() for i in rows]
                     for i, k in zip(rows, best, strict=True):
                         langs[i] = model.languages[k]
-                yield pa.record_batch([*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(known)], names=names)
+                yield pa.record_batch([*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(known) if rate else pa.nulls(len(found), pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {results[0]} string, {results[1]} double, {results[2]} double"
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predicted, schema)

@@ -32,7 +32,7 @@ def op2_small_world_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents"), rate=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op4_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,17 @@ def test_toxicity_learns_words_and_marks_passages(spark):
     assert toxicity(docs.where("false"), marks).collect() == []
 
 
+def test_long_clean_texts_stay_next_to_short_ones(spark):
+    rng = random.Random(6)
+    parts = {"en": "bcdfghjklm", "ja": [chr(0x4E00 + k) for k in range(60)]}
+    lexicon = {lang: ["".join(rng.choice(p) for _ in range(4)) for _ in range(3000)] for lang, p in parts.items()}
+    rows = [(k, " ".join(rng.choices(lexicon[lang], k=6)), lang) for k in range(4000) for lang in [("en", "ja")[k % 2]]]
+    long = [(10_000 + k, " ".join(rng.choices(lexicon[lang], k=2000)), None) for k, lang in enumerate(("en", "ja", "en", "ja"))]
+    strange = [(20_000, "αβγδ εζηθ " * 50, None), (20_001, "ぁあぃい" * 3, None)]
+    docs = spark.createDataFrame(rows + long + strange, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keep_known(docs).where("doc_id >= 10000").collect()} == {r[0] for r in long}
+
+
 def test_toxic_terms_count_groups_of_near_copies(spark):
     rng = random.Random(9)
     plain = [f"w{k}" for k in range(2000)]
