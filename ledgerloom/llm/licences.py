@@ -1,8 +1,9 @@
 """Licence scans: a paragraph classifier over word n-grams, with an unknown class, confirmed against templates.
 
 Fragments of licence notices, and a bounded sample of the corpus's paragraphs as unknowns, train a multinomial
-logistic regression with sparse (L1) weights over word uni- and bigrams. Half of the sampled paragraphs set the
-probability a family needs. A paragraph is scored by looking its n-grams up in the weights; one without any weighted
+logistic regression with sparse (L1) weights over word uni- and bigrams. What resembles a licence's template is no unknown.
+All other paragraphs of the corpus say which n-grams are too common for features and set the probability a family
+needs. A paragraph is scored by looking its n-grams up in the weights; one without any weighted
 word has the intercepts' scores, which are unknown, so that no more than a word test is spent on it. What a template of
 the predicted family resembles enough is confirmed; what resembles none of them is unknown too. DataFrame functions only; documents are never exchanged.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialise, tune
 
-#: Paragraphs of the corpus sampled as unknowns, about; half of them train, half set the threshold.
+#: Paragraphs of the corpus sampled as unknowns, about; half of them train.
 UNKNOWNS = 4000
 #: Share of n-grams' presence among unknowns above which one is no feature; share of unknowns that may pass.
 COMMON, PASSING = 0.005, 0.001
@@ -92,15 +93,47 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(values), "array<struct<family:string,text:string>>")))
 
 
+def template_grams(spark: SparkSession) -> list[dict]:
+    """Number, family and distinct bigrams of each notice."""
+    return [{"k": k, "f": r.family, "b": list(dict.fromkeys(r.b))} for k, r in enumerate(notices(spark).select("family", bigrams(words(F.col("text"))).alias("b")).collect())]
+
+
+def similarity(template: Column, own: Column) -> Column:
+    """Share of the shorter one's bigrams that a template and a paragraph both hold."""
+    return F.size(F.array_intersect(template, own)) / F.greatest(F.lit(LEAST), F.least(F.size(template), F.size(own)))
+
+
+def suspected(grams: list[dict], tokens: Column) -> Column:
+    """Whether words are like the template of some family as much as predictions that are kept."""
+    table = F.from_json(F.lit(json.dumps([g for g in grams if g["f"] != UNKNOWN])), "array<struct<k:int,f:string,b:array<string>>>")
+    return _let(F.array_distinct(bigrams(tokens)), lambda own: F.exists(table, lambda t: similarity(t["b"], own) >= SUSPECTED))
+
+
+def term_shares(docs: DataFrame, terms: list[str], grams: list[dict]) -> tuple[int, dict[str, float]]:
+    """Paragraphs of the corpus unlike every licence's template, and the share of them that hold each of `terms`."""
+    pairs = [t for t in terms if " " in t]
+    singles, first, second = [t for t in terms if " " not in t], sorted({t.split(" ")[0] for t in pairs}), sorted({t.split(" ")[1] for t in pairs})
+    places = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
+    near = lambda w: F.filter(places(w), lambda i: F.get(w, i).isin(first) & F.get(w, i + 1).isin(second))
+    both = lambda w: F.array_distinct(F.filter(F.transform(near(w), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))), lambda t: t.isin(pairs)))
+    # Two bigrams of templates at least are needed to be like one: few paragraphs are compared. The empty term counts paragraphs.
+    shown = lambda w, b: F.when((F.size(b) > 1) & suspected(grams, w), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("")), b, F.array_distinct(F.filter(w, lambda x: x.isin(singles)))))
+    held = _let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, _let(both(w), lambda b: shown(w, b))))
+    counts = {r.term: r.n for r in paragraphs(docs).select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n = counts.pop("", 0)
+    return n, {t: c / n for t, c in counts.items()}
+
+
 def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
     """Train on fragments of the notices and on sampled paragraphs."""
     spark = tune(docs.sparkSession)
     notice = notices(spark)
     lines = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     share = min(1.0, unknowns / max(1, lines))
-    drawn = paragraphs(docs).where(F.pmod(F.xxhash64("doc_id", "paragraph", "text"), F.lit(2**32)) < int(share * 2**32))
-    known = notice.select(F.lower("text").alias("known"))
-    drawn = materialise(drawn.join(known, F.lower(F.trim("text")) == F.col("known"), "left_anti").select(words(F.col("text")).alias("words"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("trains")).where("size(words) > 0"))
+    chosen = lambda: (F.pmod(F.xxhash64("doc_id", "paragraph", "text"), F.lit(2**32)) < int(share * 2**32)) & (F.pmod(F.xxhash64("text"), F.lit(2)) == 0)
+    drawn = paragraphs(docs).where(chosen()).select(words(F.col("text")).alias("words"))
+    grams = template_grams(spark)
+    drawn = materialise(materialise(drawn.where("size(words) > 0")).where(~suspected(grams, F.col("words"))))
 
     token = notice.select("family", words(F.col("text")).alias("w"))
     cut = token.select("family", "w", F.explode(F.array(*(F.lit(n) for n in FRAGMENTS))).alias("n")).select("family", "w", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.col("n") + 1), F.lit(2))).alias("at"))
@@ -108,10 +141,10 @@ def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
     fragments = cut.select("family", F.slice("w", F.col("at"), F.col("n")).alias("words")).unionByName(token.select("family", F.explode(F.array_repeat(F.col("w"), 10)).alias("words")))
     # The words of a notice backwards are no notice: n-grams have to carry the weight.
     fragments = fragments.unionByName(cut.select(F.lit(UNKNOWN).alias("family"), F.reverse(F.slice("w", F.col("at"), F.col("n"))).alias("words")))
-    train = materialise(fragments.unionByName(drawn.where("trains").select(F.lit(UNKNOWN).alias("family"), "words")).withColumn("terms", n_grams(F.col("words"))))
-    n = max(1, drawn.where("trains").count())
-    common = drawn.where("trains").select(F.explode(n_grams(F.col("words"))).alias("term")).groupBy("term").agg((F.count("*") / n).alias("share"))
-    vocabulary = [r.term for r in train.where(F.col("family") != UNKNOWN).select(F.explode("terms").alias("term")).distinct().join(common, "term", "left").where(F.coalesce("share", F.lit(0.0)) <= COMMON).orderBy("term").select("term").collect()]
+    train = materialise(fragments.unionByName(drawn.select(F.lit(UNKNOWN).alias("family"), "words")).withColumn("terms", n_grams(F.col("words"))))
+    terms = [r.term for r in train.where(F.col("family") != UNKNOWN).select(F.explode("terms").alias("term")).distinct().orderBy("term").collect()]
+    n, shares = term_shares(docs, terms, grams)
+    vocabulary = [t for t in terms if shares.get(t, 0.0) <= COMMON]
     families = [UNKNOWN, *dict.fromkeys(f for f, _ in TEMPLATES if f != UNKNOWN)]
     counts = {r.family: r["count"] for r in train.groupBy("family").count().collect()}
     number = F.lit(0)
@@ -123,12 +156,11 @@ def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
     fitted = LogisticRegression(weightCol="weight", family="multinomial", regParam=5e-4, elasticNetParam=1.0, maxIter=40, standardization=False).fit(rows.select("features", "label", "weight").coalesce(2))
     matrix = fitted.coefficientMatrix.toArray()
     weights = {t: [float(x) for x in matrix[:, k]] for k, t in enumerate(vocabulary) if abs(matrix[:, k]).max() > 1e-6}
-    singles = {w for t in weights for w in t.split(" ")}
-    shares = {r.term: r.share for r in common.where(F.col("term").isin(list(singles))).collect()} if singles else {}
     marks = sorted({min(t.split(" "), key=lambda w: (shares.get(w, 0.0), w)) for t in weights})
     model = Model(families, [float(x) for x in fitted.interceptVector], weights, marks, 0.0)
-    reached = scored(drawn.where("NOT trains").select("words"), F.col("words"), model)
-    passing = max(0.0, 1 - PASSING * max(1, drawn.where("NOT trains").count()) / max(1, reached.count()))
+    reached = materialise(scored(paragraphs(docs).select("text", chosen().alias("trains")), words(F.col("text")), model).select("trains", "__words", "probability"))
+    reached = materialise(reached.where(~F.col("trains") & ~suspected(grams, F.col("__words"))))
+    passing = max(0.0, 1 - PASSING * max(1, n - drawn.count()) / max(1, reached.count()))
     least = reached.agg(F.percentile_approx("probability", F.lit(min(1.0, passing)), F.lit(10_000))).first()[0]
     return model._replace(least=max(0.5, min(0.95, least or 0.0)))
 
@@ -166,9 +198,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = tune(docs.sparkSession)
     model = model or learn(docs)
     found = scored(paragraphs(docs), words(F.col("text")), model)
-    grams = [{"k": k, "f": r.family, "b": list(dict.fromkeys(r.b))} for k, r in enumerate(notices(spark).select("family", bigrams(words(F.col("text"))).alias("b")).collect())]
+    grams = template_grams(spark)
     table = F.from_json(F.lit(json.dumps(grams)), "array<struct<k:int,f:string,b:array<string>>>")
     own = F.array_distinct(bigrams(F.col("__words")))
-    alike = F.transform(F.filter(table, lambda t: t["f"] == F.col("family")), lambda t: F.struct((F.size(F.array_intersect(t["b"], own)) / F.greatest(F.lit(LEAST), F.least(F.size(t["b"]), F.size(own)))).alias("similarity"), (-t["k"]).alias("k")))
+    alike = F.transform(F.filter(table, lambda t: t["f"] == F.col("family")), lambda t: F.struct(similarity(t["b"], own).alias("similarity"), (-t["k"]).alias("k")))
     best = found.withColumn("best", F.array_max(alike)).where(F.col("best.similarity") >= SUSPECTED)
     return best.select("doc_id", "paragraph", "family", "probability", (-F.col("best.k")).alias("template"), F.col("best.similarity").alias("similarity"), (F.col("best.similarity") >= SIMILAR).alias("confirmed"))

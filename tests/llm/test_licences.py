@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import textwrap
 
 import pytest
 
@@ -58,3 +60,15 @@ def test_learning_from_an_empty_corpus(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = learn(empty)
     assert model.families[0] == UNKNOWN and 0.5 <= model.least < 1
+
+
+def test_prefixed_and_wrapped_notices_may_fill_a_third_of_the_lines(spark):
+    rng = random.Random(3)
+    lexicon = [f"word{k}" for k in range(400)]
+    wrapped = [f"# {t}" for t in textwrap.wrap(TEMPLATES[1][1], 70)[:-1]] + [f"// {TEMPLATES[0][1]} Jane Doe"]
+    docs = []
+    for k in range(600):
+        plain = [" ".join(rng.choices(lexicon, k=9)) for _ in range(2 * len(wrapped))]
+        docs.append((k, "\n".join(wrapped + plain), "x", "y"))
+    rows = scan(spark.createDataFrame(docs, SCHEMA)).where("doc_id < 20").collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in rows} == {(k, n, "Apache-2.0") for k in range(20) for n in range(len(wrapped))}
