@@ -8,8 +8,9 @@ where a text and an item share such a run (of 3 words at most), on the diagonal
 Each window and each item takes the walks of Chakraborty, Goldenberg and Koucky: at step j a random bit of (j, word)
 says whether the walk moves on, which turns k edits into O(k^2) differing places with constant probability. Each of L
 repetitions samples b places of one walk as a bucket key; windows that meet an item of their length in any bucket
-are verified by the exact edit distance over free ends. L follows from the collision rate measured on the items
-themselves under random edits, and the recall asked for.
+are verified by the exact edit distance over free ends. L follows from the collision rate measured on all items
+under random edits, and the recall asked for of the items of every length. Lengths that stay below it are verified
+wherever a window shares a run with an item on their diagonal.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ledgerloom.session import materialise, tune
 EDITS, RECALL, PLACES = 0.2, 0.99, 3
 #: Repetitions, at least and at most; each walk serves WALK_KEYS of them.
 LEAST, MOST, WALK_KEYS = 128, 512, 8
+#: Simulated edits for the items of like length, at least.
+TRIALS = 500
 #: Items indexed at once; further items take further passes. Longest run that marks a window.
 ITEMS, RUN = 20_000, 3
 ROWS, WINDOWS = 2000, 20_000
@@ -100,41 +103,60 @@ def padded(rows: list[np.ndarray], fill: int = -1) -> tuple[np.ndarray, np.ndarr
     return out, lengths
 
 
-def repetitions(items: list[np.ndarray], share: float, recall: float) -> int:
-    """Repetitions that reach the recall for an item at its largest distance, by simulation on up to 200 items."""
+def stratum(m: int) -> int:
+    """Items of like length: four strata for each doubling."""
+    return int(4 * math.log2(m))
+
+
+def repetitions(items: list[np.ndarray], share: float, recall: float, most: int = MOST) -> tuple[int, set[int]]:
+    """Repetitions that reach the recall in every stratum for items at their largest distance, by simulation on all items.
+
+    Also the strata that stay below it with the most repetitions.
+    """
     rng = np.random.default_rng(7)
-    chosen = [i for i in items if edits_allowed(len(i), share)][:200]
+    strata: dict[int, list[np.ndarray]] = defaultdict(list)
+    for item in items:
+        if edits_allowed(len(item), share):
+            strata[stratum(len(item))].append(item)
+    chosen = [group[k % len(group)] for _, group in sorted(strata.items()) for k in range(max(TRIALS, len(group)))]
+    kind = np.array([stratum(len(i)) for i in chosen])
     pairs: list[np.ndarray] = []
     for item in chosen:
         m, edited = len(item), item.tolist()
         for _ in range(edits_allowed(m, share)):
-            at, kind = int(rng.integers(len(edited))), int(rng.integers(3))
-            if kind == 0:
+            at, change = int(rng.integers(len(edited))), int(rng.integers(3))
+            if change == 0:
                 edited.insert(at, -5)
-            elif kind == 1 and len(edited) > 1:
+            elif change == 1 and len(edited) > 1:
                 del edited[at]
             else:
                 edited[at] = -5
         pairs += [item, np.array((edited + [-6] * m)[:m])]
     rows, lengths = padded(pairs)
     met = np.zeros(len(chosen), bool)
-    for n in range(1, MOST // WALK_KEYS + 1):
-        k = keys(walks(rows, lengths, n), lengths, n)
-        met |= (k[::2] == k[1::2]).any(axis=1)
-        if n * WALK_KEYS >= LEAST and met.mean() >= recall:
-            return n * WALK_KEYS
-    return MOST
+    weak: set[int] = set()
+    for n in range(1, most // WALK_KEYS + 1):
+        at = np.flatnonzero(~met)
+        if len(at):
+            both = np.stack([2 * at, 2 * at + 1], axis=1).ravel()
+            k = keys(walks(rows[both], lengths[both], n), lengths[both], n)
+            met[at] = (k[::2] == k[1::2]).any(axis=1)
+        weak = {s for s in strata if met[kind == s].mean() < recall}
+        if n * WALK_KEYS >= LEAST and not weak:
+            return n * WALK_KEYS, weak
+    return most, weak
 
 
 class Index:
     """Items by run and by bucket; looked up by windows of a text."""
 
-    def __init__(self, ids: list[int], texts: list[list[bytes]], share: float, recall: float) -> None:
+    def __init__(self, ids: list[int], texts: list[list[bytes]], share: float, recall: float, most: int = MOST) -> None:
         self.share = share
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         self.ids = ids
         self.items = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
-        self.walks = math.ceil(repetitions(self.items, share, recall) / WALK_KEYS)
+        number, weak = repetitions(self.items, share, recall, most)
+        self.walks = math.ceil(number / WALK_KEYS)
         self.base = len(self.vocabulary) + 1
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, item in enumerate(self.items):
@@ -151,6 +173,27 @@ class Index:
             order = np.argsort(k, axis=None)
             self.buckets.append((k.ravel()[order], order // WALK_KEYS))
 
+        #: Items the buckets find too seldom, by the runs on their diagonal: codes in order, and the items.
+        direct = np.array([i for i, item in enumerate(self.items) if stratum(len(item)) in weak], np.int64)
+        self.direct = (np.empty(0, np.uint64), direct)
+        if len(direct):
+            codes, row = self.diagonal(rows[direct], lengths[direct])
+            order = np.argsort(codes)
+            self.direct = (codes[order], direct[row[order]])
+
+    def diagonal(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of windows or items with their length and place, and the rows they are of."""
+        codes, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for m in np.unique(lengths).tolist():
+            at, n = np.flatnonzero(lengths == m), run_length(m, self.share)
+            h = np.full((len(at), m - n + 1), m, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(m - n + 1, dtype=np.uint64)
+            for k in range(n):
+                h = (h ^ windows_hash(rows[at, k : k + m - n + 1])) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            codes.append(h.ravel())
+            owner.append(np.repeat(at, m - n + 1))
+        return np.concatenate(codes), np.concatenate(owner)
+
     def code(self, run: np.ndarray) -> int:
         value = 0
         for w in run:
@@ -202,6 +245,14 @@ class Index:
             first, count = first[at], np.searchsorted(codes, value[at], side="right") - first[at]
             k = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             found.append(np.unique(np.repeat(at // WALK_KEYS, count) * len(self.items) + items[k]))
+        codes, items = self.direct
+        if len(codes):
+            value, row = self.diagonal(rows, lengths)
+            first = np.searchsorted(codes, value)
+            at = np.flatnonzero(codes[np.minimum(first, len(codes) - 1)] == value)
+            first, count = first[at], np.searchsorted(codes, value[at], side="right") - first[at]
+            k = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.unique(np.repeat(row[at], count) * len(self.items) + items[k]))
         pairs = np.unique(np.concatenate(found))
         return np.stack([pairs // len(self.items), pairs % len(self.items)], axis=1)
 

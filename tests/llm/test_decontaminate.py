@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from ledgerloom.llm.decontaminate import Index, best_stretches, contamination, decontaminate, edits_allowed, run_length, words_of
+from ledgerloom.llm.decontaminate import Index, best_stretches, contamination, decontaminate, edits_allowed, repetitions, run_length, stratum, words_of
 
 
 def word(rng):
@@ -91,3 +91,20 @@ def test_item_without_its_ends_between_other_texts(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.edits) for r in contamination(docs, bench).collect()}
     assert got == {(2 * i + 1, i, 4) for i, _ in items}
+
+
+def test_repetitions_follow_the_hardest_lengths():
+    rng = np.random.default_rng(5)
+    short, long = [rng.integers(0, 5000, 5) for _ in range(300)], [rng.integers(0, 5000, 300) for _ in range(20)]
+    alone, _ = repetitions(long, 0.2, 0.99)
+    assert repetitions(short + long, 0.2, 0.99)[0] >= alone > repetitions(short, 0.2, 0.99)[0]
+    assert repetitions(short + long, 0.2, 0.99, 8) == (8, {stratum(5), stratum(300)})
+
+
+def test_items_without_enough_buckets_are_verified_directly():
+    rng = random.Random(2)
+    items = [[word(rng).encode() for _ in range(40)] for _ in range(30)]
+    index = Index(list(range(30)), items, 0.2, 0.99, most=8)
+    rows = np.array([item.tolist() for item in index.items])
+    rows[:, [3, 8, 13, 18, 23, 28, 33, 38]] = -1
+    assert {(k, k) for k in range(30)} <= {tuple(p) for p in index.candidates(rows, np.full(30, 40)).tolist()}
