@@ -125,7 +125,12 @@ def term_shares(docs: DataFrame, terms: list[str], grams: list[dict]) -> tuple[i
 
 
 def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
-    """Train on fragments of the notices and on sampled paragraphs."""
+    """Train on fragments of the notices and on sampled paragraphs; the threshold comes from all paragraphs."""
+    return _learnt(docs, unknowns)[0]
+
+
+def _learnt(docs: DataFrame, unknowns: int = UNKNOWNS) -> tuple[Model, DataFrame]:
+    """The model, and the corpus's paragraphs that it finds likeliest of a known family, which set its threshold."""
     spark = tune(docs.sparkSession)
     notice = notices(spark)
     lines = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
@@ -158,11 +163,12 @@ def learn(docs: DataFrame, unknowns: int = UNKNOWNS) -> Model:
     weights = {t: [float(x) for x in matrix[:, k]] for k, t in enumerate(vocabulary) if abs(matrix[:, k]).max() > 1e-6}
     marks = sorted({min(t.split(" "), key=lambda w: (shares.get(w, 0.0), w)) for t in weights})
     model = Model(families, [float(x) for x in fitted.interceptVector], weights, marks, 0.0)
-    reached = materialise(scored(paragraphs(docs).select("text", chosen().alias("trains")), words(F.col("text")), model).select("trains", "__words", "probability"))
-    reached = materialise(reached.where(~F.col("trains") & ~suspected(grams, F.col("__words"))))
-    passing = max(0.0, 1 - PASSING * max(1, n - drawn.count()) / max(1, reached.count()))
-    least = reached.agg(F.percentile_approx("probability", F.lit(min(1.0, passing)), F.lit(10_000))).first()[0]
-    return model._replace(least=max(0.5, min(0.95, least or 0.0)))
+    reached = materialise(scored(paragraphs(docs).withColumn("__trains", chosen()), words(F.col("text")), model).drop("text"))
+    others = materialise(reached.where(~F.col("__trains") & ~suspected(grams, F.col("__words"))).select("probability"))
+    passing = max(0.0, 1 - PASSING * max(1, n - drawn.count()) / max(1, others.count()))
+    least = others.agg(F.percentile_approx("probability", F.lit(min(1.0, passing)), F.lit(10_000))).first()[0]
+    model = model._replace(least=max(0.5, min(0.95, least or 0.0)))
+    return model, reached.where(F.col("probability") >= model.least).drop("__trains")
 
 
 def _let(value: Column, body) -> Column:
@@ -196,8 +202,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     bigrams that both hold, `confirmed` whether that is enough. Rows that repeat give their paragraphs again.
     """
     spark = tune(docs.sparkSession)
-    model = model or learn(docs)
-    found = scored(paragraphs(docs), words(F.col("text")), model)
+    found = _learnt(docs)[1] if model is None else scored(paragraphs(docs), words(F.col("text")), model)
     grams = template_grams(spark)
     table = F.from_json(F.lit(json.dumps(grams)), "array<struct<k:int,f:string,b:array<string>>>")
     own = F.array_distinct(bigrams(F.col("__words")))
