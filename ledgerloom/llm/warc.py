@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ from ledgerloom.session import materialise, tune, work_dir
 MIN_BYTES = 0
 #: Bytes and records of one ARC archive.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 4 << 20, 1000
+#: Uncompressed bytes after which a WARC file ends; a larger record has a file to itself.
+WARC_BYTES = 16 << 20
 DATE = "20240101000000"
+#: What closes a WARC record.
+END = b"\r\n\r\n"
 #: Fields of a record header by version, as the version record declares them.
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -86,30 +91,34 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """(name, archive): ARC files of the pages, of both versions in turn; the payload is the html in UTF-8."""
+    """(name, archive): ARC files of the pages, of both versions in turn; the payload is the html in UTF-8.
+
+    Written once: an archive's name is its task and its number in it, so that no two archives, and no two records, are
+    one, whatever they hold.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple[str, bytes]] = []
-        size = 0
+        size = count = 0
 
         def archive() -> pa.RecordBatch:
-            name = hashlib.sha1(repr([(u, hashlib.sha1(b).digest()) for u, b in entries]).encode()).hexdigest()[:20]
-            return pa.record_batch({"name": pa.array([name]), "archive": pa.array([arc_archive(name, 1 + int(name, 16) % 2, entries)], pa.binary())})
+            name = f"ledgerloom-{TaskContext.get().partitionId():06d}-{count:06d}"
+            return pa.record_batch({"name": pa.array([name]), "archive": pa.array([arc_archive(name, 1 + count % 2, entries)], pa.binary())})
 
         for batch in batches:
             for part in sliced(batch, ARCHIVE_RECORDS):
                 for page, url, html in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     body = html or b""
                     mark = "" if page is None else f"X-Page-Id: {page}\r\n"
-                    entries.append((url or "-", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body))
+                    entries.append((url.decode("utf-8", "replace") if url else "-", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body))
                     size += len(body)
                     if size >= ARCHIVE_BYTES or len(entries) >= ARCHIVE_RECORDS:
                         yield archive()
-                        entries, size = [], 0
+                        entries, size, count = [], 0, count + 1
         if entries:
             yield archive()
 
-    return pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary").alias("html")).mapInArrow(packed, "name string, archive binary")
+    return materialise(pages.select(F.col("page_id").cast("long"), F.col("url").cast("binary"), F.col("html").cast("binary").alias("html")).mapInArrow(packed, "name string, archive binary"))
 
 
 def convert(archives: DataFrame) -> DataFrame:
@@ -141,34 +150,38 @@ def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return materialise(heads.join(first, "digest").where("record_id <> first.record_id").select("record_id", F.col("first.record_id").alias("target"), F.col("first.uri").alias("target_uri"), F.col("first.date").alias("target_date")))
 
 
-def write_warc(records: DataFrame, revisit: DataFrame, path: str) -> None:
-    """Write the records as gzipped WARC/1.1 files, each with a warcinfo record first."""
+def write_warc(records: DataFrame, revisit: DataFrame, path: str, file_bytes: int = WARC_BYTES) -> None:
+    """Write the records as gzipped WARC/1.1 files of about `file_bytes` before compression, each with a warcinfo record first."""
 
     def block(kind: str, fields: dict[str, str], content: bytes) -> bytes:
         lines = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
         return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{lines}Content-Length: {len(content)}\r\n\r\n".encode() + content
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
+        out: list[bytes] = []
+        size = 0
         for batch in batches:
             for part in sliced(batch, 500):
-                out = []
                 for r in part.to_pylist():
-                    if first:
-                        first = False
-                        out.append(block("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'info:' + r['record_id'])}>", "WARC-Date": r["date"], "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\nsoftware: ledgerloom ARC converter\r\n"))
                     fields = {"WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["uri"], "WARC-Date": r["date"], "WARC-Payload-Digest": "sha1:" + r["digest"], "WARC-Identified-Payload-Type": r["media"], "Content-Type": "application/http; msgtype=response"}
                     if r["target"] is None:
-                        out.append(block("response", fields, r["head"] + b"\r\n\r\n" + r["payload"]))
+                        record = block("response", fields, r["head"] + b"\r\n\r\n" + r["payload"])
                     else:
                         fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": r["target"], "WARC-Refers-To-Target-URI": r["target_uri"], "WARC-Refers-To-Date": r["target_date"]}
-                        out.append(block("revisit", fields, r["head"] + b"\r\n\r\n"))
-                if out:
-                    yield pa.record_batch({"value": pa.array(out, pa.binary())})
+                        record = block("revisit", fields, r["head"] + b"\r\n\r\n")
+                    if out and size + len(record) > file_bytes:
+                        yield pa.record_batch({"value": pa.array([END.join(out)], pa.binary())})
+                        out, size = [], 0
+                    if not out:
+                        out.append(block("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'info:' + r['record_id'])}>", "WARC-Date": r["date"], "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\nsoftware: ledgerloom ARC converter\r\n"))
+                    out.append(record)
+                    size += len(record)
+        if out:
+            yield pa.record_batch({"value": pa.array([END.join(out)], pa.binary())})
 
-    # A line separator of two line ends closes every record, as the format asks; bytes pass through unchanged.
+    # One row is one file; the line separator closes its last record, as the format asks; bytes pass through unchanged.
     rows = records.join(revisit, "record_id", "left").mapInArrow(written, "value binary").select(F.col("value").cast("string"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -218,8 +231,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from the archives written.
 
     `pages` has page_id, url and html; other columns are ignored. Null html has the empty payload, a null url the
-    target `-`. Rows that repeat a page_id are records of their own; a null page_id comes after all others. No pages
-    give no archives and no rows.
+    target `-`. Rows that repeat a page_id are records of their own, of which one at most is the response of a payload; a
+    null page_id comes after all others. No pages give no archives and no rows.
     """
     spark = tune(pages.sparkSession)
     records = convert(pages_to_arc(pages))

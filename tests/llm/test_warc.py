@@ -56,3 +56,24 @@ def test_files_are_warc_archives(spark, tmp_path):
             if fields["WARC-Type"] == "response":
                 assert fields["WARC-Date"] == "2024-01-01T00:00:00Z" and digest(block.split(b"\r\n\r\n", 1)[1].decode()) == fields["WARC-Payload-Digest"][5:]
     assert kinds.count("response") == 5 and kinds.count("revisit") == 5 and len(refers) == 1 and refers <= ids and len(ids) == len(kinds)
+
+
+def test_repeated_pages_in_equal_partitions(spark):
+    one = spark.createDataFrame([(i, f"http://h/{i}", "same" if i < 3 else f"page {i}", "", "") for i in range(6)], SCHEMA).coalesce(1)
+    for df in (one.union(one), one.union(one).repartition(3, "url"), one.union(one).union(one).orderBy("html")):
+        rows = round_trip(df).collect()
+        copies = len(rows) // 6
+        assert len(rows) == df.count() and all(sum(r.page_id == i for r in rows) == copies for i in range(6))
+        responses = [r for r in rows if r.record_type == "response"]
+        assert sorted(r.page_id for r in responses) == [0, 3, 4, 5] and len({r.payload_digest for r in responses}) == 4
+        assert all(r.refers_to == (0 if r.page_id < 3 else r.page_id) for r in rows if r.record_type == "revisit")
+
+
+def test_files_are_bounded(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://h", f"{i} " + "x" * (5000 if i == 7 else 400), "", "") for i in range(40)], SCHEMA).coalesce(1)
+    records = convert(pages_to_arc(df))
+    write_warc(records, revisits(records), str(tmp_path / "out"), file_bytes=4000)
+    files = [list(parse_warc(gzip.decompress(f.read_bytes()))) for f in Path(tmp_path / "out").glob("*.gz")]
+    sizes = [sum(len(block) for _, block in f) for f in files]
+    assert len(files) > 5 and all(n <= 4000 or len(f) == 2 for n, f in zip(sizes, files, strict=True)) and all(f[0][0]["WARC-Type"] == "warcinfo" for f in files)
+    assert sum(len(f) - 1 for f in files) == 40
