@@ -28,8 +28,6 @@ from ledgerloom.session import materialise, tune
 
 #: Labelled documents learnt from, at most: their ids and labels (16 bytes each) are broadcast.
 LABELLED = 200_000
-#: Terms of the model, at most (those that stand out most).
-TERMS = 50_000
 #: Distinct words a counting task holds before it hands them on.
 HELD_WORDS = 300_000
 #: Lengths of word beginnings that are terms of their own.
@@ -94,7 +92,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return one.where(F.pmod(F.xxhash64("h"), F.lit(2**32)) < int(share * 2**32)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms: int = TERMS) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[Model, DataFrame]:
     """The terms' log-odds and the statistics' lambda; also the learning labels. K is set by `toxicity`."""
     tune(docs.sparkSession)
     labelled = materialise(_labelled(docs, labels, limit))
@@ -159,7 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms:
     # The share of a term's toxic texts that are left when near copies count once.
     spread = shown.groupBy("word", "k", "copies").agg(F.count("*").alias("n")).groupBy("word", "k").agg((F.count("*") / F.sum("n")).alias("share"))
     terms = strong.join(spread, ["word", "k"], "left").withColumn("t", F.col("t") * F.coalesce("share", F.lit(1.0)))
-    rows = standing_out(terms).orderBy(F.desc("z"), "k", "word").limit(max_terms).collect()
+    # Every term that stands out. A z of LEAST_Z takes several learning texts, so that LABELLED bounds the terms.
+    rows = standing_out(terms).orderBy(F.desc("z"), "k", "word").collect()
     best = {(bytes(r.word), r.k): r for r in rows}
     whole = {w: r.odds for (w, k), r in best.items() if not k}
     begin = {w: (r.odds, r.z) for (w, k), r in best.items() if k}
@@ -236,16 +235,18 @@ def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a, max(b, 1e-6)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, max_terms: int = TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_words, evidence, passages) for each row of `docs`.
 
     `docs` has doc_id and text, `labels` doc_id and toxic; other columns are ignored. Null and empty texts have no
     passage and get the score of no evidence. A document with contradicting labels counts as toxic; without
     labels of both kinds every score is the share of toxic labels (0 if none). `passages` are the significant
-    segments: first and last word, normalised score, E-value. Equal texts get equal scores.
+    segments: first and last word, normalised score, E-value. Equal texts get equal scores. Bytes that are no UTF-8 count
+    as replacement characters.
     """
     tune(docs.sparkSession)
-    model, labelled = learn(docs, labels, limit, max_terms)
+    docs = docs.withColumn("text", F.make_valid_utf8("text"))
+    model, labelled = learn(docs, labels, limit)
     found = materialise(scanned(docs, model))
     learnt = found.join(labelled, "doc_id")
     # Gumbel's mean over clean documents with a segment: ln(K * N) + 0.5772.
