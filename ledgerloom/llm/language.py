@@ -82,7 +82,7 @@ class Presence:
 
 def _sample(docs: DataFrame, texts: int) -> tuple[list[str], list[np.ndarray]]:
     """Languages and n-grams of at most `texts` distinct learning texts of each language, chosen by hash."""
-    learning = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(2**32)).alias("h"))
+    learning = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", F.make_valid_utf8("text").alias("text"), F.pmod(F.xxhash64("text"), F.lit(2**32)).alias("h"))
     counts = {r.lang: r.c for r in learning.groupBy("lang").agg(F.approx_count_distinct("h").alias("c")).collect()}
     if not counts:
         return [], []
@@ -116,7 +116,7 @@ def known_grams(docs: DataFrame) -> np.ndarray:
     A language shows what its texts hold at least as often as if all buckets were alike, so that in tables of any size
     chance n-grams stay unknown. Equal texts count once.
     """
-    learning = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    learning = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", F.make_valid_utf8("text").alias("text"), F.xxhash64("text").alias("h"))
     repeated = learning.groupBy("lang", "h").agg(F.count("*").alias("copies")).where("copies > 1")
     weighed = learning.join(repeated, ["lang", "h"], "left").select("lang", "text", F.coalesce("copies", F.lit(1)).cast("double").alias("copies"))
 
@@ -193,7 +193,8 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
 
     Null text or text without a letter: `und`, score 0, known 0. Rows with a null lang are predicted but not learnt
     from; with nothing to learn from, all are `und`. `known` is the share of a text's n-gram occurrences that its language or
-    another shows in its learning texts (`known_grams`); null where it is not asked for (`rate` false).
+    another shows in its learning texts (`known_grams`); null where it is not asked for (`rate` false). Bytes that are no
+    UTF-8 count as replacement characters.
     """
     spark = tune(docs.sparkSession)
     learnt = learn(docs, texts, landmarks)
@@ -222,7 +223,7 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
                 yield pa.record_batch([*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(known) if rate else pa.nulls(len(found), pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {results[0]} string, {results[1]} double, {results[2]} double"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(predicted, schema)
+    return docs.select(*keep, F.make_valid_utf8("text").alias("__text")).mapInArrow(predicted, schema)
 
 
 def keep_known(docs: DataFrame, known: float = KNOWN) -> DataFrame:
