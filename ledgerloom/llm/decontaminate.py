@@ -195,10 +195,11 @@ class Index:
         return np.concatenate(codes), np.concatenate(owner)
 
     def code(self, run: np.ndarray) -> int:
+        """Code of a run of words, in 64 bits as arrays count; runs that share one are told apart when windows are verified."""
         value = 0
         for w in run:
-            value = value * self.base + int(w) + 1
-        return value
+            value = (value * self.base + int(w) + 1) % 2**64
+        return value - 2**64 if value >= 2**63 else value
 
     def windows(self, text: np.ndarray) -> np.ndarray:
         """(start, length) of the windows of a text that share a run with an item on their diagonal."""

@@ -240,8 +240,8 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, block_rows: i
     """(doc_id, n_shingles, component_id): one row per row of `docs` (doc_id long, text string; more columns are ignored).
 
     Null or wordless text: no shingles, linked with nothing, component_id is the document itself. Rows that share
-    a doc_id are one document: their links join. A null doc_id keeps its row; its component_id is the smallest
-    id it links with, else null. An empty table gives no rows.
+    a doc_id are one document: their links join. A row without doc_id names no document and links nothing; its
+    component_id is that of a document with an equal shingle set, else null. An empty table gives no rows.
     """
     spark = tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")

@@ -82,8 +82,9 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     out = lambda df, part: df.select(*names, shard_bits.alias("shard"), part.cast("long").alias("part"), F.col("bucket.depth").alias("depth"), "n_bytes")
     if not cells.where(F.exists("buckets", lambda b: b["same"] & (b["n"] > 1))).take(1):
         return out(placed, F.lit(0))
-    # Equal rows are numbered by the partition they are read in, and from the partitions' counts before it.
-    equal = placed.where("bucket.same AND bucket.n > 1").withColumn("at", F.spark_partition_id())
+    # Equal rows are numbered by the partition they were read in, and from the partitions' counts before it. They are
+    # written with it, so that both sides of the join below see the same partitions.
+    equal = materialise(placed.where("bucket.same AND bucket.n > 1").withColumn("at", F.spark_partition_id()))
     before = equal.groupBy("h", "at").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.partitionBy("h").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
     numbered = equal.withColumn("number", F.row_number().over(W.partitionBy("h", "at").orderBy("n_bytes")) - 1).join(before, ["h", "at"])
     return out(placed.where("NOT (bucket.same AND bucket.n > 1)"), F.lit(0)).unionByName(out(numbered, F.floor((F.col("number") + F.col("before")) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes"))))))
