@@ -355,5 +355,7 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
 
     for name in names:
         add(name)
-    parts = [f"{n} AS ({ORACLE_CTES[n][0]})" for n in ordered] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    # Each derivation is worked out once, and the whole result before any limit around it: DuckDB otherwise repeats a
+    # derivation that several others use, or plans its joins for the few rows of a limit.
+    parts = [*((n, ORACLE_CTES[n][0]) for n in ordered), *(extra or {}).items(), ("checked", body)]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in parts) + "\nSELECT * FROM checked"
