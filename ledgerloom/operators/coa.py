@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..functions import exprs as X
 from .ordered import part_no, top_k
+from .similar import similar_lines, words_of
 
 BALANCE_TOLERANCE = 0.001
 ROWS_PER_PART = 10_000
@@ -28,28 +29,15 @@ def gate_rows(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, coa: DataFrame, k: int = 3) -> DataFrame:
     """Top k chart lines of each row within its statement, by shared words and edit distance.
 
-    Scored once per distinct label. Chart lines are found through their words; a line that shares none scores
-    at most 0.3, by edit distance alone, so that only labels with fewer than k better lines look at the rest
-    of their statement's chart.
+    Scored once per distinct label (`similar.similar_lines`).
     """
     gated = gate_rows(rows).filter("gate = 'map'").withColumn("label_key", X.label_key("raw_label"))
-    def words(c):
-        return F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 0))
-    labels = gated.select("coa_statement", "label_key").distinct().withColumn("_lw", words("label_key"))
+    labels = gated.select("coa_statement", F.col("label_key").alias("label")).distinct()
     text = F.concat_ws(" ", "line_item_name", *(["definition"] if "definition" in coa.columns else []))
-    chart = coa.select("coa_id", F.col("statement").alias("coa_statement"), X.label_key("line_item_name").alias("_name"), words(X.label_key(text)).alias("_cw"))
-    shared = (labels.withColumn("_word", F.explode("_lw")).join(chart.withColumn("_word", F.explode("_cw")), ["coa_statement", "_word"])
-              .groupBy("coa_statement", "label_key", "coa_id", "_name", F.size("_lw").alias("_nl"), F.size("_cw").alias("_nc"))
-              .agg(F.count(F.lit(1)).alias("_both")))
-    overlap = F.col("_both") / (F.col("_nl") + F.col("_nc") - F.col("_both"))
-    edit = 1 - F.levenshtein("label_key", "_name") / F.greatest(F.length("label_key"), F.length("_name"))
-    scored = shared.withColumn("score", F.round(overlap * 0.7 + edit * 0.3, 6)).select("coa_statement", "label_key", "coa_id", "score")
-    enough = scored.filter("score > 0.3").groupBy("coa_statement", "label_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
-    rest = labels.join(enough, ["coa_statement", "label_key"], "left_anti").join(chart, "coa_statement").filter(~F.arrays_overlap("_lw", "_cw"))
-    scored = scored.unionByName(rest.select("coa_statement", "label_key", "coa_id", F.round(edit * 0.3, 6).alias("score")))
-    best = top_k(scored, ["coa_statement", "label_key"], [F.desc("score"), F.col("coa_id")], k, "cand_rank")
+    chart = coa.select(F.col("coa_id").alias("line_id"), F.col("statement").alias("coa_statement"), X.label_key("line_item_name").alias("name"), words_of(X.label_key(text)).alias("words"))
+    best = similar_lines(labels, chart, ["coa_statement"], k)
     return gated.select("document_id", "extraction_id", "coa_statement", "label_key").join(
-        best.select("coa_statement", "label_key", "cand_rank", "coa_id", "score"), ["coa_statement", "label_key"])
+        best.select("coa_statement", F.col("label").alias("label_key"), "cand_rank", F.col("line_id").alias("coa_id"), "score"), ["coa_statement", "label_key"])
 
 
 def validate_suggestions(rows: DataFrame, answers: DataFrame, suggestions: DataFrame, coa: DataFrame,
