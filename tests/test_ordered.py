@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ordered as O
-from ledgerloom.operators.textjoin import contains_join
+from ledgerloom.operators.textjoin import GRAM, contains_join, contains_pairs, grams, rarest_grams
 
 
 def test_running_equals_loop_with_one_hot_document(spark):
@@ -45,6 +45,26 @@ def test_contains_join_equals_all_pairs(spark):
     assert got == want
 
 
+def test_contains_join_with_hot_grams_and_repeated_rows(spark):
+    rnd = random.Random(6)
+    words = ["total", "other", "assets", "net", "of", "deferred", "tax"]
+    phrase = lambda n: " ".join(rnd.choices(words, k=n))
+    holders = [phrase(rnd.randrange(1, 7)) for _ in range(200)] + ["total", "total", None, ""]
+    parts = [phrase(rnd.randrange(1, 4)) for _ in range(80)] + ["tot", "x", "", None, "total", "total", "deferred taxes", "é漢字é"]
+    h = spark.createDataFrame([(i, x) for i, x in enumerate(holders)], "hid int, h string")
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(parts)], "pid int, p string")
+    want = sorted((i, j) for i, a in enumerate(holders) for j, b in enumerate(parts) if a is not None and b is not None and b in a)
+    assert sorted((r.hid, r.pid) for r in contains_join(h, "h", p, "p").collect()) == want
+    texts, wanted = h.filter("h IS NOT NULL").select(F.col("h").alias("_text")).distinct(), p.filter("p IS NOT NULL").select(F.col("p").alias("_part")).distinct()
+    pairs = contains_pairs(texts, wanted, [], together=7)  # salted
+    assert sorted((r["_text"], r["_part"]) for r in pairs.collect()) == sorted({(holders[i], parts[j]) for i, j in want})
+    found = {r["_part"]: (r["_gram"], r["_holders"]) for r in rarest_grams(texts.withColumn("_gram", F.explode(grams("_text"))), wanted.filter(F.length("_part") >= GRAM), []).collect()}
+    assert "deferred taxes" not in found and "é漢字é" not in found
+    for part, (gram, n) in found.items():
+        counts = {g: sum(g in t for t in {x for x in holders if x}) for g in {part[i : i + GRAM] for i in range(len(part) - GRAM + 1)}}
+        assert n == min(counts.values()) == counts[gram]
+
+
 def test_top_k_and_parts(spark):
     df = spark.createDataFrame([("hot", i) for i in range(1, 1001)] + [("b", 1)], "doc string, v int")
     assert sorted(r["v"] for r in O.top_k(df, ["doc"], [F.desc("v")], 3).collect()) == [1, 998, 999, 1000]
