@@ -6,6 +6,8 @@ together are computed from the same decisions, so a rerun gives the same result.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..functions import exprs as X
 from .coa import balance_identity, outcomes
 from .reconcile import crossfoot, group_subtotals
 
+if TYPE_CHECKING:
+    from ..sources.buckets import BucketTable
+
 ROW = ["document_id", "extraction_id"]
 MANUAL_CONFIDENCE = 0.95
 DEMOTED_CONFIDENCE = 0.70
@@ -134,6 +139,20 @@ def refresh_reconciliation(changed: DataFrame, routed: DataFrame, rows: DataFram
     return crossfoot(comps, subs, r, v, outcomes(o))
 
 
+def refresh_stored(changed: DataFrame, rows: BucketTable, row_values: BucketTable, coa: DataFrame, balance: BucketTable) -> int:
+    """Bring a stored balance table up to date after edits of some documents; its new version.
+
+    All tables lie in buckets by document: only the changed documents' buckets are read, and only theirs written.
+    """
+    return balance.replace(changed, refresh_checks(changed, rows.lookup(changed), row_values.lookup(changed), coa))
+
+
+def refresh_stored_reconciliation(changed: DataFrame, routed: BucketTable, row_values: BucketTable, report: BucketTable) -> int:
+    """The same for the cross-foot report; `routed` has the rows with their levels and outcomes."""
+    own = routed.lookup(changed)
+    return report.replace(changed, refresh_reconciliation(changed, own, own, row_values.lookup(changed))[1])
+
+
 def promoted_outcomes(before: DataFrame, promoted: DataFrame) -> DataFrame:
     """Outcomes by label in which a promoted row's label counts as mapped in its statement."""
     up = promoted.select("document_id", F.lower(F.trim("raw_label")).alias("label"), "statement_type").distinct().withColumn("_up", F.lit(True))

@@ -12,10 +12,11 @@ from ..operators import reconcile as Q
 from ..operators import state as S
 from ..session import work_dir
 from ..sources import readers
+from ..sources.buckets import BucketTable
 from ..streaming import streams as T
 from .catalog import query
 from .queries_canonical import CAN, SC, scored
-from .queries_coa import AG, BALANCE, COA, CROSSFOOT, LE, LH, RT, SG, aggregated, grouped, recon_rows, routed
+from .queries_coa import AG, BALANCE, COA, CROSSFOOT, LE, LH, RT, SG, aggregated, grouped, recon_rows, routed, signed
 from .queries_views import PE, SUG, pending
 from .queries_pages import PAGES, SEC, SCOPE
 
@@ -41,10 +42,7 @@ def a05b(t):
 def a06(t):
     """Rows with their outcomes appended to a table, statement by statement, then read."""
     done = A.row_outcomes(t.rows, routed(t))
-    base = work_dir(t.spark)
-    if base is None:
-        return done.groupBy("statement_type", "mapping_status").agg(F.count(F.lit(1)).alias("n"))
-    path = os.path.join(base, "append-" + uuid.uuid4().hex)
+    path = os.path.join(work_dir(t.spark), "append-" + uuid.uuid4().hex)
     S.append(done.filter("statement_type IN ('balance_sheet', 'income_statement')"), path, ("statement_type",))
     S.append(done.filter("statement_type NOT IN ('balance_sheet', 'income_statement')"), path, ("statement_type",))
     S.append(done.filter("false"), path, ("statement_type",))
@@ -152,6 +150,47 @@ def e25b(t):
     return Q.recon_summary(report)
 
 
+# -- stored tables, changed in place of a recomputation ------------------------------------------------------------
+
+def _stored(t, df, name, keys):
+    """A table in buckets by document, and the rows of a change applied to it."""
+    return BucketTable.create(df, os.path.join(work_dir(t.spark), f"{name}-{uuid.uuid4().hex}"), keys, ["document_id"], buckets=32)
+
+
+def stored_rows(t):
+    """The routed rows as a stored table, then only the rows that decisions resolve written over them."""
+    rows = _stored(t, routed(t), "stored-rows", ["document_id", "extraction_id"])
+    rows.upsert(resolved(t)["rows"].filter("mapping_source = 'manual'"))
+    return rows
+
+
+@query("e23_stored_rows", """SELECT r.document_id, r.extraction_id, CASE WHEN n.document_id IS NULL THEN r.status ELSE 'mapped' END AS status, coalesce(n.new_coa_id, r.coa_id) AS coa_id,
+  CAST(CASE WHEN n.document_id IS NULL THEN r.confidence ELSE 0.95 END AS DOUBLE) AS confidence FROM routed r LEFT JOIN res n USING (document_id, extraction_id)""", DEC, RES)
+def e23f(t):
+    return stored_rows(t).read().select("document_id", "extraction_id", "status", "coa_id", "confidence")
+
+
+@query("a07_stored_delete", """SELECT document_id, extraction_id, raw_label FROM fx_rows WHERE document_id NOT IN (SELECT document_id FROM fx_documents WHERE template_type = 'T2')""", ("fx_rows", "fx_documents"))
+def a07c(t):
+    rows = _stored(t, t.rows, "stored-lines", ["document_id", "extraction_id"])
+    rows.delete(t.documents.filter("template_type = 'T2'").select("document_id"))
+    return rows.read().select("document_id", "extraction_id", "raw_label")
+
+
+_ALL_AFTER = """SELECT m.document_id, m.extraction_id, m.coa_id, v.year, v.value AS raw_value, CASE WHEN k.sign_convention IN ('contra', 'negative') THEN -abs(v.value) ELSE v.value END AS value FROM (
+    SELECT r.document_id, r.extraction_id, coalesce(n.new_coa_id, r.coa_id) AS coa_id FROM routed r LEFT JOIN res n USING (document_id, extraction_id) WHERE coalesce(n.new_coa_id, r.coa_id) IS NOT NULL) m
+  JOIN fx_row_values v USING (document_id, extraction_id) LEFT JOIN fx_coa k ON k.coa_id = m.coa_id"""
+
+
+@query("e25_stored_balance", "SELECT document_id, year, round(total_assets, 2) AS total_assets, difference, is_balanced, headline FROM bal", DEC, {**RES, "signed": _ALL_AFTER, "bal": BALANCE})
+def e25c(t):
+    """Every document's balance, of which only the decided documents' is worked out again."""
+    done = _stored(t, A.balance_identity(signed(t), t.coa), "stored-balance", ["document_id", "year"])
+    values = _stored(t, t.row_values.select("document_id", "extraction_id", "year", "value"), "stored-values", ["document_id", "extraction_id", "year"])
+    S.refresh_stored(S.changed_documents(t.decisions), stored_rows(t), values, t.coa, done)
+    return done.read().select("document_id", "year", F.round("total_assets", 2).alias("total_assets"), "difference", "is_balanced", "headline")
+
+
 @query("e26_skip_items", """SELECT document_id, extraction_id, CASE WHEN status = 'unmapped' AND (document_id, extraction_id) IN (SELECT (document_id, extraction_id) FROM fx_decisions WHERE action = 'skip') THEN 'set_aside' ELSE status END AS status FROM routed""", DEC, RT)
 def e26(t):
     return S.skip_items(routed(t), t.decisions).select("document_id", "extraction_id", "status")
@@ -208,10 +247,7 @@ def f09c(t):
 # -- streams: the given tables as files, read as a stream to the end ------------------------------------------------
 
 def _folder(t, name):
-    base = work_dir(t.spark)
-    if base is None:
-        raise ValueError("streams need spark.checkpoint.dir for their checkpoints")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(work_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def _as_stream(t, df, name, sort=None, files=4):

@@ -60,11 +60,7 @@ def write_report(frames: dict[str, DataFrame], path: str | None, fmt: str = "par
     out = {}
     for sheet, df in frames.items():
         spark = df.sparkSession
-        base = path or work_dir(spark)
-        if base is None:
-            out[sheet] = df
-            continue
-        target = os.path.join(base, "report", f"sheet={sheet}")
+        target = os.path.join(path or work_dir(spark), "report", f"sheet={sheet}")
         df.write.mode("overwrite").option("header", "true").format(fmt).save(target)
         out[sheet] = spark.read.schema(df.schema).option("header", "true").format(fmt).load(target)
     return out
