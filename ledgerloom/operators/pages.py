@@ -6,13 +6,8 @@ narrow columns are exchanged; joins are on (document_id, page_number), which is
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import refdata as R
 from ..functions import exprs as X
@@ -24,6 +19,10 @@ PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 MIN_SEGMENT = 200
 PAGES_PER_PART = 200
 LABEL_CONFIDENCE = 0.70
+#: Weight of a rule label as a signal of its templates.
+LABEL_WEIGHT = 0.2
+#: Characters before a heading in its line, and lines a heading may take.
+HEADING_INDENT, HEADING_LINES = 50, 4
 # A text without any of these words cannot hit a statement heading.
 _GATE = r"(?i)statement|sheet|account|flow|interests|equity"
 
@@ -186,32 +185,34 @@ def statement_scope(pages: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 _STATEMENT_PATTERNS = [(p, t) for p, t, *_ in R.STATEMENT_SIGNALS if t != "notes"]
-_POSITIONS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("statement_type", T.StringType())]))
+_HEADS = "array<struct<pos:int,statement_type:string>>"
 
 
-@F.pandas_udf(_POSITIONS)
-def _heading_positions(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    signals = [(re.compile(p), t) for p, t in _STATEMENT_PATTERNS]
-    for batch in texts:
-        out = []
-        for text in batch:
-            found: dict[int, str] = {}
-            for pattern, kind in signals:
-                for m in pattern.finditer(text or ""):
-                    line = text.rfind("\n", 0, m.start()) + 1
-                    if m.start() - line <= 50:
-                        found.setdefault(line, kind)
-            out.append([{"pos": p, "statement_type": k} for p, k in sorted(found.items())])
-        yield pd.Series(out)
+def heading_lines(text: Column) -> Column:
+    """(pos, statement_type) of the lines that begin with a statement heading, in order; positions count from 0.
 
+    A heading starts within the first 50 characters of its line and may go on in the next three. Its lines are looked
+    at once each; the text before a line is only counted, so that long pages take time in proportion.
+    """
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    kind = lambda window: F.when(window.rlike(_GATE), X._chain([(window.rlike(rf"^[^\n]{{0,{HEADING_INDENT}}}?(?:{p})"), F.lit(t)) for p, t in _STATEMENT_PATTERNS]))
+    mark = lambda lines: F.transform(lines, lambda line, i: F.struct((F.length(line) + 1).alias("size"), once(F.array_join(F.slice(lines, i + 1, HEADING_LINES), "\n"), kind).alias("kind")))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_HEADS).alias("heads"))
 
-def segment_pages(pages: DataFrame, section: str = "section") -> DataFrame:
-    """Part of each page that belongs to the section named in column `section`.
+    def step(done: Column, line: Column) -> Column:
+        head = F.struct(done["pos"].alias("pos"), line["kind"].alias("statement_type"))
+        return F.struct((done["pos"] + line["size"]).alias("pos"), F.when(line["kind"].isNotNull(), F.concat(done["heads"], F.array(head))).otherwise(done["heads"]).cast(_HEADS).alias("heads"))
 
-    Spark strings count code points, as Python does, so the positions can be used in substring.
-    """
+    found = once(F.split(text, "\n"), lambda lines: F.aggregate(mark(lines), start, step, lambda done: done["heads"]))
+    return F.when(text.rlike(_GATE), found).otherwise(F.array().cast(_HEADS))
+
+
+def segment_pages(pages: DataFrame, section: str = "section") -> DataFrame:
+    """Part of each page that belongs to the section named in column `section`."""
     text, target = F.col("text"), F.col(section)
-    p = pages.withColumn("_heads", _heading_positions(X.normalize_heading("text")))
+    heads = F.struct(heading_lines(X.normalize_heading("text")).alias("h"))
+    # Through a generator, so that the matching is not repeated wherever its result is used.
+    p = pages.select("*", F.inline(F.array(heads)).alias("_heads"))
     own = F.filter("_heads", lambda h: h["statement_type"] == target)
     start = F.try_element_at(own, F.lit(1))["pos"]
     after = F.filter("_heads", lambda h: (h["statement_type"] != target) & (h["pos"] > start))
@@ -245,20 +246,48 @@ def sample_labels(pages: DataFrame, selected: DataFrame, n_pages: int = 5, max_c
             .withColumn("label_no", F.col("label_no") + 1))
 
 
-def score_templates(pages: DataFrame, min_score: float = 0.6) -> DataFrame:
-    """Template of each document from the template hints of its headings.
+def label_phrases(rules: DataFrame) -> DataFrame:
+    """(label, words, first, n, templates): rule labels by template, without those that every template has."""
+    named = rules.filter(F.col("template_type").isNotNull() & (F.col("rule_label") != "")).select("template_type", F.col("rule_label").alias("label")).distinct()
+    every = named.agg(F.count_distinct("template_type")).first()[0]
+    words = F.split("label", " ")
+    out = named.groupBy("label").agg(F.array_sort(F.collect_set("template_type")).alias("templates")).filter(F.size("templates") < every)
+    return out.select("label", words.alias("words"), F.get(words, 0).alias("first"), F.size(words).alias("n"), "templates")
+
+
+def label_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(document_id, label, templates): labels found as runs of whole words on a document's pages, once each.
+
+    One pass over the words: a word that begins a phrase is met by an equi-join, the words after it decide, and where
+    several phrases begin the longest counts.
+    """
+    most = phrases.agg(F.max("n")).first()[0] or 1
+    tokens = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " ")), " ")
+    p = pages.select("document_id", "page_number", tokens.alias("_tokens"))
+    places = F.transform("_tokens", lambda w, i: F.struct(i.alias("place"), F.slice("_tokens", i + 1, most).alias("run")))
+    at = p.select("document_id", "page_number", F.inline(places)).withColumn("first", F.get("run", F.lit(0)))
+    found = at.join(phrases, "first").filter(F.slice("run", F.lit(1), F.col("n")) == F.col("words"))
+    longest = found.groupBy("document_id", "page_number", "place").agg(F.max_by(F.struct("label", "templates"), "n").alias("m"))
+    return longest.select("document_id", "m.label", "m.templates").distinct()
+
+
+def score_templates(pages: DataFrame, min_score: float = 0.6, rules: DataFrame | None = None) -> DataFrame:
+    """Template of each document from the template hints of its headings, and with `rules` of the labels on its pages.
 
     Score = weight of the matched signals that hint at the template over the weight of all matched signals
-    with hints; ties go to the lower template name.
+    with hints; ties go to the lower template name. A label found is a signal of weight 0.2 that hints at the templates
+    whose rules have it; labels of every template tell nothing.
     """
     w = F.col("_head")
     hinted = [(p, weight, hints) for p, _, weight, hints in R.STATEMENT_SIGNALS if hints]
     hit = F.array_compact(F.array(*[F.when(w.rlike(p), F.struct(F.lit(weight).alias("weight"), F.array(*map(F.lit, hints)).alias("hints")))
                                     for p, weight, hints in hinted]))
     hits = _heading_window(pages.filter(F.col("text").rlike(_GATE)), None).select("document_id", F.inline(hit))
+    if rules is not None:
+        hits = hits.unionByName(label_hits(pages, label_phrases(rules)).select("document_id", F.lit(LABEL_WEIGHT).alias("weight"), F.col("templates").alias("hints")))
     total = hits.groupBy("document_id").agg(F.sum("weight").alias("total_weight"))
     per = hits.select("document_id", "weight", F.explode("hints").alias("template")).groupBy("document_id", "template").agg(
-        F.sum("weight").alias("weight"))
+        F.round(F.sum("weight"), 6).alias("weight"))
     best = per.groupBy("document_id").agg(
         F.max("weight").alias("weight"), F.min_by("template", F.struct(-F.col("weight"), F.col("template"))).alias("template"))
     scored = best.join(total, "document_id").withColumn("score", F.round(F.col("weight") / F.col("total_weight"), 6))

@@ -214,7 +214,23 @@ def b14(t):
     return P.statement_scope(s, P.expand_continuation(s))
 
 
-@query("b15_segment_pages")
+_SEGMENTED = {
+    "g": f"SELECT g.document_id, g.section, g.page_number, s.text, {NORM.format('s.text')} AS norm FROM o_group g JOIN o_sec s USING (document_id, page_number) WHERE g.section <> 'notes'",
+    "ln": """SELECT document_id, page_number, i, lines[i] AS line, array_to_string(lines[i:i + 3], chr(10)) AS w FROM (
+  SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT DISTINCT document_id, page_number, string_split(norm, chr(10)) AS lines FROM g) a) b""",
+    "hd": """SELECT o.document_id, o.page_number, o.pos, arg_min(s.statement_type, s.ord) AS kind FROM (
+  SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id, page_number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM ln) o
+JOIN o_signals s ON s.statement_type <> 'notes' AND regexp_matches(o.w, '^[^\\n]{0,50}?(?:' || s.pattern || ')') GROUP BY ALL""",
+    "own": """SELECT g.document_id, g.section, g.page_number, any_value(g.text) AS text, min(h.pos) AS first, min(h.pos) FILTER (h.kind = g.section) AS own
+FROM g LEFT JOIN hd h USING (document_id, page_number) GROUP BY g.document_id, g.section, g.page_number""",
+    "cut": """SELECT o.document_id, o.section, o.page_number, any_value(o.text) AS text, any_value(o.first) AS first,
+  CASE WHEN any_value(o.own) IS NULL THEN left(any_value(o.text), any_value(o.first)) ELSE substring(any_value(o.text), any_value(o.own) + 1, coalesce(min(h.pos), length(any_value(o.text))) - any_value(o.own)) END AS c
+FROM own o LEFT JOIN hd h ON h.document_id = o.document_id AND h.page_number = o.page_number AND h.kind <> o.section AND h.pos > o.own GROUP BY o.document_id, o.section, o.page_number""",
+}
+
+
+@query("b15_segment_pages", """SELECT document_id, section, page_number, CAST(length(seg) AS INT) AS n_chars, md5(seg) AS digest
+FROM (SELECT *, CASE WHEN first IS NULL THEN text WHEN length(c) >= 200 THEN c ELSE '' END AS seg FROM cut) s""", PAGES, {**GRP, **_SEGMENTED})
 def b15(t):
     s = sectioned(t)
     j = P.group_sections(s).filter("section <> 'notes'").join(s.select("document_id", "page_number", "text"), ["document_id", "page_number"])
@@ -253,7 +269,6 @@ FROM (SELECT DISTINCT document_id FROM fx_pages) d LEFT JOIN (
 def b18(t):
     return P.score_templates(t.pages)
 
-
 @query("b19_apply_classification", """SELECT document_id,
   CASE WHEN document_id % 3 = 0 THEN company ELSE concat('Group ', document_id) END AS company,
   CASE WHEN document_id % 2 = 0 THEN concat('T', document_id % 8 + 1) ELSE template_type END AS template_type,

@@ -10,7 +10,7 @@ from ..operators import pages as P
 from ..operators import rows as W
 from ..sources import readers
 from .catalog import query
-from .queries_pages import CLS, PAGES, SEC, classified, sectioned
+from .queries_pages import _SIGNALS, CLS, NORM, PAGES, SEC, classified, sectioned
 
 ROWS, VALUES = ("fx_rows",), ("fx_row_values",)
 
@@ -254,3 +254,46 @@ LEFT JOIN (SELECT document_id, count(DISTINCT note_number) AS notes FROM np GROU
 def c14(t):
     s = sectioned(t)
     return W.run_summary(classified(t), t.rows, P.note_pages(s))
+
+
+#: Rules of the built-in list, and the words that every document's second page begins with as labels of its template.
+_PAGE_RULES = f"""SELECT template_type, rule_label FROM ({_RULES}) r UNION ALL
+SELECT concat('T', document_id % 8 + 1), regexp_extract(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '^[a-z0-9]+ [a-z0-9]+') FROM fx_pages WHERE page_number = 2"""
+
+
+def page_rules(t):
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "))
+    own = t.pages.filter("page_number = 2").select(F.lit(0).alias("rule_ord"), F.concat(F.lit("T"), (F.col("document_id") % 8 + 1).cast("string")).alias("template_type"), F.regexp_extract(words, r"^[a-z0-9]+ [a-z0-9]+", 0).alias("rule_label"),
+                                                  F.lit("other_income").alias("canonical_field"), F.lit(0.8).alias("rule_confidence"))
+    return readers.load_rules(t.spark).unionByName(own)
+
+
+_LABELLED = {
+    "o_signals": _SIGNALS,
+    "page_rule": _PAGE_RULES,
+    "phrase": """SELECT rule_label AS label, string_split(rule_label, ' ') AS words, list_sort(list(DISTINCT template_type)) AS templates
+FROM page_rule WHERE template_type IS NOT NULL AND rule_label <> '' GROUP BY rule_label
+HAVING count(DISTINCT template_type) < (SELECT count(DISTINCT template_type) FROM page_rule WHERE rule_label <> '')""",
+    "token": """SELECT document_id, page_number, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (
+  SELECT document_id, page_number, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS tokens FROM fx_pages) t""",
+    "met": """SELECT DISTINCT document_id, label, templates FROM (
+  SELECT t.document_id, t.page_number, t.i, arg_max(p.label, len(p.words)) AS label, arg_max(p.templates, len(p.words)) AS templates
+  FROM token t JOIN phrase p ON t.tokens[t.i] = p.words[1] AND t.tokens[t.i:t.i + len(p.words) - 1] = p.words GROUP BY t.document_id, t.page_number, t.i) m""",
+    "th": f"""SELECT p.document_id, s.weight, string_split(s.hints, ' ') AS hints FROM fx_pages p JOIN o_signals s ON s.hints <> '' AND regexp_matches({NORM.format('p.text')}, s.pattern)
+UNION ALL SELECT document_id, CAST(0.2 AS DOUBLE), templates FROM met""",
+}
+
+
+@query("b18_label_hits", "SELECT document_id, label, array_to_string(templates, ' ') AS templates FROM met", PAGES, _LABELLED)
+def b18b(t):
+    return P.label_hits(t.pages, P.label_phrases(page_rules(t))).select("document_id", "label", F.array_join("templates", " ").alias("templates"))
+
+
+@query("b18_templates_with_labels", """SELECT d.document_id, round(coalesce(b.w / b.total, 0.0), 6) AS score, CASE WHEN round(b.w / b.total, 6) >= 0.6 THEN b.template ELSE 'T0_unknown' END AS template_type
+FROM (SELECT DISTINCT document_id FROM fx_pages) d LEFT JOIN (
+  SELECT h.document_id, template, w, total FROM (
+    SELECT document_id, template, sum(weight) AS w, row_number() OVER (PARTITION BY document_id ORDER BY round(sum(weight), 6) DESC, template) AS rn
+    FROM (SELECT document_id, weight, unnest(hints) AS template FROM th) GROUP BY document_id, template) h
+  JOIN (SELECT document_id, sum(weight) AS total FROM th GROUP BY document_id) USING (document_id) WHERE rn = 1) b USING (document_id)""", PAGES, _LABELLED)
+def b18c(t):
+    return P.score_templates(t.pages, rules=page_rules(t))

@@ -97,3 +97,22 @@ def test_read_pages_formats(spark, tmp_path):
     assert [(r["document_id"], r["page_number"], r["text"]) for r in got] == [("a.txt", 1, "first"), ("a.txt", 2, "second")]
     spark.createDataFrame([("d", 3, "x")], "document_id string, page_number int, text string").write.json(str(tmp_path / "j"))
     assert readers.read_pages(spark, str(tmp_path / "j"), "json").first()["page_number"] == 3
+
+
+def test_headings_over_lines_and_in_long_pages(spark):
+    text = "Consolidated\nbalance sheet as at 2023\n" + "x" * 51 + "cash flow statement\n" + "y\n" * 30_000 + "’q’ Cash  flow\n\n\nstatement\nIncome statement balance sheet\n"
+    df = pages(spark, {1: text, 2: None, 3: "", 4: "balance sheet"})
+    got = {r.page_number: [(h.pos, h.statement_type) for h in r.h or []] for r in df.select("page_number", P.heading_lines(F.col("text")).alias("h")).collect()}
+    late = 25 + 13 + 71 + 60_000  # the three lines before, with their ends
+    assert got[1][:2] == [(0, "balance_sheet"), (13, "balance_sheet")] and got[2] == got[3] == [] and got[4] == [(0, "balance_sheet")]
+    assert [k for _, k in got[1][2:]] == ["cash_flow", "balance_sheet"] and got[1][2][0] == text.index("’q’") and late > 0
+
+
+def test_label_hits_take_the_longest_phrase(spark):
+    rules = spark.createDataFrame([(0, "T1", "total assets", "a", 0.9), (1, "T1", "total assets net", "b", 0.9), (2, "T2", "net", "c", 0.9), (3, "T1", "cash", "d", 0.9), (4, "T2", "cash", "d", 0.9), (5, None, "assets", "e", 0.9), (6, "T2", "", "f", 0.9)],
+                                  "rule_ord int, template_type string, rule_label string, canonical_field string, rule_confidence double")
+    p = pages(spark, {1: "TOTAL  assets: net cash", 2: "total\nassets and subtotal assets", 3: "nettotal assets2", 4: None, 5: ""})
+    found = P.label_hits(p, P.label_phrases(rules)).collect()
+    assert sorted((r.label, tuple(r.templates)) for r in found) == [("net", ("T2",)), ("total assets", ("T1",)), ("total assets net", ("T1",))]
+    scored = P.score_templates(p, rules=rules).first()
+    assert (scored.score, scored.template_type) == (0.666667, "T1") and P.score_templates(p).first().template_type == "T0_unknown"
