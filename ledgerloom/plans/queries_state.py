@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import coa as A
 from ..operators import reconcile as Q
 from ..operators import state as S
-from ..session import work_dir
-from ..sources import readers
+from ..session import materialise, work_dir
+from ..sources import intake, readers
 from ..sources.buckets import BucketTable
 from ..streaming import streams as T
 from .catalog import query
@@ -325,3 +325,37 @@ def g04(t):
     T.run_to_end(T.latest_stage(s), "update", out, check)
     r = t.spark.read.parquet(out)
     return r.groupBy("document_id").agg(F.max_by("stage", F.struct("ts", "batch")).alias("stage"))
+
+
+#: Files by the last two digits of the id: some lines cut off, one file all of them; file 18 is delivered again as 19.
+_DELIVERED = """SELECT doc_id AS document_id, doc_id % 19 AS batch, doc_id % 11 = 3 OR doc_id % 19 = 7 AS broken FROM documents
+UNION ALL SELECT doc_id, 19, doc_id % 11 = 3 FROM documents WHERE doc_id % 19 = 18"""
+
+
+def delivered(t):
+    """The documents as JSON lines in a folder of files, in two deliveries; the first one is taken in before the second comes."""
+    d = t.raw("documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text")
+    i = F.col("document_id")
+    lines = d.withColumns({"batch": i % 19, "broken": (i % 11 == 3) | (i % 19 == 7)}).unionByName(d.filter(i % 19 == 18).withColumns({"batch": F.lit(19).cast("bigint"), "broken": i % 11 == 3}))
+    whole = F.to_json(F.struct("document_id", "page_number", "text"))
+    lines = lines.select("batch", F.when(F.col("broken"), F.left(whole, F.length(whole) - 2)).otherwise(whole).alias("value"))
+    box = _folder(t, "inbox")
+    put = lambda part: part.repartition(8, "batch").sortWithinPartitions("batch").write.mode("append").partitionBy("batch").text(box)
+    put(lines.filter("batch < 5"))
+    first = intake.ingest_folder(t.spark, box)
+    loaded, ledger = materialise(first[0]), materialise(first[2])
+    put(lines.filter("batch >= 5"))
+    return loaded, intake.ingest_folder(t.spark, box, ledger, loaded)
+
+
+@query("a11_ingest_folder", """SELECT batch, CASE WHEN batch < 5 THEN 'seen' WHEN bool_and(broken) THEN 'failed' WHEN batch = 19 THEN 'repeated' WHEN bool_or(broken) THEN 'partial' ELSE 'loaded' END AS status,
+  CASE WHEN batch < 5 THEN 0 ELSE count(*) END AS n_lines, CASE WHEN batch < 5 THEN 0 ELSE count(*) FILTER (broken) END AS n_bad, CASE WHEN batch < 5 OR batch = 19 THEN 0 ELSE count(*) FILTER (NOT broken) END AS n_rows
+FROM delivered GROUP BY batch""", (), {"delivered": _DELIVERED})
+def a11b(t):
+    return delivered(t)[1][1].select(F.regexp_extract("path", r"batch(?:=|%3D)(\d+)", 1).cast("bigint").alias("batch"), "status", "n_lines", "n_bad", "n_rows")
+
+
+@query("a11_ingested_rows", """SELECT d.doc_id AS document_id, md5(coalesce(d.text, '')) AS digest FROM documents d JOIN (SELECT DISTINCT document_id FROM delivered WHERE NOT broken) k ON k.document_id = d.doc_id""", (), {"delivered": _DELIVERED})
+def a11c(t):
+    loaded, (rows, _, _) = delivered(t)
+    return loaded.unionByName(rows).select("document_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
