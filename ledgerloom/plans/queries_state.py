@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..operators import state as S
 from ..session import materialise, work_dir
 from ..sources import intake, readers
 from ..sources.buckets import BucketTable
+from ..streaming import decisions as D
 from ..streaming import streams as T
 from .catalog import query
 from .queries_canonical import CAN, SC, scored
@@ -307,6 +309,36 @@ def g03(t):
     return T.current_decisions(t.spark, table).select("document_id", "extraction_id", "action", "coa_id", "decision_id")
 
 
+_LAST = """SELECT document_id, extraction_id, arg_max(coa_id, (decided_at, decision_id)) FILTER (action = 'resolve') AS res, arg_max(coa_id, (decided_at, decision_id)) FILTER (action = 'override') AS ov,
+  bool_or(action = 'skip') AS skip FROM fx_decisions GROUP BY document_id, extraction_id"""
+_DECIDED = """SELECT r.document_id, r.extraction_id, CASE WHEN r.status <> 'unmapped' THEN r.status WHEN l.res IS NOT NULL THEN 'mapped' WHEN l.skip THEN 'set_aside' ELSE r.status END AS status,
+  CASE WHEN r.status = 'unmapped' AND l.res IS NOT NULL THEN l.res WHEN r.status = 'mapped' AND l.ov IS NOT NULL THEN l.ov ELSE r.coa_id END AS coa_id,
+  CAST(CASE WHEN (r.status = 'unmapped' AND l.res IS NOT NULL) OR (r.status = 'mapped' AND l.ov IS NOT NULL) THEN 0.95 ELSE r.confidence END AS DOUBLE) AS confidence
+FROM routed r LEFT JOIN last l USING (document_id, extraction_id)"""
+
+
+def decided_rows(t):
+    """All rows as a stored table after the stream of all decisions, and what became of each decision."""
+    rows = routed(t).select("document_id", "extraction_id", "status", "coa_id", "confidence", "mapping_source")
+    table, notes = _stored(t, rows, "decided-rows", ["document_id", "extraction_id"]), _folder(t, "decided-notes")
+    d = t.decisions.select("document_id", "extraction_id", "action", "coa_id", F.col("decided_at").cast("timestamp").alias("decided_at"), "decision_id")
+    # A row decided long after all others moves the watermark past them.
+    end = rows.orderBy("document_id", "extraction_id").limit(1).select("document_id", "extraction_id", F.lit("close").alias("action"), F.lit(None).cast("string").alias("coa_id"), F.lit(d.agg(F.max("decided_at")).first()[0] + timedelta(days=8000)).alias("decided_at"), F.lit(-1).cast("bigint").alias("decision_id"))
+    # The patience covers the whole table, as the files of a table arrive in no order; the last row comes after them.
+    path = _folder(t, "decisions-in")
+    d.repartition(8).write.parquet(path)
+    end.coalesce(1).write.mode("append").parquet(path)
+    arriving = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    results = D.decision_results(arriving, rows, patience_days=3650, retention_days=3650, keep_days=30)
+    D.decide_into(results, table, notes, _folder(t, "decided-state")).awaitTermination()
+    return table.read(), t.spark.read.schema(D.RESULT).parquet(notes)
+
+
+@query("g03_decided_rows", "SELECT * FROM decided", DEC, {**RT, "last": _LAST, "decided": _DECIDED})
+def g03c(t):
+    return decided_rows(t)[0].select("document_id", "extraction_id", "status", "coa_id", "confidence")
+
+
 @query("g03_learning_counters", """SELECT learned_id, count(*) FILTER (k = 'applied') AS times_applied, count(*) FILTER (k = 'overridden') AS times_overridden,
   CAST(CASE WHEN count(*) FILTER (k = 'overridden') >= 2 THEN 0.70 WHEN count(*) FILTER (k = 'applied') >= 5 AND count(*) FILTER (k = 'overridden') = 0 THEN 0.99 ELSE 0.95 END AS DOUBLE) AS learned_confidence
 FROM (SELECT user_id AS learned_id, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'overridden' ELSE 'applied' END AS k FROM events) e GROUP BY 1""")
