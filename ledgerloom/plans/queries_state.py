@@ -329,7 +329,7 @@ def decided_rows(t):
     d.repartition(8).write.parquet(path)
     end.coalesce(1).write.mode("append").parquet(path)
     arriving = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 3).parquet(path)
-    results = D.decision_results(arriving, rows, patience_days=3650, retention_days=3650, keep_days=30)
+    results = D.decision_results(arriving, rows, patience_days=3650, retention_days=3650, keep_days=36500)
     D.decide_into(results, table, notes, _folder(t, "decided-state")).awaitTermination()
     return table.read(), t.spark.read.schema(D.RESULT).parquet(notes)
 
