@@ -72,31 +72,60 @@ def run_status(runs: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return j.select(*runs.columns, *[F.when(done, F.coalesce(c, F.lit(0))).alias(c) for c in counts.columns if c != key])
 
 
+def joined_keys(sources: DataFrame, longest: int) -> DataFrame:
+    """(document_id, coa_id, _key): the words of a line's source labels in row order, of lines whose labels are short enough.
+
+    `longest` is the length of the longest key to compare with: longer ones are never built.
+    """
+    word = X.label_key("raw_label")
+    named = sources.select("document_id", "coa_id", "extraction_id", word.alias("_word")).filter("_word <> ''")
+    short = named.groupBy("document_id", "coa_id").agg(F.sum(F.length("_word") + 1).alias("_size")).filter(F.col("_size") <= longest + 1)
+    text = F.expr("listagg(_word, ' ') WITHIN GROUP (ORDER BY extraction_id)")
+    return named.join(short, ["document_id", "coa_id"], "left_semi").groupBy("document_id", "coa_id").agg(text.alias("_key"))
+
+
 def spread_tree(heads: DataFrame, aggregated: DataFrame, coa: DataFrame, sources: DataFrame, row_values: DataFrame, recon: DataFrame | None = None) -> DataFrame:
     """The spread as rows: a node per chart line (leaf_id null) and a leaf per source row, in tree order.
 
-    `sources`: document_id, coa_id, extraction_id, raw_label. Sections are ordered balance sheet first, then by
-    category. Manual sources win where several mappings share a line.
+    `sources`: document_id, coa_id, extraction_id, raw_label, and page and note_ref where there are any. Sections are
+    ordered balance sheet first, then by category. Several mappings of a line (`heads` and `aggregated` then have
+    mapping_id) make one node: each gives its own two latest years, which are added; a manual one makes the node manual.
+    `recon` (document_id, subtotal_id, raw_label, passed, has_unmapped) flags the node whose joined source labels have
+    the words of a subtotal's label: whether that foots, and whether a component of it is not mapped.
     """
+    one = [c for c in ("mapping_id",) if c in heads.columns and c in aggregated.columns]
     chart = coa.select("coa_id", "line_item_name", "statement", F.coalesce("broad_category", F.lit("Other")).alias("category"))
     order = F.when(F.col("statement") == "P&L", 2).otherwise(1)
+    years = fy12(aggregated, ["document_id", "coa_id", *one]).groupBy("document_id", "coa_id").agg(F.sum("fy1").alias("fy1"), F.sum("fy2").alias("fy2"))
     nodes = (heads.groupBy("document_id", "coa_id").agg(
-        F.sum("aggregated_from").alias("aggregated_from"), F.min_by("confidence", "first_row").alias("confidence"), F.min_by("raw_label", "first_row").alias("raw_label"),
+        F.sum("aggregated_from").alias("aggregated_from"), F.min_by("confidence", "first_row").alias("confidence"),
         F.coalesce(F.max(F.when(F.col("mapping_source") == "manual", "manual")), F.min_by("mapping_source", "first_row")).alias("source"))
-        .join(fy12(aggregated, ["document_id", "coa_id"]), ["document_id", "coa_id"], "left").join(chart, "coa_id"))
-    passed = F.lit(None).cast("boolean").alias("reconciles")
+        .join(years, ["document_id", "coa_id"], "left").join(chart, "coa_id"))
+    flags = {"reconciles": F.lit(None).cast("boolean"), "missing_leaf": F.lit(None).cast("boolean")}
     if recon is not None:
-        r = recon.groupBy("document_id", F.lower(F.trim("raw_label")).alias("_key")).agg(F.max_by("passed", "subtotal_id").alias("reconciles"))
-        nodes = nodes.withColumn("_key", F.lower(F.trim("raw_label"))).join(r, ["document_id", "_key"], "left")
-        passed = F.col("reconciles")
+        r = recon.select("document_id", "subtotal_id", X.label_key("raw_label").alias("_key"), "passed", "has_unmapped").filter("_key <> ''")
+        longest = r.agg(F.coalesce(F.max(F.length("_key")), F.lit(0))).first()[0]
+        r = r.groupBy("document_id", "_key").agg(F.max_by(F.struct("passed", "has_unmapped"), "subtotal_id").alias("_r"))
+        nodes = nodes.join(joined_keys(sources, longest).join(r, ["document_id", "_key"]).drop("_key"), ["document_id", "coa_id"], "left")
+        flags = {"reconciles": F.col("_r.passed"), "missing_leaf": F.col("_r.has_unmapped")}
     cols = ["document_id", order.alias("section_order"), "statement", "category", "coa_id", "line_item_name"]
-    top = nodes.select(*cols, F.lit(None).cast("int").alias("leaf_id"), F.lit(None).cast("string").alias("leaf_label"), "fy1", "fy2", "confidence", "source", "aggregated_from", passed)
+    top = nodes.select(*cols, F.lit(None).cast("int").alias("leaf_id"), F.lit(None).cast("string").alias("leaf_label"), "fy1", "fy2", "confidence", "source", "aggregated_from",
+                       *[f.alias(n) for n, f in flags.items()], F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("note_ref"))
+    own = {n: (F.col(n) if n in sources.columns else F.lit(None)).cast(kind) for n, kind in (("page", "int"), ("note_ref", "string"))}
     leaf = sources.join(fy12(row_values, ROW), ROW, "left").join(chart, "coa_id").select(
         *cols, F.col("extraction_id").alias("leaf_id"), F.col("raw_label").alias("leaf_label"), "fy1", "fy2", F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("aggregated_from"), F.lit(None).cast("boolean").alias("reconciles"))
+        F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("aggregated_from"), *[F.lit(None).cast("boolean").alias(n) for n in flags], *[c.alias(n) for n, c in own.items()])
     return top.unionByName(leaf)
 
 
+def tree_sections(tree: DataFrame) -> DataFrame:
+    """Leaves and lines of a tree rolled up to its sections: counts, sums of the two years, and the lines that are flagged."""
+    line = F.col("leaf_id").isNull()
+    return tree.groupBy("document_id", "section_order", "statement", "category").agg(
+        F.count_if(line).alias("n_lines"), F.count_if(~line).alias("n_leaves"), F.sum(F.when(line, F.col("fy1"))).alias("fy1"), F.sum(F.when(line, F.col("fy2"))).alias("fy2"),
+        F.count_if(F.col("reconciles")).alias("n_reconciled"), F.count_if(~F.col("reconciles")).alias("n_failed"), F.count_if("missing_leaf").alias("n_missing_leaf"))
+
+
 def workbench_rows(rows: DataFrame, mappings: DataFrame, coa: DataFrame) -> DataFrame:
     """Rows with the mapping whose id array holds them (the later mapping wins) and the chart name, else the id.
 

@@ -15,7 +15,7 @@ from ..operators.ordered import in_documents
 from ..sources import sinks
 from .catalog import query
 from .queries_canonical import CAN, CHECKS, SC, checks, engine_rows, scored
-from .queries_coa import AG, BAL, COA, CROSSFOOT, RT, SG, aggregated, balance, crossfooted, grouped, routed, signed
+from .queries_coa import AG, BAL, COA, CROSSFOOT, KEYED, RT, SG, aggregated, balance, crossfooted, grouped, routed, signed
 from .queries_pages import CLS, NORM, PAGES, SEC, classified, sectioned
 from .queries_rows import NOTED, NOTE_PAGES, ROWS, SCOPED, noted_rows, scoped_rows
 
@@ -243,15 +243,31 @@ FY = """SELECT document_id, {k}, max(CASE WHEN rn = 1 THEN value END) AS fy1, ma
   SELECT *, row_number() OVER (PARTITION BY document_id, {k} ORDER BY CAST(year AS INT) DESC) AS rn FROM {t}) x GROUP BY ALL"""
 
 
-@query("f16_spread_tree", f"""SELECT n.document_id, c.statement, c.broad_category AS category, n.coa_id, NULL AS leaf_id, NULL AS leaf_label, round(f.fy1, 2) AS fy1, round(f.fy2, 2) AS fy2, n.confidence
-FROM (SELECT document_id, coa_id, arg_min(confidence, extraction_id) AS confidence FROM routed WHERE status = 'mapped' GROUP BY ALL) n JOIN fx_coa c USING (coa_id)
+_NODES = f"""SELECT n.document_id, c.statement, c.broad_category AS category, n.coa_id, NULL::INT AS leaf_id, NULL::VARCHAR AS leaf_label, round(f.fy1, 2) AS fy1, round(f.fy2, 2) AS fy2, n.confidence,
+  k.passed AS reconciles, k.has_unmapped AS missing_leaf, NULL::INT AS page, NULL::VARCHAR AS note_ref
+FROM (SELECT document_id, coa_id, arg_min(confidence, extraction_id) AS confidence, string_agg(nullif({KEYED.format('raw_label')}, ''), ' ' ORDER BY extraction_id) AS key FROM routed WHERE status = 'mapped' GROUP BY ALL) n JOIN fx_coa c USING (coa_id)
 LEFT JOIN ({FY.format(k='coa_id', t='agg')}) f ON f.document_id = n.document_id AND f.coa_id = n.coa_id
-UNION ALL SELECT r.document_id, c.statement, c.broad_category, r.coa_id, r.extraction_id, r.raw_label, round(f.fy1, 2), round(f.fy2, 2), NULL FROM routed r JOIN fx_coa c USING (coa_id)
-LEFT JOIN ({FY.format(k='extraction_id', t='fx_row_values')}) f ON f.document_id = r.document_id AND f.extraction_id = r.extraction_id WHERE r.status = 'mapped'""", COA, AG)
+LEFT JOIN (SELECT document_id, {KEYED.format('raw_label')} AS key, arg_max_null(passed, subtotal_id) AS passed, arg_max_null(has_unmapped, subtotal_id) AS has_unmapped FROM report GROUP BY ALL) k ON k.document_id = n.document_id AND k.key = n.key"""
+_TREE = f"""{_NODES}
+UNION ALL SELECT r.document_id, c.statement, c.broad_category, r.coa_id, r.extraction_id, r.raw_label, round(f.fy1, 2), round(f.fy2, 2), NULL, NULL, NULL, r.section_no + 1, CASE WHEN NOT r.is_subtotal THEN 'Note ' || r.section_no END FROM routed r JOIN fx_coa c USING (coa_id)
+LEFT JOIN ({FY.format(k='extraction_id', t='fx_row_values')}) f ON f.document_id = r.document_id AND f.extraction_id = r.extraction_id WHERE r.status = 'mapped'"""
+
+
+def tree(t):
+    note = F.when(~F.col("is_subtotal"), F.concat(F.lit("Note "), F.col("section_no").cast("string")))
+    src = routed(t).filter("status = 'mapped'").select("document_id", "coa_id", "extraction_id", "raw_label", (F.col("section_no") + 1).cast("int").alias("page"), note.alias("note_ref"))
+    return V.spread_tree(A.mapping_heads(routed(t)), aggregated(t), t.coa, src, t.row_values, crossfooted(t)[1])
+
+
+@query("f16_spread_tree", "SELECT * FROM tree", COA, {**AG, **{k: v for k, v in CROSSFOOT.items() if k != "routed"}, "tree": _TREE})
 def f16(t):
-    src = routed(t).filter("status = 'mapped'").select("document_id", "coa_id", "extraction_id", "raw_label")
-    tree = V.spread_tree(A.mapping_heads(routed(t)), aggregated(t), t.coa, src, t.row_values, crossfooted(t)[1])
-    return tree.select("document_id", "statement", "category", "coa_id", "leaf_id", "leaf_label", F.round("fy1", 2).alias("fy1"), F.round("fy2", 2).alias("fy2"), "confidence")
+    return tree(t).select("document_id", "statement", "category", "coa_id", "leaf_id", "leaf_label", F.round("fy1", 2).alias("fy1"), F.round("fy2", 2).alias("fy2"), "confidence", "reconciles", "missing_leaf", "page", "note_ref")
+
+
+@query("f16_tree_sections", """SELECT document_id, statement, category, count(*) FILTER (leaf_id IS NULL) AS n_lines, count(leaf_id) AS n_leaves, round(sum(fy1) FILTER (leaf_id IS NULL), 2) AS fy1,
+  count(*) FILTER (reconciles) AS n_reconciled, count(*) FILTER (NOT reconciles) AS n_failed, count(*) FILTER (missing_leaf) AS n_missing_leaf FROM tree GROUP BY ALL""", COA, {**AG, **{k: v for k, v in CROSSFOOT.items() if k != "routed"}, "tree": _TREE})
+def f16b(t):
+    return V.tree_sections(tree(t)).select("document_id", "statement", "category", "n_lines", "n_leaves", F.round("fy1", 2).alias("fy1"), "n_reconciled", "n_failed", "n_missing_leaf")
 
 
 @query("f17_fy12", FY.format(k="extraction_id", t="fx_row_values"), ("fx_row_values",))
