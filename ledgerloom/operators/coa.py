@@ -95,6 +95,24 @@ def route(rows: DataFrame, answers: DataFrame, learned: DataFrame | None = None,
         "learned_id": F.when(by_learning, F.col("learned_id"))}).drop("_a_id", "_a_conf", "_l_id", "_l_conf")
 
 
+def queue_items(routed: DataFrame, suggestions: DataFrame, ambiguities: DataFrame | None = None) -> DataFrame:
+    """Rows for review (unmapped, not_spread) with what their answer offered.
+
+    suggestions: all of a pending row's candidates in order, as (coa_id, score, reason); ambiguity_note: its
+    ambiguities (document_id, extraction_id, ambiguities) joined by '; ', and for rows that are not spread the fixed note.
+    """
+    keys = ["document_id", "extraction_id"]
+    waits = F.col("status") == "unmapped"
+    reason = (F.col("reason") if "reason" in suggestions.columns else F.lit(None).cast("string")).alias("reason")
+    offered = suggestions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cand_rank", "coa_id", "score", reason))).alias("suggestions"))
+    q = routed.filter(F.col("status").isin("unmapped", "not_spread")).join(offered, keys, "left")
+    q = q if ambiguities is None else q.join(ambiguities.select(*keys, "ambiguities"), keys, "left")
+    said = F.lit("") if ambiguities is None else F.coalesce(F.array_join("ambiguities", "; "), F.lit(""))
+    none = F.array().cast(offered.schema["suggestions"].dataType)
+    q = q.withColumns({"suggestions": F.when(waits, F.coalesce("suggestions", none)).otherwise(none), "ambiguity_note": F.when(waits, said).otherwise(F.col("gate_note"))})
+    return q.select(*routed.columns, "suggestions", "ambiguity_note")
+
+
 def apply_sign(mapped_values: DataFrame, coa: DataFrame) -> DataFrame:
     """Contra and negative lines become −|value|; `changed` tells whether this value changed."""
     signs = coa.select("coa_id", "sign_convention")

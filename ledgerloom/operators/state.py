@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import exprs as X
-from .coa import balance_identity, outcomes
+from .coa import balance_identity, mapping_sources, outcomes
 from .reconcile import crossfoot, group_subtotals
 
 if TYPE_CHECKING:
@@ -165,24 +165,30 @@ def republish(routed: DataFrame, aggregated: DataFrame, heads: DataFrame, pendin
     """Promote pending rows whose best suggestion reaches the threshold into the published mappings.
 
     rows: statuses after the run (auto_mapped); values: published values with the promoted, signed ones added;
-    heads: one row per (document, chart line), new lines with the highest promoted score; balance: the identity over
-    all published values; outcomes: the labels' outcomes with the promoted ones mapped; documents: status.
+    heads: one row per (document, chart line), new lines with the highest promoted score and, where `pending` has
+    best_reason, its reason; sources: labels and row ids of every line, in parts of bounded size, the promoted ones after
+    the mapped ones; balance: the identity over all published values; outcomes: the labels' outcomes with the promoted
+    ones mapped; documents: status.
     """
+    reason = F.coalesce("best_reason", F.lit("")) if "best_reason" in pending.columns else F.lit("")
     up = pending.filter((F.col("best_score") >= threshold) & F.col("best_coa_id").isNotNull() & (F.col("statement_type") != "equity_statement"))
-    up = up.select(*ROW, "raw_label", "statement_type", F.col("best_coa_id").alias("coa_id"), "best_score")
+    up = up.select(*ROW, "raw_label", "statement_type", F.col("best_coa_id").alias("coa_id"), "best_score", reason.alias("best_reason"))
     signs = coa.select("coa_id", "sign_convention")
     more = row_values.join(up.select(*ROW, "coa_id"), ROW).join(signs, "coa_id", "left").select(
         "document_id", "coa_id", "year", X.signed("value", "sign_convention").alias("value"))
     values = aggregated.select("document_id", "coa_id", "year", "value").unionByName(more).groupBy("document_id", "coa_id", "year").agg(F.sum("value").alias("value"))
-    new = up.groupBy("document_id", "coa_id").agg(F.count(F.lit(1)).alias("_n"), F.max("best_score").alias("_score"), F.min("extraction_id").alias("_first"),
-                                                  F.min_by("raw_label", "extraction_id").alias("_label"))
-    h = heads.select("document_id", "coa_id", "aggregated_from", "first_row", "raw_label", "confidence").join(new, ["document_id", "coa_id"], "full")
+    first = F.min_by(F.struct("raw_label", "statement_type"), "extraction_id")
+    new = up.groupBy("document_id", "coa_id").agg(F.count(F.lit(1)).alias("_n"), F.max("best_score").alias("_score"), F.min("extraction_id").alias("_first"), first.alias("_f"),
+                                                  F.max_by("best_reason", F.struct("best_score", -F.col("extraction_id"))).alias("_reason"))
+    h = heads.select("document_id", "coa_id", "aggregated_from", "first_row", "raw_label", "statement_type", "confidence", "mapping_source", "rationale_note").join(new, ["document_id", "coa_id"], "full")
+    promoted = F.trim(F.concat(F.col("_reason"), F.format_string(" [Threshold-promoted at %.2f.]", F.lit(threshold))))
     h = h.select("document_id", "coa_id", (F.coalesce("aggregated_from", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("aggregated_from"),
-                 F.coalesce("first_row", "_first").alias("first_row"), F.coalesce("raw_label", "_label").alias("raw_label"),
-                 F.coalesce("confidence", "_score").alias("confidence"),
-                 F.when(F.col("aggregated_from").isNull(), F.format_string("[Threshold-promoted at %.2f.]", F.lit(threshold))).otherwise("").alias("rationale_note"))
+                 F.coalesce("first_row", "_first").alias("first_row"), F.coalesce("raw_label", "_f.raw_label").alias("raw_label"), F.coalesce("statement_type", "_f.statement_type").alias("statement_type"),
+                 F.coalesce("confidence", "_score").alias("confidence"), F.coalesce("mapping_source", F.lit("model")).alias("mapping_source"),
+                 F.when(F.col("aggregated_from").isNull(), promoted).otherwise(F.col("rationale_note")).alias("rationale_note"))
+    sources = mapping_sources(routed).withColumn("promoted", F.lit(False)).unionByName(mapping_sources(up.withColumn("status", F.lit("mapped"))).withColumn("promoted", F.lit(True)))
     flag = up.select(*ROW, F.lit(True).alias("_up"))
     rows = routed.join(flag, ROW, "left").withColumn("status", F.when(F.col("_up"), "auto_mapped").otherwise(F.col("status"))).drop("_up")
     docs = rows.groupBy("document_id").agg(F.count_if(F.col("status") == "auto_mapped").alias("promoted"), F.count_if(F.col("status") == "unmapped").alias("unmapped_count"))
-    return {"rows": rows, "values": values, "heads": h, "balance": balance_identity(values, coa), "outcomes": promoted_outcomes(outcomes(routed), up),
+    return {"rows": rows, "values": values, "heads": h, "sources": sources, "balance": balance_identity(values, coa), "outcomes": promoted_outcomes(outcomes(routed), up),
             "documents": docs.withColumn("spread_status", F.when(F.col("unmapped_count") == 0, "spread_complete").otherwise("has_unmapped"))}

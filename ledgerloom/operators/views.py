@@ -149,13 +149,20 @@ def mapped_rows_view(mapped: DataFrame, rows: DataFrame, review_status: str | No
     return m.join(rows, ROW, "left")
 
 
-def unmapped_view(items: DataFrame, suggestions: DataFrame, coa: DataFrame, pending_only: bool = False, k: int = 3) -> DataFrame:
-    """Items not mapped with their k best suggestions, one row per suggestion, named from the chart."""
+def unmapped_view(items: DataFrame, suggestions: DataFrame, coa: DataFrame, pending_only: bool = False, k: int = 3, pages: DataFrame | None = None) -> DataFrame:
+    """Items not mapped with their k best suggestions, one row per suggestion, named and defined from the chart.
+
+    `pages` (document_id, extraction_id, page) says where an item's first source row stands; 0 where it is not known.
+    """
     states = ["unmapped"] if pending_only else ["unmapped", "not_spread"]
     i = items.filter(F.col("status").isin(states)).select(*ROW, "raw_label", "statement_type", "status")
-    s = top_k(suggestions.join(coa.select("coa_id", F.col("line_item_name").alias("coa_name")), "coa_id", "left"), ROW, [F.desc("score"), F.col("cand_rank")], k, "suggestion_no")
-    j = i.join(s.select(*ROW, "suggestion_no", "coa_id", "coa_name", "score"), ROW, "left")
-    return in_documents(j, "status", "raw_label", *ROW, "suggestion_no")
+    extra = ["page"] if pages is not None else []
+    if pages is not None:
+        i = i.join(pages.select(*ROW, "page"), ROW, "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    named = coa.select("coa_id", F.col("line_item_name").alias("coa_name"), *(["definition"] if "definition" in coa.columns else []))
+    s = top_k(suggestions.join(named, "coa_id", "left"), ROW, [F.desc("score"), F.col("cand_rank")], k, "suggestion_no")
+    j = i.join(s.select(*ROW, "suggestion_no", *named.columns, "score"), ROW, "left")
+    return in_documents(j, "status", "raw_label", *ROW, *extra, "suggestion_no")
 
 
 def confidence_rows(heads: DataFrame, coa: DataFrame) -> DataFrame:

@@ -203,7 +203,8 @@ REP = {**AG, **PE, "up": UP}
 
 
 def republished(t):
-    return S.republish(routed(t), aggregated(t), A.mapping_heads(routed(t)), pending(t), t.row_values, t.coa)
+    waiting = pending(t).withColumn("best_reason", F.concat(F.lit("Row "), F.col("extraction_id").cast("string"), F.lit(" fits.")))
+    return S.republish(routed(t), aggregated(t), A.mapping_heads(routed(t)), waiting, t.row_values, t.coa)
 
 
 @query("f09_republish_values", """SELECT document_id, coa_id, year, round(sum(value), 2) AS value FROM (SELECT document_id, coa_id, year, value FROM signed
@@ -212,19 +213,28 @@ def f09(t):
     return republished(t)["values"].withColumn("value", F.round("value", 2))
 
 
-@query("f09_republish_heads", """SELECT document_id, coa_id, coalesce(n1, 0) + coalesce(n2, 0) AS aggregated_from, coalesce(c1, c2) AS confidence, CASE WHEN n1 IS NULL THEN '[Threshold-promoted at 0.55.]' ELSE '' END AS rationale_note
-FROM (SELECT document_id, coa_id, count(*) AS n1, arg_min(confidence, extraction_id) AS c1 FROM routed WHERE status = 'mapped' GROUP BY ALL) a
-FULL JOIN (SELECT document_id, coa_id, count(*) AS n2, max(best_score) AS c2 FROM up GROUP BY ALL) b USING (document_id, coa_id)""", SUG, REP)
+@query("f09_republish_heads", """SELECT document_id, coa_id, coalesce(n1, 0) + coalesce(n2, 0) AS aggregated_from, coalesce(c1, c2) AS confidence, coalesce(l1, l2) AS raw_label, coalesce(s1, s2) AS statement_type, 'model' AS mapping_source,
+  CASE WHEN n1 IS NULL THEN concat('Row ', e2, ' fits. [Threshold-promoted at 0.55.]') WHEN n1 > 1 THEN concat('[Aggregated from ', n1, ' source rows.]') ELSE '' END AS rationale_note
+FROM (SELECT document_id, coa_id, count(*) AS n1, arg_min(confidence, extraction_id) AS c1, arg_min(raw_label, extraction_id) AS l1, arg_min(statement_type, extraction_id) AS s1 FROM routed WHERE status = 'mapped' GROUP BY ALL) a
+FULL JOIN (SELECT u.document_id, u.coa_id, count(*) AS n2, max(best_score) AS c2, arg_min(u.raw_label, u.extraction_id) AS l2, arg_min(r.statement_type, u.extraction_id) AS s2, arg_max(u.extraction_id, (best_score, -u.extraction_id)) AS e2
+  FROM up u JOIN fx_rows r USING (document_id, extraction_id) GROUP BY ALL) b USING (document_id, coa_id)""", SUG, REP)
 def f09b(t):
-    return republished(t)["heads"].select("document_id", "coa_id", "aggregated_from", "confidence", "rationale_note")
+    return republished(t)["heads"].select("document_id", "coa_id", "aggregated_from", "confidence", "raw_label", "statement_type", "mapping_source", "rationale_note")
 
 
-_PUBLISHED = """SELECT document_id, coa_id, year, value FROM signed UNION ALL
-SELECT v.document_id, u.coa_id, v.year, CASE WHEN c.sign_convention = 'contra' THEN -abs(v.value) ELSE v.value END FROM up u JOIN fx_row_values v USING (document_id, extraction_id) JOIN fx_coa c ON c.coa_id = u.coa_id"""
+@query("f09_republish_sources", """SELECT document_id, coa_id, promoted, CAST((extraction_id - 1) // 10000 AS INT) AS part_no, string_agg(raw_label, ' + ' ORDER BY extraction_id) AS labels, string_agg(extraction_id::VARCHAR, ',' ORDER BY extraction_id) AS ids
+FROM (SELECT document_id, coa_id, extraction_id, raw_label, false AS promoted FROM routed WHERE status = 'mapped' UNION ALL SELECT document_id, coa_id, extraction_id, raw_label, true FROM up) x GROUP BY ALL""", SUG, REP)
+def f09f(t):
+    return republished(t)["sources"].select("document_id", "coa_id", "promoted", "part_no", "labels", F.array_join("source_extraction_ids", ",").alias("ids"))
+
+
+# Strings are made anew on the way: DuckDB's dictionary cache sometimes fails on those of a union's two sides.
+_PUBLISHED = """SELECT document_id, coa_id || '' AS coa_id, year || '' AS year, value FROM signed UNION ALL
+SELECT v.document_id, u.coa_id || '', v.year || '', CASE WHEN c.sign_convention = 'contra' THEN -abs(v.value) ELSE v.value END FROM up u JOIN fx_row_values v USING (document_id, extraction_id) JOIN fx_coa c ON c.coa_id = u.coa_id"""
 
 
 @query("f09_republish_balance", "SELECT document_id, year, round(total_assets, 2) AS total_assets, difference, is_balanced FROM bal", SUG,
-       {**REP, "published": _PUBLISHED, "bal": BALANCE.replace("FROM signed s", "FROM published s")})
+       {**REP, "published": _PUBLISHED, "bal": BALANCE.replace("FROM signed s JOIN fx_coa c", "FROM published s JOIN (SELECT coa_id || '' AS coa_id, broad_category || '' AS broad_category, is_subtotal, statement FROM fx_coa) c")})
 def f09d(t):
     return republished(t)["balance"].select("document_id", "year", F.round("total_assets", 2).alias("total_assets"), "difference", "is_balanced")
 

@@ -9,6 +9,7 @@ from ..functions import exprs as X
 from ..operators import analytics as N
 from ..operators import coa as A
 from ..operators import pages as P
+from ..operators import reconcile as Q
 from ..operators import rows as W
 from ..operators import views as V
 from ..operators.ordered import in_documents
@@ -138,22 +139,24 @@ def f07(t):
     return N.unmapped_counts(analysis(t))
 
 
-@query("f08_recon_flat", """SELECT document_id, statement_type, subtotal_id, CAST(0 AS INT) AS component_id, raw_label, CASE WHEN passed THEN 'PASS' WHEN NOT passed THEN 'FAIL' ELSE 'INCOMPLETE' END AS verdict, method,
-  round(difference, 2) + 0.0 AS difference, NULL AS status FROM report
-UNION ALL SELECT document_id, statement_type, subtotal_id, component_id, raw_label, NULL, NULL, NULL, status FROM states""", COA, CROSSFOOT)
+_FLAT = """SELECT s.document_id, s.statement_type, s.subtotal_id, NULL::INT AS component_id, s.raw_label AS line_item, NULL::VARCHAR AS status, NULL::VARCHAR AS coa_id, NULL::VARCHAR AS coa_name, NULL::DOUBLE AS confidence,
+  y.extracted AS value, round(coalesce(y.total, NULL), 2) AS computed, round(y.difference, 2) + 0.0 AS difference, CASE WHEN s.passed THEN 'PASS' WHEN NOT s.passed THEN 'FAIL' ELSE 'INCOMPLETE' END AS result, s.method,
+  coalesce(m.n, 0) AS n_missing, CASE WHEN coalesce(m.n, 0) > 0 THEN 'unmapped component' ELSE '' END AS flags
+FROM report s LEFT JOIN years y ON y.document_id = s.document_id AND y.subtotal_id = s.subtotal_id AND y.year = s.headline
+LEFT JOIN (SELECT document_id, subtotal_id, count(*) FILTER (status <> 'mapped') AS n FROM states GROUP BY ALL) m ON m.document_id = s.document_id AND m.subtotal_id = s.subtotal_id
+UNION ALL SELECT c.document_id, c.statement_type, c.subtotal_id, c.component_id, c.raw_label, c.status, o.coa_id, k.line_item_name, o.confidence, v.value, NULL, NULL, NULL, NULL, NULL, CASE WHEN f.flipped THEN 'SIGN FLIP' ELSE '' END
+FROM states c JOIN report s ON s.document_id = c.document_id AND s.subtotal_id = c.subtotal_id
+LEFT JOIN (SELECT document_id, lower(trim(raw_label)) AS label, statement_type, arg_max_null(coa_id, extraction_id) AS coa_id, arg_max_null(confidence, extraction_id) AS confidence FROM routed WHERE status <> 'skipped' GROUP BY ALL) o
+  ON o.document_id = c.document_id AND o.label = lower(trim(c.raw_label)) AND o.statement_type = c.statement_type
+LEFT JOIN fx_coa k ON k.coa_id = o.coa_id LEFT JOIN rv v ON v.document_id = c.document_id AND v.id = c.component_id AND v.year = s.headline
+LEFT JOIN (SELECT document_id, extraction_id, bool_or(raw_value <> 0 AND (raw_value < 0) <> (value < 0)) AS flipped FROM signed GROUP BY ALL) f ON f.document_id = c.document_id AND f.extraction_id = c.component_id"""
+
+
+@query("f08_recon_flat", _FLAT, COA, {**SG, **{k: v for k, v in CROSSFOOT.items() if k != "routed"}})
 def f08(t):
-    """A subtotal row followed by its component rows."""
-    comps, subs = grouped(t)
-    _, report = crossfooted(t)
-    verdict = F.when(F.col("passed"), "PASS").when(~F.col("passed"), "FAIL").otherwise("INCOMPLETE")
-    o = A.outcomes(routed(t)).select("document_id", "label", "statement_type", F.col("status").alias("st"))
-    top = report.select("document_id", "statement_type", "subtotal_id", F.lit(0).alias("component_id"), "raw_label", verdict.alias("verdict"), "method",
-                        (F.round("difference", 2) + 0.0).alias("difference"), F.lit(None).cast("string").alias("status"))
-    names = t.rows.select("document_id", F.col("extraction_id").alias("component_id"), "raw_label")
-    c = comps.join(names, ["document_id", "component_id"]).withColumn("label", F.lower(F.trim("raw_label"))).join(o, ["document_id", "label", "statement_type"], "left")
-    sub = c.select("document_id", "statement_type", "subtotal_id", "component_id", "raw_label", F.lit(None).cast("string").alias("verdict"),
-                   F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("difference"), F.coalesce("st", F.lit("absent")).alias("status"))
-    return in_documents(top.unionByName(sub), "statement_type", "subtotal_id", "component_id")
+    years, report = crossfooted(t)
+    flat = Q.recon_flat(grouped(t)[0], report, years, t.rows, t.row_values, A.outcomes(routed(t)), t.coa, Q.sign_flip(t.row_values, signed(t)))
+    return flat.withColumns({"computed": F.round("computed", 2), "difference": F.round("difference", 2) + 0.0})
 
 
 USED = "SELECT *, regexp_replace(model, '^.*\\.', '') AS m FROM fx_usage"
@@ -313,6 +316,30 @@ def f21(t):
     return V.unmapped_view(routed(t), t.suggestions, t.coa).select("document_id", "extraction_id", "status", "raw_label", "suggestion_no", "coa_id", "coa_name", "score")
 
 
+@query("f21_unmapped_detail", """SELECT r.document_id, r.extraction_id, r.raw_label, r.section_no + 1 AS page, CAST(s.rn AS INT) AS suggestion_no, s.coa_id, s.coa_name, s.definition, s.score FROM routed r
+LEFT JOIN (SELECT x.*, c.line_item_name AS coa_name, 'Lines named ' || c.line_item_name AS definition, row_number() OVER (PARTITION BY document_id, extraction_id ORDER BY score DESC, cand_rank) AS rn FROM fx_suggestions x JOIN fx_coa c USING (coa_id)) s
+  ON s.document_id = r.document_id AND s.extraction_id = r.extraction_id AND s.rn <= 3 WHERE r.status = 'unmapped'""", SUG, RT)
+def f21b(t):
+    coa = t.coa.withColumn("definition", F.concat(F.lit("Lines named "), F.col("line_item_name")))
+    pages = t.rows.select("document_id", "extraction_id", (F.col("section_no") + 1).cast("int").alias("page"))
+    return V.unmapped_view(routed(t), t.suggestions, coa, pending_only=True, pages=pages).select("document_id", "extraction_id", "raw_label", "page", "suggestion_no", "coa_id", "coa_name", "definition", "score")
+
+
+_QUEUE = """SELECT r.document_id, r.extraction_id, r.status, s.suggestions, CASE WHEN r.status = 'unmapped' THEN
+    concat_ws('; ', CASE WHEN r.extraction_id % 2 = 0 THEN 'short label' END, CASE WHEN r.section_no > 2 THEN 'several sections fit' END) ELSE '{note}' END AS ambiguity_note
+FROM routed r LEFT JOIN (SELECT document_id, extraction_id, string_agg(coa_id || '=' || printf('%.2f', score), ' ' ORDER BY cand_rank) AS suggestions FROM fx_suggestions GROUP BY ALL) s
+  ON r.status = 'unmapped' AND s.document_id = r.document_id AND s.extraction_id = r.extraction_id WHERE r.status IN ('unmapped', 'not_spread')"""
+
+
+@query("e08_queue", _QUEUE.format(note=R.EQUITY_NOTE.replace("'", "''")), SUG, RT)
+def e08b(t):
+    """Queued rows with all their suggestions and the ambiguities of their answers."""
+    notes = t.rows.select("document_id", "extraction_id", F.array_compact(F.array(F.when(F.col("extraction_id") % 2 == 0, "short label"), F.when(F.col("section_no") > 2, "several sections fit"))).alias("ambiguities"))
+    q = A.queue_items(routed(t), t.suggestions, notes)
+    listed = F.array_join(F.transform("suggestions", lambda s: F.concat(s["coa_id"], F.lit("="), F.format_string("%.2f", s["score"]))), " ")
+    return q.select("document_id", "extraction_id", "status", F.when(F.size("suggestions") > 0, listed).alias("suggestions"), "ambiguity_note")
+
+
 HEADS = """SELECT document_id, coa_id, arg_min(confidence, extraction_id) AS confidence, arg_min(raw_label, extraction_id) AS raw_label FROM routed WHERE status = 'mapped' GROUP BY ALL"""
 
 
