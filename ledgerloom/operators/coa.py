@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import exprs as X
+from ..session import materialise
 from .ordered import part_no, top_k
 from .similar import similar_lines, words_of
 
 BALANCE_TOLERANCE = 0.001
 ROWS_PER_PART = 10_000
+#: Lines of a chart in one value.
+CHART_LINES = 1000
 
 
 def gate_rows(rows: DataFrame) -> DataFrame:
@@ -221,16 +224,21 @@ def category_subtotals(values: DataFrame, coa: DataFrame, rollup: bool = False)
     return v.groupBy("document_id", "statement", "broad_category", "year").agg(F.sum("value").alias("total"))
 
 
-def format_spread(documents: DataFrame, aggregated: DataFrame, heads: DataFrame, coa: DataFrame) -> DataFrame:
+def format_spread(documents: DataFrame, aggregated: DataFrame, heads: DataFrame, coa: DataFrame, lines_per_part: int = CHART_LINES) -> DataFrame:
     """The whole chart for every document, blanks where nothing is mapped, one row per line and year.
 
-    The chart is one bounded array value, attached to each document and exploded; no join of all pairs.
+    The chart lies in numbered parts of `lines_per_part` lines; every document meets each part by an equi-join on its
+    number, so that no value holds a whole chart.
     """
-    order = F.struct(F.split_part("coa_id", F.lit("-"), F.lit(1)).alias("prefix"),
-                     F.split_part("coa_id", F.lit("-"), F.lit(2)).cast("int").alias("no"), "coa_id", "line_item_name", "statement")
-    chart = coa.agg(F.array_sort(F.collect_list(order))).scalar()
-    lines = documents.select("document_id", F.posexplode(chart).alias("line_no", "c")).select(
-        "document_id", (F.col("line_no") + 1).alias("line_no"), "c.coa_id", "c.line_item_name", "c.statement")
+    order = [F.split_part("coa_id", F.lit("-"), F.lit(1)), F.split_part("coa_id", F.lit("-"), F.lit(2)).cast("int"), F.col("coa_id")]
+    chart = coa.select("coa_id", "line_item_name", "statement")
+    # A chart of accounts is numbered once, whatever the number of documents.
+    chart = chart.withColumn("line_no", F.row_number().over(Window.orderBy(*order, "line_item_name", "statement")))
+    chart = chart.withColumn("_part", F.floor((F.col("line_no") - 1) / lines_per_part).cast("int"))
+    parts = materialise(chart.groupBy("_part").agg(F.array_sort(F.collect_list(F.struct("line_no", "coa_id", "line_item_name", "statement"))).alias("_lines")))
+    last = parts.agg(F.max("_part")).first()[0]
+    wanted = documents.select("document_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
+    lines = wanted.join(parts, "_part").select("document_id", F.inline("_lines"))
     h = heads.select("document_id", "coa_id", "confidence", "mapping_source")
     v = aggregated.select("document_id", "coa_id", "year", "value")
     return lines.join(h, ["document_id", "coa_id"], "left").join(v, ["document_id", "coa_id"], "left")

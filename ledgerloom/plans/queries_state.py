@@ -15,6 +15,7 @@ from ..session import materialise, work_dir
 from ..sources import intake, readers
 from ..sources.buckets import BucketTable
 from ..streaming import decisions as D
+from ..streaming import stages as G
 from ..streaming import streams as T
 from .catalog import query
 from .queries_canonical import CAN, SC, scored
@@ -401,3 +402,14 @@ def a11b(t):
 def a11c(t):
     loaded, (rows, _, _) = delivered(t)
     return loaded.unionByName(rows).select("document_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query("g04_latest_stage_expiring", "SELECT document_id, arg_max(stage, (ts, event_id)) AS stage FROM fx_usage GROUP BY 1", ("fx_usage",))
+def g04b(t):
+    """Every change of stage as appended rows; the delay covers the table, as its files arrive in no order."""
+    out, check = _folder(t, "stages"), _folder(t, "stages-check")
+    s = _as_stream(t, t.usage.select("document_id", "stage", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "stage-in", "ts")
+    with D.keyed_state(t.spark):
+        T.run_to_end(G.latest_stages(s, "3650 days"), "append", out, check)
+    r = t.spark.read.parquet(out)
+    return r.groupBy("document_id").agg(F.max_by("stage", F.struct("ms", "event_id")).alias("stage"))
