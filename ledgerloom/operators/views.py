@@ -235,10 +235,11 @@ def years_of(row_values: DataFrame) -> list[str]:
     return sorted((r.year for r in row_values.select("year").distinct().collect() if r.year is not None), reverse=True)
 
 
-def statement_sheet(rows: DataFrame, row_values: DataFrame, documents: DataFrame, years: list[str] | None = None) -> DataFrame:
+def statement_sheet(rows: DataFrame, row_values: DataFrame, documents: DataFrame, years: list[str] | None = None, scores: DataFrame | None = None) -> DataFrame:
     """One row per line with a column per year and, in other currencies than USD, per year in USD; newest year first.
 
-    Without `years` the columns are all year keys of the values.
+    Without `years` the columns are all year keys of the values. `scores` (document_id, extraction_id, confidence) adds the
+    confidence, to two places.
     """
     years = years_of(row_values) if years is None else years
     usd = X.to_usd("value", "currency_code")
@@ -247,7 +248,8 @@ def statement_sheet(rows: DataFrame, row_values: DataFrame, documents: DataFrame
     pick = [e for y in sorted(years, reverse=True) for e in (
         F.max(F.when(F.col("year") == y, F.col("value"))).alias(y),
         F.max(F.when((F.col("year") == y) & (F.col("currency_code") != "USD"), usd)).alias(f"{y}_USD"))]
-    return rows.join(v.groupBy(*ROW).agg(*pick), ROW, "left")
+    lines = rows if scores is None else rows.join(scores.select(*ROW, F.round("confidence", 2).alias("confidence")), ROW, "left")
+    return lines.join(v.groupBy(*ROW).agg(*pick), ROW, "left")
 
 
 def _unpivot(counts: DataFrame, keys: list[str], name: str = "metric") -> DataFrame:
@@ -282,13 +284,18 @@ def raw_sheet(rows: DataFrame, row_values: DataFrame) -> DataFrame:
 
 
 def unmapped_sheet(items: DataFrame, suggestions: DataFrame, row_values: DataFrame, years: list[str] | None = None) -> DataFrame:
-    """Unmapped rows with a column per year, the best suggestion and all other suggestions as text."""
+    """Unmapped rows with a column per year, their source row ids, the best suggestion and all other suggestions as text.
+
+    An item of several source rows has them in source_extraction_ids; any other is its own.
+    """
     years = years_of(row_values) if years is None else years
     s = suggestions.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "cand_rank", "coa_id"))).alias("s"))
     text = F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda e: F.concat(e["coa_id"], F.lit(" ("), F.format_string("%.2f", -e["neg"]), F.lit(")"))), ", ")
     s = s.select(*ROW, F.col("s")[0]["coa_id"].alias("best"), text.alias("others"))
     v = row_values.groupBy(*ROW).agg(*[F.max(F.when(F.col("year") == y, F.col("value"))).alias(y) for y in sorted(years, reverse=True)])
-    return items.filter("status IN ('unmapped', 'not_spread')").select(*ROW, "raw_label", "statement_type", "status").join(s, ROW, "left").join(v, ROW, "left")
+    ids = F.array_join("source_extraction_ids", ", ") if "source_extraction_ids" in items.columns else F.col("extraction_id").cast("string")
+    waiting = items.filter("status IN ('unmapped', 'not_spread')").select(*ROW, "raw_label", "statement_type", "status", ids.alias("source_ids"))
+    return waiting.join(s, ROW, "left").join(v, ROW, "left")
 
 
 def status_tallies(mapped: DataFrame, checks: DataFrame, page_summary: DataFrame) -> DataFrame:

@@ -468,6 +468,14 @@ def f33(t):
     return s.select("document_id", "extraction_id", "raw_label", cells.alias("c")).select("document_id", "extraction_id", "raw_label", "c.year", "c.value", "c.usd").filter("value IS NOT NULL")
 
 
+@query("f33_sheet_with_confidence", """SELECT r.document_id, r.extraction_id, r.raw_label, round(r.confidence, 2) AS confidence, count(v.value) AS n_values FROM routed r
+LEFT JOIN fx_row_values v ON v.document_id = r.document_id AND v.extraction_id = r.extraction_id GROUP BY r.document_id, r.extraction_id, r.raw_label, r.confidence""", COA, RT)
+def f33b(t):
+    s = V.statement_sheet(t.rows, t.row_values, t.documents, scores=routed(t).select("document_id", "extraction_id", "confidence"))
+    filled = sum((F.col(f"`{y}`").isNotNull().cast("bigint") for y in V.years_of(t.row_values)), F.lit(0).cast("bigint"))
+    return s.select("document_id", "extraction_id", "raw_label", "confidence", filled.alias("n_values"))
+
+
 @query("f34_summary_sheet", """UNPIVOT (SELECT a.*, b.checks_passed, b.checks_failed FROM (SELECT document_id, count(*) AS total, count(*) FILTER (review_status = 'auto_approved') AS auto_approved,
   count(*) FILTER (review_status = 'needs_review') AS needs_review, count(*) FILTER (score >= 0.80) AS at_least_080 FROM sc GROUP BY 1) a
 LEFT JOIN (SELECT document_id, count(*) FILTER (status = 'passed') AS checks_passed, count(*) FILTER (status = 'failed') AS checks_failed FROM ck GROUP BY 1) b USING (document_id))
@@ -507,6 +515,15 @@ def f37(t):
     return s.select("document_id", "extraction_id", "status", "best", F.coalesce("others", F.lit("")).alias("others"), "1995", "1998")
 
 
+@query("f37_unmapped_sheet_whole", """SELECT r.document_id, r.extraction_id, r.extraction_id::VARCHAR AS source_ids, v.year, v.value FROM routed r JOIN fx_row_values v USING (document_id, extraction_id)
+WHERE r.status IN ('unmapped', 'not_spread') AND v.value IS NOT NULL""", SUG, RT)
+def f37d(t):
+    """Every year column of the sheet, turned back into rows."""
+    s, years = V.unmapped_sheet(routed(t), t.suggestions, t.row_values), V.years_of(t.row_values)
+    cells = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"`{y}`").alias("value")) for y in years]))
+    return s.select("document_id", "extraction_id", "source_ids", cells.alias("c")).select("document_id", "extraction_id", "source_ids", "c.year", "c.value").filter("value IS NOT NULL")
+
+
 @query("f37_confidence_sheet", "SELECT h.document_id, h.coa_id, round(h.confidence, 2) AS confidence, CASE WHEN h.confidence >= 0.9 THEN 'green' WHEN h.confidence >= 0.75 THEN 'amber' WHEN h.confidence >= 0.6 THEN 'orange' ELSE 'red' END AS band FROM h", COA, {**RT, "h": HEADS})
 def f37b(t):
     h = V.confidence_rows(A.mapping_heads(routed(t)), t.coa)
