@@ -202,12 +202,15 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
     grams = spark.sparkContext.broadcast(known_grams(docs) if learnt and rate else None)
     kept = docs.select(*keep)
     names = [*kept.columns, *results]
+    # The text is sent once, whether it is kept or not.
+    width = len(kept.columns)
+    place = kept.columns.index("text") if "text" in kept.columns else width
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, presence = Model(*shared.value) if shared.value else None, Presence()
         for batch in batches:
             for part in sliced(batch, ROWS):
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = [t if t is None else t.decode("utf-8", "replace") for t in part.column(place).cast(pa.binary()).to_pylist()]
                 found = [presence(t) for t in texts]
                 langs, scores, known = [UNDETERMINED] * len(found), np.zeros(len(found)), np.zeros(len(found))
                 rows = [i for i, f in enumerate(found) if f is not None] if model else []
@@ -220,10 +223,11 @@ def identify(docs: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS, ke
                         known[rows] = [grams.value[presence.occurrences(texts[i])].mean() for i in rows]
                     for i, k in zip(rows, best, strict=True):
                         langs[i] = model.languages[k]
-                yield pa.record_batch([*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(known) if rate else pa.nulls(len(found), pa.float64())], names=names)
+                yield pa.record_batch([*part.columns[:width], pa.array(langs), pa.array(scores), pa.array(known) if rate else pa.nulls(len(found), pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", {results[0]} string, {results[1]} double, {results[2]} double"
-    return docs.select(*keep, F.make_valid_utf8("text").alias("__text")).mapInArrow(predicted, schema)
+    sent = [*keep] if place < width else [*keep, F.col("text").alias("__text")]
+    return docs.select(*sent).mapInArrow(predicted, schema)
 
 
 def keep_known(docs: DataFrame, known: float = KNOWN) -> DataFrame:
