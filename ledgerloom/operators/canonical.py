@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from ..session import materialise
 from .ordered import running, top_k
 from .textjoin import contains_join
 
@@ -29,7 +30,8 @@ def dictionary_lookup(rows: DataFrame, rules: DataFrame, label: str = "normalize
     best = F.struct("canonical_field", F.col("rule_confidence").alias("confidence"), tier.alias("tier"))
     exact = (labels.join(r, (labels[label] == r["rule_label"]) & fits).groupBy("template_type", label)
              .agg(F.min_by(best, F.struct(tier.alias("a"), F.col("rule_ord"))).alias("b")).select("template_type", label, "b.*"))
-    rest = labels.join(exact, ["template_type", label], "left_anti")
+    # Written once: both substring joins read them several times.
+    rest, r = materialise(labels.join(exact, ["template_type", label], "left_anti")), materialise(r)
     either = contains_join(rest, label, r, "rule_label").unionByName(contains_join(r, "rule_label", rest, label)).filter(
         fits & (F.col(label) != F.col("rule_label")))
     partial = F.struct("canonical_field", F.greatest(F.col("rule_confidence") - SUBSTRING_PENALTY, F.lit(SUBSTRING_FLOOR)).alias("confidence"),
