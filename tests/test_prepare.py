@@ -3,10 +3,7 @@
 import datetime as dt
 from collections import defaultdict
 
-from pyspark.sql import functions as F
-
-from ledgerloom.operators import ordered as O
-from ledgerloom.plans.adapters import ROW_COLS, Tables
+from ledgerloom.plans.adapters import ROW_COLS, tables
 
 
 def write(spark, folder, lines=400):
@@ -37,7 +34,7 @@ def expected(part, orders, line):
 
 def test_rows_and_values_with_null_keys_are_written_once(spark, tmp_path):
     want = expected(*write(spark, tmp_path))
-    t = Tables(spark, str(tmp_path))
+    t = tables(spark, str(tmp_path))
     rows = [tuple(r) for r in t.rows.select("document_id", "statement_type", "section_no", "raw_label", "is_subtotal", "extraction_id").collect()]
     assert sorted(map(str, {k[:5] for k in want})) == sorted(str(r[:5]) for r in rows)
     low = lambda v: (v is not None, v)  # nulls first
@@ -50,9 +47,11 @@ def test_rows_and_values_with_null_keys_are_written_once(spark, tmp_path):
     assert set(t._stages) == {"rows"}, "line items are written once, not as values, rows and rows with values"
 
 
-def test_number_chunks_equals_number_rows(spark):
-    rows = [(None if i % 7 == 0 else f"d{i % 3}", None if i % 5 == 0 else i // 50, i) for i in range(500)]
-    df = spark.createDataFrame(rows, "doc string, chunk int, k int").repartition(5)
-    want = O.number_rows(df, ["doc"], ["chunk"], ["k"], "no").select("k", "no").collect()
-    got = O.number_chunks(df.withColumn("key", F.struct("doc", "chunk")), "key", ["doc"], ["chunk"], ["k"], "no").select("k", "no").collect()
-    assert sorted(got) == sorted(want)
+
+def test_joins_of_stored_rows_need_no_exchange(spark, tmp_path, capsys):
+    write(spark, tmp_path)
+    t = tables(spark, str(tmp_path))
+    keys = ["document_id", "extraction_id"]
+    t.rows.join(t.row_values.select(*keys, "year"), keys).groupBy("document_id", "statement_type", "year").count().explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Exchange hashpartitioning" not in plan
