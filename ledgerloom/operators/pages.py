@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import exprs as X
+from ..session import materialise
 from .ordered import top_k
 
 HEADING_WINDOW = 2000
@@ -258,17 +259,26 @@ def label_phrases(rules: DataFrame) -> DataFrame:
 def label_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     """(document_id, label, templates): labels found as runs of whole words on a document's pages, once each.
 
-    One pass over the words: a word that begins a phrase is met by an equi-join, the words after it decide, and where
-    several phrases begin the longest counts.
+    The first word of a phrase tells how long the phrases are that it begins; only such runs are met, whole, by an
+    equi-join. Where several phrases begin the longest counts: runs of a place with one length alone are decided at once.
     """
+    phrases = materialise(phrases)
+    lengths = materialise(phrases.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("_sizes")))
     most = phrases.agg(F.max("n")).first()[0] or 1
     tokens = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " ")), " ")
-    p = pages.select("document_id", "page_number", tokens.alias("_tokens"))
+    # A page that comes more than once is decided by place over all its texts.
+    key = [F.col("p.document_id").eqNullSafe(F.col("k.document_id")), F.col("p.page_number").eqNullSafe(F.col("k.page_number"))]
+    again = pages.groupBy("document_id", "page_number").count().filter("count > 1")
+    p = pages.select("document_id", "page_number", tokens.alias("_tokens")).alias("p").join(again.alias("k"), key[0] & key[1], "left").select("p.*", F.col("k.count").isNotNull().alias("_again"))
     places = F.transform("_tokens", lambda w, i: F.struct(i.alias("place"), F.slice("_tokens", i + 1, most).alias("run")))
-    at = p.select("document_id", "page_number", F.inline(places)).withColumn("first", F.get("run", F.lit(0)))
-    found = at.join(phrases, "first").filter(F.slice("run", F.lit(1), F.col("n")) == F.col("words"))
-    longest = found.groupBy("document_id", "page_number", "place").agg(F.max_by(F.struct("label", "templates"), "n").alias("m"))
-    return longest.select("document_id", "m.label", "m.templates").distinct()
+    at = p.select("document_id", "page_number", "_again", F.inline(places)).withColumn("first", F.get("run", F.lit(0))).join(lengths, "first")
+    at = at.withColumn("n", F.explode("_sizes")).filter(F.col("n") <= F.size("run"))
+    at = at.select("document_id", "page_number", "place", "n", ((F.size("_sizes") == 1) & ~F.col("_again")).alias("_alone"), F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("label"))
+    found = at.join(phrases.select("label", "n"), ["label", "n"])
+    alone = found.filter("_alone").select("document_id", "label")
+    longest = found.filter("NOT _alone").groupBy("document_id", "page_number", "place").agg(F.max_by("label", "n").alias("label"))
+    hits = alone.unionByName(longest.select("document_id", "label")).distinct()
+    return hits.join(phrases.select("label", "templates"), "label").select("document_id", "label", "templates")
 
 
 def score_templates(pages: DataFrame, min_score: float = 0.6, rules: DataFrame | None = None) -> DataFrame:

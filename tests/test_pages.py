@@ -116,3 +116,13 @@ def test_label_hits_take_the_longest_phrase(spark):
     assert sorted((r.label, tuple(r.templates)) for r in found) == [("net", ("T2",)), ("total assets", ("T1",)), ("total assets net", ("T1",))]
     scored = P.score_templates(p, rules=rules).first()
     assert (scored.score, scored.template_type) == (0.666667, "T1") and P.score_templates(p).first().template_type == "T0_unknown"
+
+
+def test_label_hits_meet_whole_phrases_only(spark, capsys):
+    """Words that begin many phrases are not paired with each of them."""
+    rules = spark.createDataFrame([(f"T{i % 3}", f"net w{i}") for i in range(300)] + [("T9", "net w1 more"), ("T9", "sole")], "template_type string, rule_label string")
+    p = spark.createDataFrame([(1, 1, "Net w1 more, net w2; sole net"), (1, 1, "other"), (2, 1, "net w1 net w1 sole sole"), (2, 2, "")], "document_id long, page_number int, text string")
+    found = P.label_hits(p, P.label_phrases(rules))
+    assert {(r.document_id, r.label) for r in found.collect()} == {(1, "net w1 more"), (1, "net w2"), (1, "sole"), (2, "net w1"), (2, "sole")} and found.count() == 5
+    found.explain()
+    assert "words" not in capsys.readouterr().out, "phrases are met by their text, not looked through by their first word"
