@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import materialise
 from .ordered import running
 from .textjoin import contains_join
 
@@ -19,10 +20,12 @@ def learned_lookup(rows: DataFrame, learned: DataFrame) -> DataFrame:
 
     Own template, then any template, then a stored label that contains the row's key; newest first.
     Demoted mappings are out. The newest mapping per stored key is taken before the join, and the lookup runs
-    once per distinct (key, statement, template).
+    once per distinct (label, statement, template). Those and what is found for them are written, so that keys are made
+    once per label and the rows stay where they are unless that is large.
     """
-    r = rows.withColumn("label_key", X.label_key("raw_label")).filter("label_key <> ''")
-    wanted = r.select("label_key", "statement_type", "template_type").distinct()
+    raw = ["raw_label", "statement_type", "template_type"]
+    lines = materialise(rows.select(*raw).distinct().withColumn("label_key", X.label_key("raw_label")).filter("label_key <> ''"))
+    wanted = lines.select("label_key", "statement_type", "template_type").distinct()
     live = learned.filter(F.col("times_overridden") < DEMOTED_AT)
     age = F.struct("created_seq", "learned_id")
     pick = F.struct("learned_id", "coa_id", F.col("learned_confidence").alias("confidence"), "times_applied", "times_overridden")
@@ -38,7 +41,8 @@ def learned_lookup(rows: DataFrame, learned: DataFrame) -> DataFrame:
         F.max_by("m", "age").alias("m"))
     loose = rest.join(fuzzy, ["label_key", "statement_type"]).select(*keys, F.lit(3).alias("tier"), "m")
     found = exact.select(*keys, "tier", "m").unionByName(loose).select(*keys, "tier", "m.*")
-    return r.join(found, keys)
+    found = materialise(lines.join(found, keys))
+    return rows.join(found, raw)
 
 
 def apply_learning_feedback(hits: DataFrame, learned: DataFrame, applied_at: str | None = None) -> tuple[DataFrame, DataFrame]:
