@@ -1,5 +1,7 @@
 """Stages on rows that are stored by document: the same results, and documents stay where they are."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from test_prepare import write
@@ -9,7 +11,7 @@ from ledgerloom.operators import learning as L
 from ledgerloom.operators import ordered as O
 from ledgerloom.operators import reconcile as Q
 from ledgerloom.plans.adapters import tables
-from ledgerloom.plans.queries_coa import crossfooted, recon_rows
+from ledgerloom.plans.queries_coa import crossfooted, grouped, recon_rows, routed, signed
 
 
 @pytest.fixture
@@ -73,6 +75,26 @@ def test_crossfoot_years_are_written_once(spark, tmp_path, monkeypatch):
     assert years.count() > 0 and not any("computed" in columns for columns in written)
 
 
+def test_flat_list_joins_its_components_once(spark, tmp_path, capsys):
+    write(spark, tmp_path)
+    t = tables(spark, str(tmp_path))
+    years, report = crossfooted(t)
+    kept = []
+    flat = Q.recon_flat(grouped(t)[0], report, years, t.rows, t.row_values, A.outcomes(routed(t)), t.coa, Q.sign_flip(t.row_values, signed(t)), lambda df: kept.append(df) or t.stored(df))
+    assert len(kept) == 1 and "coa_name" in kept[0].columns and plan_of(flat, capsys).count("Join") <= 2
+    listed = flat.filter("component_id IS NOT NULL").groupBy("subtotal_id", "document_id").agg(F.count_if(F.col("status") != "mapped").alias("n"))
+    tops = flat.filter("component_id IS NULL").select("document_id", "subtotal_id", "n_missing")
+    assert tops.join(listed, ["document_id", "subtotal_id"], "left").filter("n_missing <> coalesce(n, 0)").count() == 0 and tops.count() == report.count() > 0
+
+
+def test_stored_stages_count_for_more_than_their_files(spark, tmp_path):
+    write(spark, tmp_path)
+    t = tables(spark, str(tmp_path))
+    stage = t.stored(spark.range(50_000).select((F.col("id") % 9).alias("document_id"), F.lit("one label").alias("raw_label")))
+    files = sum(f.stat().st_size for f in map(Path, (x.removeprefix("file:") for x in stage.inputFiles())))
+    assert int(str(stage._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 3 * files
+
+
 def test_running_without_chunks_equals_chunks(spark):
     df = spark.sql("SELECT CASE WHEN id % 5 = 0 THEN NULL ELSE id % 5 END AS doc, CAST(id AS INT) AS ord, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 11 END AS v FROM range(300)")
     outs = {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
