@@ -16,11 +16,12 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import sliced
@@ -40,6 +41,8 @@ FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
+#: Rows that are handed on at once: pages, whole archives and whole WARC files; and bytes of a row group of archives.
+BATCH_ROWS, GROUP_BYTES = 8, 4 * ARCHIVE_BYTES
 RECORD = "archive string, start long, page_id long, uri string, date string, media string, head binary, payload binary, record_id string, digest string"
 
 
@@ -118,7 +121,7 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
         if entries:
             yield archive()
 
-    return materialise(pages.select(F.col("page_id").cast("long"), F.col("url").cast("binary"), F.col("html").cast("binary").alias("html")).mapInArrow(packed, "name string, archive binary"))
+    return materialise(pages.select(F.col("page_id").cast("long"), F.col("url").cast("binary"), F.col("html").cast("binary").alias("html")).mapInArrow(packed, "name string, archive binary"), options={"parquet.block.size": str(GROUP_BYTES)})
 
 
 def convert(archives: DataFrame) -> DataFrame:
@@ -227,6 +230,20 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, target string")
 
 
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Batches of few rows for what runs meanwhile, as thousands of pages or archives at once fill an executor."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(BATCH_ROWS))
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from the archives written.
 
@@ -235,10 +252,11 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     null page_id comes after all others. No pages give no archives and no rows.
     """
     spark = tune(pages.sparkSession)
-    records = convert(pages_to_arc(pages))
     path = os.path.join(work_dir(spark), f"warc-{uuid.uuid4().hex}")
-    write_warc(records, revisits(records, min_bytes), path)
-    rows = materialise(read_warc(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")))
+    with few_rows(spark):
+        records = convert(pages_to_arc(pages))
+        write_warc(records, revisits(records, min_bytes), path)
+        rows = materialise(read_warc(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")))
     target = rows.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
     return rows.join(target, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

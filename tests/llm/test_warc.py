@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from ledgerloom.llm import warc
 from ledgerloom.llm.warc import FIELDS, arc_archive, convert, parse_arc, parse_warc, pages_to_arc, revisits, round_trip, write_warc
 
 SCHEMA = "page_id long, url string, html string, uri string, digest string"
@@ -77,3 +78,14 @@ def test_files_are_bounded(spark, tmp_path):
     sizes = [sum(len(block) for _, block in f) for f in files]
     assert len(files) > 5 and all(n <= 4000 or len(f) == 2 for n, f in zip(sizes, files, strict=True)) and all(f[0][0]["WARC-Type"] == "warcinfo" for f in files)
     assert sum(len(f) - 1 for f in files) == 40
+
+
+def test_wide_rows_are_handed_on_a_few_at_once(spark, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before, seen, groups = [spark.conf.get(n) for n in names], [], []
+    monkeypatch.setattr(warc, "write_warc", lambda *a, _real=write_warc: seen.append([int(spark.conf.get(n)) for n in names]) or _real(*a))
+    monkeypatch.setattr(warc, "materialise", lambda *a, _real=warc.materialise, **k: groups.append(k.get("options")) or _real(*a, **k))
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i}", "", "") for i in range(30)], SCHEMA).coalesce(1)
+    assert round_trip(df).count() == 30
+    assert seen == [[warc.BATCH_ROWS] * 2] and groups[0] == {"parquet.block.size": str(warc.GROUP_BYTES)}
+    assert [spark.conf.get(n) for n in names] == before
